@@ -1,59 +1,60 @@
 """Long repeated strings, found with a logarithmic family of sampled suffix arrays.
 
-A batch of texts becomes one sorted array of sampled suffixes. The sampling is
-by content: in every window of `length` bytes the smallest hash of 32 bytes is
-the anchor, so two equal windows have the same anchor at the same place. All
+A batch of texts becomes one array of sampled suffixes. The sampling is by
+content: in every window of `length` bytes the smallest hash of 32 bytes is the
+anchor, so two equal windows have the same anchor at the same place. All
 consecutive windows with one anchor form a *run*, kept as one entry:
 
-* `k1, k2`  128-bit fingerprint of the run's bytes and of the anchor's place,
 * `rk`      fingerprint of the anchor's suffix, cut to half a window,
 * `lk`      the same for the bytes before the anchor (a suffix of the reversed text),
-* where one occurrence lies and how many windows it has.
-
-A new batch is merge-scanned against every level of the family on `(k1, k2)` -
-whole runs that repeat - and on `lk` and `rk` - runs that agree on half a window
-and may share some windows. Levels of equal size are merged before the next
-batch comes, so after n batches there are at most log2(n) + 1 levels. Arrays
-are ordered by fingerprint, not by letter: matches shorter than half a window
-never count, so the order within them is not needed.
-
-Only for runs that agree on half a window without being equal, single windows
-are fingerprinted and counted. Everything is a Spark join or aggregate on
-fixed-width keys; no text is shuffled unless the join of spans with texts has to.
+* `k1`      fingerprint of all bytes of the run and of the anchor's place in it,
+* `place`   where the run lies: first window, anchor and number of windows, in one long.
+
+The array of a new batch is merge-scanned together with the levels of the
+family, in the order of `lk` and `rk`: entries equal in `k1` are runs that repeat
+as a whole; entries that share only half a window may share some windows. Levels
+of equal size are merged before the next batch comes, so that after n batches
+there are at most log2(n) + 1. Arrays are ordered by fingerprint, not by letter:
+matches shorter than half a window never count, so the order within them is
+not needed.
+
+Runs that share half a window are compared in ever smaller ranges of windows
+(64, 8, 1): a range whose bytes recur repeats, one whose windows' common bytes
+recur is split, any other is dropped. All of it is Spark windows on fixed-width
+keys, and no text is shuffled unless the join of spans with texts has to.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import SpanHash, U, blocks, mix, signed, window_min
 from .common import join_by_size, written
 
 GRAM = 32
-_PLACE = 28
-_RUN = "t1 long, t2 long, k1 long, k2 long, lk long, rk long, s0 int, n int, a0 int"
-_ENTRY = ["k1", "k2", "lk", "rk", "at"]
+#: Windows in a range, from one comparison to the next.
+WIDTHS = (64, 8, 1)
+_ANCHOR_BITS = 28
+_BITS = 10
+_SECOND = 0x9FB21C651E98DF25
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Runs of windows in a block: text index, first window's start, windows, anchor's distance from it, k1, k2, lk, rk and which of those hold."""
-    h = SpanHash(data)
-    grams = h.grams(GRAM)
+    """Runs of windows in a block: text index, place, k1, lk, rk and whether the last two hold."""
     n = len(data) - length + 1
-    if n <= 0:
-        return None
-    low = window_min((grams >> U(_PLACE) << U(_PLACE)) | np.arange(len(grams), dtype=U), length - GRAM + 1)
-    anchor = (low & U((1 << _PLACE) - 1)).astype(np.int64)
     has = offsets[1:] - offsets[:-1] >= length
-    begin, end = offsets[:-1][has], offsets[1:][has] - length + 1
-    if not len(begin):
+    if not has.any():
         return None
+    h = SpanHash(data)
+    grams = h.grams(GRAM)
+    low = window_min((grams >> U(_ANCHOR_BITS) << U(_ANCHOR_BITS)) | np.arange(len(grams), dtype=U), length - GRAM + 1)
+    anchor = (low & U((1 << _ANCHOR_BITS) - 1)).astype(np.int64)
+    begin, end = offsets[:-1][has], offsets[1:][has] - length + 1
     step = np.zeros(n + 1, dtype=np.int32)
     np.add.at(step, begin, 1)
     np.add.at(step, end, -1)
@@ -67,22 +68,20 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int):
     p = anchor[first]
     a_high = p - first  # the first window starts furthest before the anchor
     a_low = p - last
-    g = SpanHash(data, 0x9FB21C651E98DF25)
     k1 = mix(h(first, last + length) ^ mix(a_high.astype(U)))
-    k2 = mix(g(first, last + length) + mix(a_high.astype(U) + U(977)))
     half = (length - GRAM) // 2
     left, right = a_high >= half, a_low < half
     lk = np.zeros(len(p), dtype=U)
     rk = np.zeros(len(p), dtype=U)
     lk[left] = h((p - half)[left], (p + GRAM)[left]) ^ U(1)
-    reach = length - half + 1
-    rk[right] = h(p[right], (p + reach)[right])
+    rk[right] = h(p[right], (p + length - half + 1)[right])
     text = np.searchsorted(offsets, first, side="right") - 1
-    return text, first - offsets[text], last - first + 1, a_high, k1, k2, lk, rk, left, right
+    place = ((first - offsets[text]) << (2 * _BITS)) | (a_high << _BITS) | (last - first + 1)
+    return text, place, k1, lk, rk, left, right
 
 
 def suffix_runs(texts: DataFrame, length: int) -> DataFrame:
-    """texts (t1, t2, text) -> one row per run of windows."""
+    """texts (t1, t2, text) -> one entry per run of windows: t1, t2, place, k1, lk, rk."""
 
     def scan(batches):
         for batch in batches:
@@ -91,103 +90,115 @@ def suffix_runs(texts: DataFrame, length: int) -> DataFrame:
                 found = _runs(data, offsets, length)
                 if found is None:
                     continue
-                text, s0, n, a0, k1, k2, lk, rk, left, right = found
+                text, place, k1, lk, rk, left, right = found
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(t1[at + text]), pa.array(t2[at + text]), pa.array(signed(k1)), pa.array(signed(k2)), pa.array(signed(lk), mask=~left), pa.array(signed(rk), mask=~right)]
-                    + [pa.array(x.astype(np.int32)) for x in (s0, n, a0)],
-                    names=["t1", "t2", "k1", "k2", "lk", "rk", "s0", "n", "a0"],
+                    [pa.array(t1[at + text]), pa.array(t2[at + text]), pa.array(place), pa.array(signed(k1)), pa.array(signed(lk), mask=~left), pa.array(signed(rk), mask=~right)],
+                    names=["t1", "t2", "place", "k1", "lk", "rk"],
                 )
 
-    return texts.mapInArrow(scan, _RUN)
+    return texts.mapInArrow(scan, "t1 long, t2 long, place long, k1 long, lk long, rk long")
 
 
-@dataclass
 class SuffixLevels:
-    """The family: `add` a batch of runs, then read `repeated` and `close` matches."""
+    """The family: `add` batches of entries; `found()` has the entries that agree with another one.
+
+    Columns of `found()`: t1, t2, place; `again`: the run repeats as a whole
+    (said once per occurrence); `left`, `close`: the run is to be compared window
+    by window on this side of its anchor (said for one occurrence of equal runs).
+    """
 
-    levels: list[tuple[int, DataFrame]] = field(default_factory=list)
-    whole: list[DataFrame] = field(default_factory=list)
-    half: list[DataFrame] = field(default_factory=list)
+    def __init__(self) -> None:
+        self.levels: list[tuple[int, DataFrame]] = []
+        self.scans: list[DataFrame] = []
 
-    def add(self, runs: DataFrame) -> None:
+    def add(self, array: DataFrame) -> None:
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, x), (_, y) = self.levels.pop(), self.levels.pop()
-            merged = x.union(y).groupBy("k1", "k2").agg(F.min("lk").alias("lk"), F.min("rk").alias("rk"), F.min("at").alias("at"))
-            self.levels.append((2 * size, written(merged, "level")))
-        array = runs.groupBy("k1", "k2").agg(
-            F.min("lk").alias("lk"), F.min("rk").alias("rk"), F.min(F.struct("t1", "t2", "s0", "n", "a0")).alias("at"), F.count(F.lit(1)).alias("times")
-        )
-        array = written(array, "array")
-        self.whole.append(array.where("times > 1").select("k1", "k2"))
-        array = array.select(*_ENTRY)
-        self.half.append(self._keys(array).groupBy("left", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("left", "key"))
+            self.levels.append((2 * size, written(x.union(y), "level")))
+        merged = array
         for _, level in self.levels:
-            self.whole.append(array.join(level.select("k1", "k2"), ["k1", "k2"], "left_semi").select("k1", "k2"))
-            # equal runs on both sides count once, as a run is no neighbour of itself
-            mine = self._keys(array.select("k1", "k2", "lk", "rk"))
-            theirs = self._keys(level.select("k1", "k2", "lk", "rk"))
-            both = mine.withColumn("new", F.lit(1)).union(theirs.withColumn("new", F.lit(0)))
-            seen = both.groupBy("left", "key").agg(F.min("new").alias("lo"), F.max("new").alias("hi"), F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y"))
-            self.half.append(seen.where("lo < hi and x != y").select("left", "key"))
+            merged = merged.union(level)
+        half = F.explode(F.array(F.struct(F.col("lk").alias("key"), F.lit(True).alias("left")), F.struct(F.col("rk").alias("key"), F.lit(False).alias("left"))))
+        rows = merged.select("t1", "t2", "place", "k1", F.col("lk").isNotNull().alias("has_left"), half.alias("e")).select("t1", "t2", "place", "k1", "has_left", "e.*").where("key is not null")
+        by_key, by_run = Window.partitionBy("key"), Window.partitionBy("key", "k1")
+        seen = rows.select(
+            "*",
+            F.count(F.lit(1)).over(by_key).alias("sharing"),
+            (F.min("k1").over(by_key) != F.max("k1").over(by_key)).alias("differ"),
+            F.count(F.lit(1)).over(by_run).alias("times"),
+            F.row_number().over(by_run.orderBy("t1", "t2", "place")).alias("nth"),
+        ).where("sharing > 1")
+        seen = seen.select("t1", "t2", "place", "left", ((F.col("times") > 1) & (F.col("left") | ~F.col("has_left"))).alias("again"), (F.col("differ") & (F.col("nth") == 1)).alias("close"))
+        self.scans.append(written(seen.where("again or close"), "scan"))
         self.levels.append((1, array))
 
-    @staticmethod
-    def _keys(entries: DataFrame) -> DataFrame:
-        keep = [c for c in ("k1", "k2") if c in entries.columns]
-        return entries.select(*keep, F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("lk").alias("key")), F.struct(F.lit(False).alias("left"), F.col("rk").alias("key")))).alias("e")).select(*keep, "e.*").where("key is not null")
-
-    def repeated(self) -> DataFrame:
-        """(k1, k2) of runs that occur more than once."""
-        out = self.whole[0]
-        for x in self.whole[1:]:
+    def found(self) -> DataFrame:
+        out = self.scans[0]
+        for x in self.scans[1:]:
             out = out.union(x)
-        return out.distinct()
-
-    def close(self) -> DataFrame:
-        """Occurrences whose half windows recur in another run: t1, t2, s0, n, a0, l, r (which sides to look at)."""
-        keys = self.half[0]
-        for x in self.half[1:]:
-            keys = keys.union(x)
-        keys = keys.distinct()
-        entries = self.levels[0][1]
-        for _, x in self.levels[1:]:
-            entries = entries.union(x)
-        long = self._keys_at(entries)
-        return long.join(keys, ["left", "key"], "left_semi").groupBy("at").agg(F.max("left").alias("l"), F.max(~F.col("left")).alias("r")).select("at.*", "l", "r")
-
-    @staticmethod
-    def _keys_at(entries: DataFrame) -> DataFrame:
-        pair = F.array(F.struct(F.lit(True).alias("left"), F.col("lk").alias("key")), F.struct(F.lit(False).alias("left"), F.col("rk").alias("key")))
-        return entries.select("at", F.explode(pair).alias("e")).select("at", "e.*").where("key is not null")
-
-
-def _window_hashes(texts: DataFrame, length: int) -> DataFrame:
-    """texts (t1, t2, text, runs) -> t1, t2, start, w1, w2 of every window to be looked at."""
-    half = (length - GRAM) // 2
+        return out
+
+
+def _ranges(texts: DataFrame, length: int, width: int) -> DataFrame:
+    """texts (t1, t2, text, todo of anchor, lo, hi) -> t1, t2, anchor, lo, hi, c, f of the ranges of `width` windows in each.
+
+    A window is given by how far before the anchor it starts. `c` stands for the
+    bytes common to all windows of the range, `f` for all its bytes, null where
+    the text has only some of its windows.
+    """
+    most = length - GRAM
 
     def scan(batches):
         for batch in batches:
             t1, t2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t1", "t2"))
-            runs = batch.column("runs").to_pylist()
+            todo = batch.column("todo")
+            flat = todo.flatten()
+            anchor, lo, hi = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in todo])))
             for at, data, offsets in blocks(batch.column("text")):
-                h, g = SpanHash(data), SpanHash(data, 0x9FB21C651E98DF25)
-                starts, owner = [], []
-                for i in range(len(offsets) - 1):
-                    for r in runs[at + i]:
-                        s = np.arange(r["s0"], r["s0"] + r["n"])
-                        left = s <= r["s0"] + r["a0"] - half
-                        s = s[(left & r["l"]) | (~left & r["r"])]
-                        starts.append(s + offsets[i])
-                        owner.append(np.full(len(s), i))
-                if not starts:
+                part = slice(ends[at], ends[at + len(offsets) - 1])
+                p, low, high = anchor[part], lo[part], hi[part]
+                if not len(p):
                     continue
-                s, o = np.concatenate(starts), np.concatenate(owner)
+                owner = np.repeat(np.arange(len(offsets) - 1), np.diff(ends[at : at + len(offsets)]))
+                j0, j1 = low // width, high // width
+                many = j1 - j0 + 1
+                row = np.repeat(np.arange(len(p)), many)
+                j = j0[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                p, owner = p[row] + offsets[owner[row]], owner[row]
+                first, last = j * width, np.minimum(j * width + width - 1, most)
+                low, high = np.maximum(low[row], first), np.minimum(high[row], last)
+                c = mix(SpanHash(data)(p - first, p - last + length) ^ mix(j.astype(U)))
+                f = SpanHash(data, _SECOND)(p - high, p - low + length)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(t1[at + o]), pa.array(t2[at + o]), pa.array((s - offsets[o]).astype(np.int32)), pa.array(signed(h(s, s + length))), pa.array(signed(g(s, s + length)))],
-                    names=["t1", "t2", "start", "w1", "w2"],
+                    [pa.array(t1[at + owner]), pa.array(t2[at + owner]), *(pa.array(x.astype(np.int32)) for x in (p - offsets[owner], low, high)), pa.array(signed(c)), pa.array(signed(f), mask=(low != first) | (high != last))],
+                    names=["t1", "t2", "anchor", "lo", "hi", "c", "f"],
                 )
 
-    return texts.mapInArrow(scan, "t1 long, t2 long, start int, w1 long, w2 long")
+    return texts.mapInArrow(scan, "t1 long, t2 long, anchor int, lo int, hi int, c long, f long")
+
+
+def _compare(texts: DataFrame, close: DataFrame, length: int) -> list[DataFrame]:
+    """close (t1, t2, anchor, lo, hi), no two runs equal -> tables (t1, t2, start, windows) of windows that recur."""
+    out = []
+    for width in WIDTHS:
+        todo = written(close.groupBy("t1", "t2").agg(F.collect_set(F.struct("anchor", "lo", "hi")).alias("todo")), "todo")
+        size = todo.agg(F.sum(64 + 16 * F.size("todo"))).first()[0] or 0
+        # equal texts bring equal rows; all but one are left out
+        rows = _ranges(join_by_size(texts, todo, ["t1", "t2"], "inner", size), length, width).distinct()
+        by_c, by_f = Window.partitionBy("c"), Window.partitionBy("c", "f")
+        rows = rows.select(
+            "*",
+            F.count(F.lit(1)).over(by_c).alias("sharing"),
+            (F.count("f").over(by_c) < F.count(F.lit(1)).over(by_c)).alias("partial"),
+            (F.min("f").over(by_c) != F.max("f").over(by_c)).alias("differ"),
+            F.count("f").over(by_f).alias("times"),
+            F.row_number().over(by_f.orderBy("t1", "t2", "anchor", "lo")).alias("nth"),
+        ).where("sharing > 1")
+        rows = written(rows, "ranges")
+        out.append(rows.where("times > 1").select("t1", "t2", (F.col("anchor") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).alias("windows")))
+        close = rows.where("(partial or differ) and (f is null or nth = 1)").select("t1", "t2", "anchor", "lo", "hi")
+    return out
 
 
 def text_key(text: str = "text"):
@@ -198,44 +209,38 @@ def text_key(text: str = "text"):
 
 def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 2, text: str = "text") -> tuple[DataFrame, int]:
     """(t1, t2, spans) of every text with repeats, spans an array of (start, end) in bytes, and the table's size in bytes."""
+    if not 2 * GRAM <= length < 1 << _BITS:
+        raise ValueError(f"length must be from {2 * GRAM} to {(1 << _BITS) - 1} bytes")
     texts = docs.select(*text_key(text), F.col(text).alias("text")).where(F.octet_length("text") >= length)
-    runs = written(suffix_runs(texts, length).withColumn("batch", F.pmod(F.xxhash64("t2"), F.lit(batches))), "runs")
+    entries = written(suffix_runs(texts, length).withColumn("batch", F.pmod(F.col("t2"), F.lit(batches)).cast("int")), "entries")
     family = SuffixLevels()
     for b in range(batches):
-        family.add(runs.where(F.col("batch") == b).drop("batch"))
-    again = runs.join(family.repeated(), ["k1", "k2"], "left_semi").select("t1", "t2", "s0", "n")
-    again = again.groupBy("t1", "t2").agg(F.collect_set(F.struct("s0", "n")).alias("whole"))
-    again = written(again, "again")
-
-    close = family.close().groupBy("t1", "t2").agg(F.collect_list(F.struct("s0", "n", "a0", "l", "r")).alias("runs"))
-    close = written(close, "close")
-    size = close.agg(F.sum(64 + 24 * F.size("runs"))).first()[0] or 0
-    # equal texts have equal windows: one copy of each is looked at, whole repeats are known already
-    some = join_by_size(texts, close, ["t1", "t2"], "inner", size)
-    hashes = _window_hashes(some, length).distinct()
-    hashes = written(hashes, "windows")
-    # runs in `close` differ from each other, so a fingerprint that two places have is a repeat
-    twice = hashes.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2")
-    parts = hashes.join(twice, ["w1", "w2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("start").alias("starts"))
-
-    def unite(pdf_iter):
-        for batch in pdf_iter:
-            cols = batch.to_pydict()
+        family.add(entries.where(F.col("batch") == b).drop("batch"))
+    found = family.found()
+    start, before, count = F.shiftright("place", 2 * _BITS).cast("int"), F.shiftright("place", _BITS).bitwiseAND((1 << _BITS) - 1).cast("int"), F.col("place").bitwiseAND((1 << _BITS) - 1).cast("int")
+    whole = found.where("again").select("t1", "t2", start.alias("start"), count.alias("windows"))
+    half = (length - GRAM) // 2
+    lo, hi = F.greatest(before - count + 1, F.when(F.col("left"), half).otherwise(0)), F.least(before, F.when(F.col("left"), length).otherwise(half - 1))
+    close = found.where("close").select("t1", "t2", (start + before).alias("anchor"), lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+    for part in _compare(texts, close, length):
+        whole = whole.union(part)
+    spans = whole.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "windows")).alias("parts"))
+
+    def unite(batches):
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
             out = []
-            for whole, starts in zip(cols["whole"], cols["starts"], strict=True):
-                pairs = [(r["s0"], r["s0"] + r["n"] - 1 + length) for r in whole or ()] + [(s, s + length) for s in starts or ()]
-                spans: list[list[int]] = []
-                for s, e in sorted(pairs):
-                    if spans and s <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], e)
+            for parts in batch.column("parts").to_pylist():
+                spans: list[dict[str, int]] = []
+                for s, e in sorted((r["start"], r["start"] + r["windows"] - 1 + length) for r in parts):
+                    if spans and s <= spans[-1]["end"]:
+                        spans[-1]["end"] = max(spans[-1]["end"], e)
                     else:
-                        spans.append([s, e])
-                out.append([{"start": s, "end": e} for s, e in spans])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                        spans.append({"start": s, "end": e})
+                out.append(spans)
             yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), pa.array(out, kind)], names=["t1", "t2", "spans"])
 
-    spans = again.join(parts, ["t1", "t2"], "full_outer").mapInArrow(unite, "t1 long, t2 long, spans array<struct<start:int,end:int>>")
-    spans = written(spans, "spans")
+    spans = written(spans.mapInArrow(unite, "t1 long, t2 long, spans array<struct<start:int,end:int>>"), "spans")
     return spans, spans.agg(F.sum(48 + 16 * F.size("spans"))).first()[0] or 0
 
 
