@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import LOWER, WORD, SpanHash, U, blocks, mix, signed, words
-from .common import written
+from .common import join_by_size, written
 from .sampling import bounded, remainder
 
 BITS = 20
 BUCKETS = 1 << BITS
 GRAM = 5
+#: Confirmed texts that must share a bucket for it to become an input.
+LEAST = 4
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,30 +83,29 @@ def representatives(texts: DataFrame) -> DataFrame:
     return signed_texts.groupBy("least").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-def document_frequencies(texts: DataFrame, flag: str) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """How many texts have each bucket, of all and of those with `flag`; and how many texts there are."""
+def document_frequencies(texts: DataFrame, least: int, among: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """How many texts have each bucket (0 for those with fewer than `least`), only buckets `among` (a mask) if given; and how many texts there are."""
+    shared = None if among is None else texts.sparkSession.sparkContext.broadcast(among)
 
     def count(batches):
-        df = np.zeros((2, BUCKETS), dtype=np.int64)
-        n = np.zeros(2, dtype=np.int64)
+        df = np.zeros(BUCKETS, dtype=np.int64)
+        n = 0
         for batch in batches:
-            mark = np.asarray(batch.column(flag).to_numpy(zero_copy_only=False), dtype=bool)
-            n += (len(mark), mark.sum())
-            for first, _, text, bucket in _presence(batch.column("text")):
-                df[0] += np.bincount(bucket, minlength=BUCKETS)
-                df[1] += np.bincount(bucket[mark[first + text]], minlength=BUCKETS)
-        found = np.flatnonzero(df[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(df[0][found], n[0])), pa.array(np.append(df[1][found], n[1]))], names=["bucket", "n", "p"])
-
-    counted = texts.select(flag, "text").mapInArrow(count, "bucket long, n long, p long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-    df, pos, n, p = np.zeros(BUCKETS), np.zeros(BUCKETS), 0, 0
-    # rows of buckets that no confirmed text has cannot be chosen
-    for r in counted.where("p > 0 or bucket < 0").collect():
+            n += batch.num_rows
+            for *_, bucket in _presence(batch.column("text"), None if shared is None else shared.value):
+                df += np.bincount(bucket, minlength=BUCKETS)
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(df[found], n))], names=["bucket", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    df, total = np.zeros(BUCKETS), 0
+    # at most one row for each bucket
+    for r in counted.where((F.col("n") >= least) | (F.col("bucket") < 0)).collect():
         if r.bucket < 0:
-            n, p = r.n, r.p
+            total = r.n
         else:
-            df[r.bucket], pos[r.bucket] = r.n, r.p
-    return df, pos, n, p
+            df[r.bucket] = r.n
+    return df, total
 
 
 @dataclass
@@ -128,7 +129,7 @@ def choose(df, pos, n, p, inputs: int, ratio: float = 3.0) -> np.ndarray:
         return np.empty(0, np.int64)
     expected = p * np.maximum(df, 1) / n
     sure = (pos - expected) / np.sqrt(expected + 1)
-    good = np.flatnonzero((pos >= 4) & (pos >= ratio * expected) & (sure > 5))
+    good = np.flatnonzero((pos >= LEAST) & (pos >= ratio * expected) & (sure > 5))
     return good[np.argsort(-sure[good], kind="stable")][:inputs]
 
 
@@ -163,10 +164,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled:
     if not toxic:
         return empty
     prior = min(max(toxic / seen, 1e-4), 0.9)
-    confirmed = representatives(docs.join(may.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi"))
-    confirmed = written(confirmed.withColumn("yes", F.lit(True)), "confirmed")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(confirmed, "doc_id", "left").withColumn("yes", F.coalesce("yes", F.lit(False)))
-    df, pos, n, p = document_frequencies(rows, "yes")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = written(may.where("toxic = 1").select("doc_id").distinct(), "toxic")
+    confirmed = written(representatives(join_by_size(texts, ids, "doc_id", "left_semi", 16 * toxic)), "confirmed")
+    pos, p = document_frequencies(join_by_size(texts, confirmed, "doc_id", "left_semi", 16 * toxic), LEAST)
+    df, n = document_frequencies(texts, 1, pos > 0)
     chosen = choose(df, pos, n, p, inputs)
     if not len(chosen):
         return empty
@@ -184,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled:
                     inputs_of[first + t].append(int(i))
             yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(inputs_of, pa.list_(pa.int32()))], names=["part", "found"])
 
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").mapInArrow(featurise, "part int, found array<int>")
+    sample = texts.join(F.broadcast(ids), "doc_id").mapInArrow(featurise, "part int, found array<int>")
     # at most positives + unlabelled rows of at most `inputs` numbers
     sample = sorted((r.part, r.found) for r in sample.collect())
 
