@@ -1,4 +1,8 @@
 """All queries of the catalogue engine by name, each with the SQL that DuckDB runs for it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import documents, products, search, validity  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
