@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once; a longer text makes a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 U = np.uint64
 _A, _B = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -64,7 +64,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
                 p[0] = 1
                 made.append(np.cumprod(p, dtype=U))
         have = (made[0], made[1])
-        if size <= 8 * BLOCK:
+        if size <= 16 * BLOCK:
             _POWERS[base] = have
     return have
 

@@ -45,6 +45,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows of texts that a task holds at once on their way to Python and back.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have at most BATCH_ROWS rows in this session: texts are long, and a task's memory is to stay bounded."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytescan import U, blocks, mix, row_grams, signed, window_min, words
-from .common import BROADCAST_BYTES, join_by_size, written
+from .common import BROADCAST_BYTES, join_by_size, small_batches, written
 from .suffix_dedup import text_key
 
 _SIEVE = 1 << 22
@@ -113,6 +113,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: s
     Null and empty texts have no words and no hits; an item or document that
     comes twice counts as it is; null item ids are left out of `items`.
     """
+    small_batches(docs.sparkSession)
     windows = item_windows(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), window)
     windows = windows.groupBy("t", "fp", "w1", "w2").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     windows = written(windows, "item-windows")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
 from .sampling import bounded, remainder
 
 BUCKETS = 1 << 15
@@ -129,6 +130,7 @@ def fit_temperature(logits: np.ndarray, ys: np.ndarray) -> float:
 
 def train(docs: DataFrame, per_lang: int = 1200) -> Model | None:
     """Learn from rows with a language whose id's remainder by 4 is not 2; None if there is no such row."""
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 4) != 2))
 
     def frequencies(batches):
@@ -157,7 +159,7 @@ def train(docs: DataFrame, per_lang: int = 1200) -> Model | None:
         for batch in batches:
             pairs = [grams(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.string()), batch.column("lang"), pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())), pa.array([p[1].astype(np.int32) for p in pairs], pa.list_(pa.int32()))],
+                [batch.column("doc_id").cast(pa.string()), batch.column("lang"), *(pa.array([p[k].astype(np.int32).tobytes() for p in pairs], pa.binary()) for k in (0, 1))],
                 names=["id", "lang", "found", "counts"],
             )
 
@@ -166,9 +168,9 @@ def train(docs: DataFrame, per_lang: int = 1200) -> Model | None:
     for lang in langs:
         part = bounded(ids.where(F.col("lang") == lang), "doc_id", per_lang).select("doc_id").distinct()
         sample = part if sample is None else sample.union(part)
-    chosen = rows.join(F.broadcast(sample), "doc_id", "left_semi").mapInArrow(featurise, "id string, lang string, found array<int>, counts array<int>")
+    chosen = rows.join(F.broadcast(sample), "doc_id", "left_semi").mapInArrow(featurise, "id string, lang string, found binary, counts binary")
     # a sample of at most per_lang rows for each language
-    chosen = sorted(((r.id, r.lang, np.array(r.found, np.int64), np.array(r.counts, np.int64)) for r in chosen.collect()), key=lambda r: (r[0], r[1], len(r[2])))
+    chosen = sorted(((r.id, r.lang, np.frombuffer(r.found, np.int32), np.frombuffer(r.counts, np.int32)) for r in chosen.collect()), key=lambda r: (r[0], r[1], len(r[2])))
     xs = [(f, vector(f, c, idf)) for _, _, f, c in chosen]
     ys = np.array([langs.index(lang) for _, lang, _, _ in chosen])
     back = np.arange(len(xs)) % 5 == 4

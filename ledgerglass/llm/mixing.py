@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytescan import blocks
-from .common import join_by_size, written
+from .common import join_by_size, small_batches, written
 
 WEIGHTS = (5, 2, 1)
 _SPACE = np.zeros(256, dtype=bool)
@@ -24,6 +24,7 @@ _SPACE[[32, *range(9, 14)]] = True
 
 def count_words(docs: DataFrame, text: str = "text", size: str = "size") -> DataFrame:
     """`docs` with its text replaced by the number of runs of bytes that are no ASCII white space; null has none."""
+    small_batches(docs.sparkSession)
     keep = [f for f in docs.schema.fields if f.name != text]
 
     def scan(batches):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytescan import U, blocks, mix, row_grams, signed, words
-from .common import components, join_by_size, written
+from .common import components, join_by_size, small_batches, written
 
 SIZE = 64
 LEAF = 64
@@ -270,6 +270,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     among them. Texts without words link with nothing. Rows with the same id are
     documents of their own; a null id is never a class_id unless nothing else is there.
     """
+    small_batches(docs.sparkSession)
     rows = written(_embedded(docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("t1"), F.col(text).alias("text")), n), "embedded")
     classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("low"), F.min(F.struct(F.col("id").isNull(), "id", "t1")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     classes = written(classes, "classes")

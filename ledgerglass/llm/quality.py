@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import SpanHash, U, blocks, mix
+from .common import small_batches
 from .mixing import _SPACE
 from .sampling import bounded, remainder
 
@@ -147,6 +148,7 @@ def fit(x: np.ndarray, begin: np.ndarray, y: np.ndarray, prior: float, hidden: i
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model | None:
     """Learn from labels of rows whose id's remainder by 3 is not 1, at most `per_class` rows of each label; None without both."""
+    small_batches(docs.sparkSession)
     may = labels.where((remainder("doc_id", 3) != 1) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label"))
     counts = {r.label: r.n for r in may.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import SpanHash, U, blocks, mix, signed, window_min
-from .common import join_by_size, written
+from .common import join_by_size, small_batches, written
 
 GRAM = 32
 #: Windows in a range, from one comparison to the next.
@@ -211,6 +211,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 2, text: s
     """(t1, t2, spans) of every text with repeats, spans an array of (start, end) in bytes, and the table's size in bytes."""
     if not 2 * GRAM <= length < 1 << _BITS:
         raise ValueError(f"length must be from {2 * GRAM} to {(1 << _BITS) - 1} bytes")
+    small_batches(docs.sparkSession)
     texts = docs.select(*text_key(text), F.col(text).alias("text")).where(F.octet_length("text") >= length)
     entries = written(suffix_runs(texts, length).withColumn("batch", F.pmod(F.col("t2"), F.lit(batches)).cast("int")), "entries")
     family = SuffixLevels()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import LOWER, WORD, SpanHash, U, blocks, mix, signed, words
-from .common import join_by_size, written
+from .common import join_by_size, small_batches, written
 from .sampling import bounded, remainder
 
 BITS = 20
@@ -158,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled:
 
     Without a confirmed example, every text gets the score of the prior, which is then 0.
     """
+    small_batches(docs.sparkSession)
     may = labels.where((remainder("doc_id", 4) != 2) & F.col("toxic").isNotNull())
     seen, toxic = may.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     empty = Model(np.full(BUCKETS, -1, np.int32), np.zeros(1), -30.0)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from .common import fresh_path, join_by_size, written
+from .common import fresh_path, join_by_size, small_batches, written
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, headers map<string,string>, payload binary"
 _ARROW = pa.schema([*((n, pa.string()) for n in ("record_type", "record_id", "target_uri", "date", "refers_to", "payload_digest")), ("payload_bytes", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
@@ -378,6 +378,7 @@ def deduplicated(pages: DataFrame, least: int = 1000) -> DataFrame:
     A null html is an empty payload. Rows with the same id and payload are both
     responses; a row without an id revisits like any other and is never revisited.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload")).withColumn("payload_digest", F.sha1("payload"))
     keys = rows.where(F.octet_length("payload") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     keys = written(keys.where("n > 1 and first_id is not null").select("payload_digest", "first_id"), "payloads")
