@@ -132,18 +132,22 @@ def split_title(code: pd.Series, text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(c, t) for c, t in zip(code, text, strict=True)], columns=["title", "body"])
 
 
-def matched_share(source: str, parts: str, code: str) -> float:
-    """Share of a source's characters, without white space and the code, that matching blocks cover in the joined parts."""
-    plain = lambda s: re.sub(r"\s+", "", unicodedata.normalize("NFKC", s or "")).replace((code or "").rstrip("."), "")
-    a, b = plain(source), plain(parts)
-    if not a:
+#: Dotted numbers, which stand in a text but not in its parts.
+CODE_IN_TEXT = r"\d+(?:\.\d+)*\.?(?=[^\d])"
+
+
+def matched_share(source: str, parts: str) -> float:
+    """Share of a source's characters, without white space and dotted numbers, that matching blocks cover in the joined parts."""
+    whole, pieces = (re.sub(CODE_IN_TEXT, "", "".join(unicodedata.normalize("NFKC", s or "").split())) for s in (source, parts))
+    if not whole:
         return 1.0
-    return sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) / len(a)
+    blocks = difflib.SequenceMatcher(None, whole, pieces, autojunk=False).get_matching_blocks()
+    return sum(size for *_, size in blocks) / len(whole)
 
 
 @F.pandas_udf(T.DoubleType())
-def coverage(source: pd.Series, parts: pd.Series, code: pd.Series) -> pd.Series:
-    return pd.Series([round(matched_share(*x), 4) for x in zip(source, parts, code, strict=True)], dtype=float)
+def coverage(source: pd.Series, parts: pd.Series) -> pd.Series:
+    return pd.Series([round(matched_share(*x), 4) for x in zip(source, parts, strict=True)], dtype=float)
 
 
 def relevant_start(clauses: DataFrame, key: str, hit: Column) -> DataFrame:

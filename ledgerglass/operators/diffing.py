@@ -28,15 +28,17 @@ def _split(text: str | None) -> list[str]:
 
 def compare(old: str | None, new: str | None) -> dict:
     """Hunks with one sentence of context, counts, and changed sentences over twice the longer side."""
-    a, b = _split(old), _split(new)
-    hunks, added, removed, equal = [], 0, 0, 0
-    for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if op == "equal":
-            equal += i2 - i1
-            continue
-        removed, added = removed + i2 - i1, added + j2 - j1
-        hunks.append({"op": op, "removed": a[i1:i2], "added": b[j1:j2], "ctx_before": a[max(0, i1 - 1) : i1], "ctx_after": a[i2 : i2 + 1]})
-    return {"hunks": hunks, "sent_added": added, "sent_removed": removed, "sent_equal": equal, "change_ratio": round((added + removed) / (2 * max(len(a), len(b), 1)), 4)}
+    before, after = _split(old), _split(new)
+    steps = difflib.SequenceMatcher(None, before, after, autojunk=False).get_opcodes()
+    changed = [s for s in steps if s[0] != "equal"]
+    gone, come = sum(s[2] - s[1] for s in changed), sum(s[4] - s[3] for s in changed)
+    return {
+        "hunks": [{"op": op, "removed": before[i:j], "added": after[k:m], "ctx_before": before[:i][-1:], "ctx_after": before[j:][:1]} for op, i, j, k, m in changed],
+        "sent_added": come,
+        "sent_removed": gone,
+        "sent_equal": len(before) - gone,
+        "change_ratio": round((gone + come) / max(2 * len(before), 2 * len(after), 2), 4),
+    }
 
 
 @F.pandas_udf(DIFF)

@@ -156,7 +156,7 @@ def sentence_diff(spark, sf_dir):
 def coverage(spark, sf_dir):
     """How much of the first 400 characters their first three lines cover."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("source"))
-    return d.select("doc_id", clauses.coverage("source", F.substring_index("source", "\n", 3), F.lit("")).alias("coverage"))
+    return d.select("doc_id", clauses.coverage("source", F.substring_index("source", "\n", 3)).alias("coverage"))
 
 
 @query()

@@ -82,7 +82,7 @@ def text_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """code, effective, seq, text of section snapshots `<code>_<yyyymmdd>[_<seq>].txt`."""
     from ..functions.codes import parse_file_name
 
-    files = spark.read.option("wholetext", True).text(path).withColumn("name", F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.txt$", ".pdf"))
+    files = spark.read.text(path, wholetext=True).withColumn("name", F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.txt$", ".pdf"))
     return files.select(parse_file_name("name").alias("f"), F.col("value").alias("text")).where("f is not null").select("f.*", "text")
 
 
