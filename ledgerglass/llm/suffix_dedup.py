@@ -20,8 +20,8 @@ not needed.
 
 Runs that share half a window are compared in ever smaller ranges of windows
 (64, 8, 1): a range whose bytes recur repeats, one whose windows' common bytes
-recur is split, any other is dropped. All of it is Spark windows on fixed-width
-keys, and no text is shuffled unless the join of spans with texts has to.
+recur is split, any other is dropped. All of it is Spark aggregates and joins on
+fixed-width keys with partial results, and no text is shuffled unless the join of spans with texts has to.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import SpanHash, U, blocks, mix, signed, window_min
@@ -103,7 +103,7 @@ class SuffixLevels:
     """The family: `add` batches of entries; `found()` has the entries that agree with another one.
 
     Columns of `found()`: t1, t2, place; `again`: the run repeats as a whole
-    (said once per occurrence); `left`, `close`: the run is to be compared window
+    (said once per occurrence and scan); `left`, `close`: the run is to be compared window
     by window on this side of its anchor (said for one occurrence of equal runs).
     """
 
@@ -118,20 +118,23 @@ class SuffixLevels:
         merged = array
         for _, level in self.levels:
             merged = merged.union(level)
-        half = F.explode(F.array(F.struct(F.col("lk").alias("key"), F.lit(True).alias("left")), F.struct(F.col("rk").alias("key"), F.lit(False).alias("left"))))
-        rows = merged.select("t1", "t2", "place", "k1", F.col("lk").isNotNull().alias("has_left"), half.alias("e")).select("t1", "t2", "place", "k1", "has_left", "e.*").where("key is not null")
-        by_key, by_run = Window.partitionBy("key"), Window.partitionBy("key", "k1")
-        seen = rows.select(
-            "*",
-            F.count(F.lit(1)).over(by_key).alias("sharing"),
-            (F.min("k1").over(by_key) != F.max("k1").over(by_key)).alias("differ"),
-            F.count(F.lit(1)).over(by_run).alias("times"),
-            F.row_number().over(by_run.orderBy("t1", "t2", "place")).alias("nth"),
-        ).where("sharing > 1")
-        seen = seen.select("t1", "t2", "place", "left", ((F.col("times") > 1) & (F.col("left") | ~F.col("has_left"))).alias("again"), (F.col("differ") & (F.col("nth") == 1)).alias("close"))
-        self.scans.append(written(seen.where("again or close"), "scan"))
+        rows = written(self._halves(merged), "halves")
+        # equal runs are counted before they are dealt, so that a run of any frequency is one row per task
+        runs = rows.groupBy("left", "key", "k1").agg(F.count(F.lit(1)).alias("times"), *(F.first(c).alias(c) for c in ("t1", "t2", "place")))
+        runs = written(runs, "distinct-runs")
+        shared = runs.groupBy("left", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("left", "key")
+        close = runs.join(shared, ["left", "key"], "left_semi").select("t1", "t2", "place", "left", F.lit(False).alias("again"), F.lit(True).alias("close"))
+        again = rows.where("left or not has_left").join(runs.where("times > 1").select("left", "key", "k1"), ["left", "key", "k1"], "left_semi")
+        again = again.select("t1", "t2", "place", "left", F.lit(True).alias("again"), F.lit(False).alias("close"))
+        self.scans.append(written(again.union(close), "scan"))
         self.levels.append((1, array))
 
+    @staticmethod
+    def _halves(array: DataFrame) -> DataFrame:
+        """A row for each half window that an entry has."""
+        half = F.explode(F.array(F.struct(F.col("lk").alias("key"), F.lit(True).alias("left")), F.struct(F.col("rk").alias("key"), F.lit(False).alias("left"))))
+        return array.select("t1", "t2", "place", "k1", F.col("lk").isNotNull().alias("has_left"), half.alias("e")).select("t1", "t2", "place", "k1", "has_left", "e.*").where("key is not null")
+
     def found(self) -> DataFrame:
         out = self.scans[0]
         for x in self.scans[1:]:
@@ -186,18 +189,15 @@ def _compare(texts: DataFrame, close: DataFrame, length: int) -> list[DataFrame]
         size = todo.agg(F.sum(64 + 16 * F.size("todo"))).first()[0] or 0
         # equal texts bring equal rows; all but one are left out
         rows = _ranges(join_by_size(texts, todo, ["t1", "t2"], "inner", size), length, width).distinct()
-        by_c, by_f = Window.partitionBy("c"), Window.partitionBy("c", "f")
-        rows = rows.select(
-            "*",
-            F.count(F.lit(1)).over(by_c).alias("sharing"),
-            (F.count("f").over(by_c) < F.count(F.lit(1)).over(by_c)).alias("partial"),
-            (F.min("f").over(by_c) != F.max("f").over(by_c)).alias("differ"),
-            F.count("f").over(by_f).alias("times"),
-            F.row_number().over(by_f.orderBy("t1", "t2", "anchor", "lo")).alias("nth"),
-        ).where("sharing > 1")
         rows = written(rows, "ranges")
-        out.append(rows.where("times > 1").select("t1", "t2", (F.col("anchor") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).alias("windows")))
-        close = rows.where("(partial or differ) and (f is null or nth = 1)").select("t1", "t2", "anchor", "lo", "hi")
+        whole, partial = rows.where("f is not null"), rows.where("f is null")
+        fulls = whole.groupBy("c", "f").agg(F.count(F.lit(1)).alias("times"), *(F.first(x).alias(x) for x in ("t1", "t2", "anchor", "lo", "hi")))
+        fulls = written(fulls, "full-ranges")
+        several = fulls.select("c").union(partial.select("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c")
+        again = whole.join(fulls.where("times > 1").select("c", "f"), ["c", "f"], "left_semi")
+        out.append(again.select("t1", "t2", (F.col("anchor") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).alias("windows")))
+        columns = ["t1", "t2", "anchor", "lo", "hi"]
+        close = fulls.select("c", *columns).union(partial.select("c", *columns)).join(several, "c", "left_semi").select(*columns)
     return out
 
 
