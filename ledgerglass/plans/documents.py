@@ -27,14 +27,14 @@ def clause_split(spark, sf_dir):
 
 
 @query(
-    """WITH k AS (SELECT doc_id, text, unnest(range(length(text))) AS p FROM documents WHERE contains(text, ' was ')),
-h AS (SELECT doc_id, text, p FROM k WHERE substr(text, p + 1, 5) = ' was '),
+    """WITH k AS (SELECT doc_id, text, unnest(range(length(text))) AS p FROM documents WHERE contains(text, ' was')),
+h AS (SELECT doc_id, text, p FROM k WHERE substr(text, p + 1, 4) = ' was'),
 g AS (SELECT doc_id, min(p) AS pos FROM h WHERE NOT contains(substr(text, CAST(greatest(p - 6, 0) + 1 AS BIGINT), CAST(least(p, 6) AS BIGINT)), 'th') GROUP BY doc_id)
-SELECT doc_id, pos IS NOT NULL AS flagged, CAST(pos AS INTEGER) AS pos, CASE WHEN pos IS NOT NULL THEN trim(replace(substr(text, greatest(pos - 22, 0) + 1, pos + 27 - greatest(pos - 22, 0)), chr(10), ' ')) END AS quote FROM documents LEFT JOIN g USING (doc_id)"""
+SELECT doc_id, pos IS NOT NULL AS flagged, CAST(pos AS INTEGER) AS pos, CASE WHEN pos IS NOT NULL THEN trim(replace(substr(text, greatest(pos - 22, 0) + 1, pos + 26 - greatest(pos - 22, 0)), chr(10), ' ')) END AS quote FROM documents LEFT JOIN g USING (doc_id)"""
 )
 def keyword_flags_negation(spark, sf_dir):
-    """The first ` was ` with no `th` in the six characters before it."""
-    d = clauses.extract_flags(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", {"flagged": [" was "]}, ["th"])
+    """The first ` was` with no `th` in the six characters before it."""
+    d = clauses.extract_flags(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", {"flagged": [" was"]}, ["th"])
     return d.select("doc_id", "flagged", F.col("flagged_ev.pos").alias("pos"), F.col("flagged_ev.quote").alias("quote"))
 
 
