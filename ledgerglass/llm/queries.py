@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, html_text, langid, mixing, ngram_join, quality, suffix_dedup, toxicity, warc
+from . import decontaminate, embedding_dedup, html_text, langid, mixing, ngram_join, oracles, quality, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op2_suffix_array_dedup": oracles.SUFFIX_DEDUP,
+    "op3_embedding_near_dedup": oracles.EMBEDDING_DEDUP,
+    "op4_html_extraction": oracles.HTML_TEXT,
     "op5_warc_round_trip": warc.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
     "op8_benchmark_decontamination": decontaminate.ORACLE,
