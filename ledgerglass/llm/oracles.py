@@ -36,10 +36,11 @@ m AS (SELECT vec_id, min(z) AS component_id FROM r GROUP BY vec_id)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = m.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM m
 """
 
-#: For pages as these tables have them: one article each, with headings and paragraphs of inline markup.
+#: For pages as these tables have them: one article each, with headings and paragraphs of
+#: inline markup. A reference cut off before its semicolon counts, as in HTML.
 HTML_TEXT = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>((?s:.)*)</article>', 1) AS a FROM pages),
 b AS (SELECT page_id, url, string_split(regexp_replace(replace(a, '<br>', ' '), '</?(p|h1)>', chr(1), 'g'), chr(1)) AS b FROM a),
-t AS (SELECT page_id, url, array_to_string(list_filter([trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) FOR x IN b], lambda x: x <> ''), chr(10)) AS text FROM b)
+t AS (SELECT page_id, url, array_to_string(list_filter([trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&#x27;', ''''), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) FOR x IN b], lambda x: x <> ''), chr(10)) AS text FROM b)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
 """
