@@ -108,6 +108,8 @@ class _PagedReader(DataSourceReader):
 def paged(spark: SparkSession, fetch: Callable[[int, int], list[dict]], total: int, schema: str, size: int = 50, name: str = "paged_api") -> DataFrame:
     """All rows of a paged service: a partition per page. `fetch(page, size)` runs in the tasks, so it must be picklable."""
 
+    columns = T._parse_datatype_string(schema).names
+
     class Paged(DataSource):
         @classmethod
         def name(cls):
@@ -116,8 +118,8 @@ def paged(spark: SparkSession, fetch: Callable[[int, int], list[dict]], total: i
         def schema(self):
             return schema
 
-        def reader(self, kind):
-            return _PagedReader(fetch, total, size, [f.name for f in kind])
+        def reader(self, schema):
+            return _PagedReader(fetch, total, size, columns)
 
     spark.dataSource.register(Paged)
     return spark.read.format(name).load()
