@@ -2,7 +2,7 @@
 
 Features are words and the 5-byte grams inside them, hashed to `BUCKETS`. Their
 document frequencies are counted over all texts and over all confirmed toxic
-ones; those much more frequent in the latter become the model's inputs. The
+ones, copies of one text among the latter counting once; those much more frequent in the latter become the model's inputs. The
 classifier is linear in the unit vector of the inputs present in a text, fitted
 with numpy on bounded samples by the non-negative risk estimator
 
@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import LOWER, WORD, SpanHash, U, blocks, mix, signed, words
+from . import ngram_join
+from .bytescan import LOWER, WORD, SpanHash, U, blocks
 from .common import join_by_size, small_batches, written
 from .sampling import bounded, remainder
 
@@ -67,20 +68,8 @@ def _presence(column, chosen: np.ndarray | None = None):
 
 
 def representatives(texts: DataFrame) -> DataFrame:
-    """doc_id of one text of each group with the same smallest word hash: near copies would pass for evidence many times over."""
-
-    def sign(batches):
-        for batch in batches:
-            least = []
-            for _, data, offsets in blocks(batch.column("text")):
-                _, _, h, at = words(data, offsets)
-                low = np.minimum.reduceat(np.append(mix(h), U(2**64 - 1)), at[:-1])
-                least.append(np.where(np.diff(at) > 0, low, U(2**64 - 1)))
-            if least:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed(np.concatenate(least)))], names=["doc_id", "least"])
-
-    signed_texts = texts.select("doc_id", "text").mapInArrow(sign, f"doc_id {dict(texts.dtypes)['doc_id']}, least long")
-    return signed_texts.groupBy("least").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    """doc_id of one text of each class of the n-gram join: copies would pass for evidence many times over. Texts without words have no inputs."""
+    return ngram_join.join(texts).where("set_key is not null").select(F.col("class_id").alias("doc_id")).distinct()
 
 
 def document_frequencies(texts: DataFrame, least: int, among: np.ndarray | None = None) -> tuple[np.ndarray, int]:

@@ -88,6 +88,28 @@ def test_toxicity(spark):
     assert toxicity.digest(d.limit(0), lab).count() == 0
 
 
+def test_confirmed_texts_with_common_words_all_count(spark):
+    """Frequent words are no sign of a copy; equal texts in other case and texts of nearly the same shingles are."""
+    r = random.Random(6)
+    common = [f"the{c}" for c in "abcdefghijklmnopqrst"]
+    foul = ["".join(r.choice("mnopqrstuv") for _ in range(9)) for _ in range(6)]
+    docs, labels = [], []
+    for i in range(1200):
+        bad = i % 10 == 0
+        words = common + ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+        if bad:
+            words += [foul[i // 10 % 6]]
+        r.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(bad)))
+    confirmed = [d for d in docs if d[0] % 10 == 0]
+    copies = [(5000 + i, t.upper()) for i, t in confirmed[:20]] + [(6000 + i, t + " end") for i, t in confirmed[20:40]]
+    d = spark.createDataFrame(confirmed + copies + [(7000, ""), (7001, None)], "doc_id long, text string").repartition(3)
+    assert sorted(x.doc_id for x in toxicity.representatives(d).collect()) == [i for i, _ in confirmed]
+    got = toxicity.digest(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {x.doc_id for x in got.where("predicted = 1").collect()} == {i for i, _ in confirmed}
+
+
 def test_attention_gradient():
     r = np.random.default_rng(4)
     x, begin = r.normal(size=(400, 5)), np.arange(0, 401, 4)
