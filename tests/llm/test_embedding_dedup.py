@@ -51,5 +51,25 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert got == brute(rows)
 
 
+def test_links_between_tight_clusters(spark):
+    """Every list is full of a vector's own cluster; the links to the cluster beside it count all the same."""
+    r = np.random.default_rng(7)
+    rows = []
+    for _ in range(3):
+        a, b = np.linalg.qr(r.normal(size=(32, 2)))[0].T
+        for center in (a, 0.935 * a + np.sqrt(1 - 0.935**2) * b):
+            rows += [[float(np.float32(v)) for v in center + r.normal(size=32) * 0.014] for _ in range(60)]
+    rows = list(enumerate(rows))
+    got = {x.vec_id: (x.n_links, x.component_id) for x in ed.digest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()}
+    assert got == brute(rows)
+    assert set(n for n, _ in got.values()) == {119}
+
+
+def test_audit_counts_nodes_not_links():
+    assert ed.recall([]) == ed.recall([(0, 0), (5, 5)]) == 1.0
+    assert ed.recall([(1000, 1000)] + [(0, 1)] * 9) == 0.1
+    assert ed.recall([(1, 1)] * 80 + [(0, 100)] * 4 + [(100, 100)] * 16) == 0.8
+
+
 def test_empty(spark):
     assert ed.digest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
