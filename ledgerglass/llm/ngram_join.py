@@ -11,7 +11,8 @@ one *class* throughout. The steps:
    others fall apart. Buckets of at most `LEAF` sets are leaves, larger ones
    are split again, down to `DEPTH`; there, what is left shares so many tokens
    that it is taken for a group of near copies. `runs_for` gives the number of
-   independent runs that meet the target recall at the threshold itself.
+   independent runs that meet the target recall at the threshold itself, for
+   pairs whose buckets are split down to `DEPTH`; all others are found more often.
 3. Leaves are brute-forced on the embedded sets, with a margin of four standard
    errors below the threshold; that gives candidate groups.
 4. Candidate groups are verified exactly on the whole shingle sets, in blocks:
@@ -43,16 +44,24 @@ FIRST_DEPTH, DEPTH = 2, 5
 BLOCK_SETS = 384
 
 
-def runs_for(recall: float, depth: int = FIRST_DEPTH) -> int:
+def runs_for(recall: float, depth: int = DEPTH, threshold: float = 0.8) -> int:
     """Runs after which a pair at the threshold shared a path of `depth` tokens with probability `recall`.
 
-    On the way down such a pair keeps one common path per node on average; the
-    chance that one is left after d levels follows from s -> 1 - exp(-s).
+    Of the pair's tokens m of SIZE are equal, binomially spread around the
+    threshold; on the way down it keeps m / (threshold * SIZE) common paths per
+    node on average, and the chance that one is left after d levels follows from
+    s -> 1 - exp(-s * m / (threshold * SIZE)). Runs are independent given m.
     """
-    alive = 1.0
-    for _ in range(depth):
-        alive = 1 - math.exp(-alive)
-    return math.ceil(math.log(1 - recall) / math.log(1 - alive))
+    cases = []
+    for m in range(SIZE + 1):
+        alive = 1.0
+        for _ in range(depth):
+            alive = 1 - math.exp(-alive * m / (threshold * SIZE))
+        cases.append((math.comb(SIZE, m) * threshold**m * (1 - threshold) ** (SIZE - m), 1 - alive))
+    runs = 1
+    while sum(p * lost**runs for p, lost in cases) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -191,7 +200,7 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 def candidate_groups(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """classes (set_key, sig) -> (node, component): groups of at least two classes that may hold links."""
-    rows = _paths(classes, threshold, runs_for(recall), start=True)
+    rows = _paths(classes, threshold, runs_for(recall, DEPTH, threshold), start=True)
     links = []
     for depth in range(FIRST_DEPTH, DEPTH + 1):
         rows = written(rows, "paths")

@@ -72,6 +72,19 @@ def test_one_of_each_class_stays(spark):
     assert nj.digest(docs.limit(0)).count() == 0
 
 
+def test_pairs_at_the_threshold_share_a_path_at_the_last_depth():
+    r = np.random.default_rng(8)
+    pairs, runs, found = 1500, nj.runs_for(0.995), 0
+    for _ in range(pairs):
+        s = r.integers(0, 2**63, 500).astype(np.uint64)
+        sig = np.stack([nj.embed(s[:450]), nj.embed(s[50:])])  # 400 of 500 shared
+        path, owner = np.tile(nj.mix(np.arange(runs, dtype=nj.U) + nj.U(0x1234567)), 2), np.repeat([0, 1], runs)
+        for _ in range(nj.DEPTH):
+            path, owner = nj._step(path, owner, sig, 0.8)
+        found += len(np.intersect1d(path[owner == 0], path[owner == 1])) > 0
+    assert found >= 0.99 * pairs
+
+
 def test_pieces():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 50, 30).astype(np.uint64)) for _ in range(9)]
