@@ -4,7 +4,7 @@ A page is read into blocks. Landmarks decide most of them: inside `article` or
 `main` everything is text except nested menus, forms, adverts, comments and the
 like; on a page with such a landmark everything outside it is furniture. For
 pages without one, a host-wide sampled suffix array decides: the token streams
-of a host's pages are put side by side, every suffix cut to `RUN` tokens is
+outside of landmarks of all a host's pages are put side by side, every suffix cut to `RUN` tokens is
 grouped with its equals, and tokens covered by a run that at least `MIN_PAGES`
 distinct pages of the host share are furniture; what is unique stays. Inside a
 landmark repeats are kept, as sites do publish one article under several
@@ -174,35 +174,38 @@ def host(url: str):
 
 
 def _suffixes(pages: DataFrame) -> DataFrame:
-    """pages (host, k1, k2, html) -> host, k1, k2, page (hash of the undecided text), at (token), suffix (hash of RUN tokens)."""
+    """pages (host, k1, k2, html) -> host, k1, k2, page (hash of its text), bare (no text inside a landmark), at (token outside of landmarks), suffix (hash of RUN tokens)."""
 
     def scan(batches):
         for batch in batches:
-            row, page, at, suffix = [], [], [], []
+            row, page, bare, at, suffix = [], [], [], [], []
             for i, doc in enumerate(batch.column("html").to_pylist()):
                 inside, outside = blocks_of(doc)
-                if inside or not outside:
+                if not outside:
                     continue
                 _, tokens = _tokens("\n".join(outside))
                 grams = row_grams(tokens, RUN)
                 with np.errstate(over="ignore"):
-                    whole = np.bitwise_xor.reduce(mix(tokens + np.arange(len(tokens), dtype=U)))
+                    # the same menu around different articles is on different pages
+                    every = _tokens("\n".join(outside + inside))[1]
+                    whole = np.bitwise_xor.reduce(mix(every + np.arange(len(every), dtype=U)))
                 row.append(np.full(len(grams), i))
                 page.append(np.full(len(grams), whole, dtype=U))
+                bare.append(np.full(len(grams), not inside))
                 at.append(np.arange(len(grams), dtype=np.int32))
                 suffix.append(grams)
             if row:
                 row = pa.array(np.concatenate(row))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).take(row) for c in ("host", "k1", "k2")), pa.array(signed(np.concatenate(page))), pa.array(np.concatenate(at)), pa.array(signed(np.concatenate(suffix)))],
-                    names=["host", "k1", "k2", "page", "at", "suffix"],
+                    [*(batch.column(c).take(row) for c in ("host", "k1", "k2")), pa.array(signed(np.concatenate(page))), pa.array(np.concatenate(bare)), pa.array(np.concatenate(at)), pa.array(signed(np.concatenate(suffix)))],
+                    names=["host", "k1", "k2", "page", "bare", "at", "suffix"],
                 )
 
-    return pages.mapInArrow(scan, "host string, k1 long, k2 long, page long, at int, suffix long")
+    return pages.mapInArrow(scan, "host string, k1 long, k2 long, page long, bare boolean, at int, suffix long")
 
 
 def repeated_runs(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, k1, k2, starts: for pages (host, k1, k2, html) where runs of RUN tokens start that other pages of the host share.
+    """host, k1, k2, starts: for pages (host, k1, k2, html) without text inside a landmark, where runs of RUN tokens start that other pages of the host share.
 
     Pages of the same text count as one. The hash of a run and of a page reduce
     to counts before anything is joined; a host of any size is dealt by suffix.
@@ -210,7 +213,7 @@ def repeated_runs(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     suffixes = written(_suffixes(pages).distinct(), "suffixes")
     shared = suffixes.select("host", "suffix", "page").distinct().groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("n"))
     shared = shared.where(F.col("n") >= min_pages).select("host", "suffix")
-    return suffixes.join(shared, ["host", "suffix"], "left_semi").groupBy("host", "k1", "k2").agg(F.collect_list("at").alias("starts"))
+    return suffixes.where("bare").join(shared, ["host", "suffix"], "left_semi").groupBy("host", "k1", "k2").agg(F.collect_list("at").alias("starts"))
 
 
 def _unique(outside: list[str], starts) -> list[str]:
@@ -230,16 +233,13 @@ def _unique(outside: list[str], starts) -> list[str]:
     return out
 
 
-_LANDMARK = r"(?i)<(article|main)[\s/>]|role\s*=\s*[\"']?(main|article)|itemprop\s*=\s*[\"']?articleBody"
-
-
 def extract(pages: DataFrame, keep: list[str], url: str = "url", html: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """Columns `keep` of every page and its `main_text`; a null, empty or textless page has an empty text."""
     small_batches(pages.sparkSession)
     k1, k2 = F.xxhash64(html), F.xxhash64(F.lit("second"), F.col(html))
     rows = pages.select(*keep, host(url).alias("__host"), k1.alias("__k1"), k2.alias("__k2"), F.col(html).alias("__html"))
-    bare = pages.where(F.col(html).isNotNull() & ~F.col(html).rlike(_LANDMARK)).select(host(url).alias("host"), k1.alias("k1"), k2.alias("k2"), F.col(html).alias("html"))
-    runs = written(repeated_runs(bare, min_pages), "runs").toDF("__h", "__a", "__b", "__starts")
+    every = pages.where(F.col(html).isNotNull()).select(host(url).alias("host"), k1.alias("k1"), k2.alias("k2"), F.col(html).alias("html"))
+    runs = written(repeated_runs(every, min_pages), "runs").toDF("__h", "__a", "__b", "__starts")
     size = runs.agg(F.sum(96 + 4 * F.size("__starts"))).first()[0] or 0
     on = (F.col("__host") == F.col("__h")) & (F.col("__k1") == F.col("__a")) & (F.col("__k2") == F.col("__b"))
     rows = join_by_size(rows, runs, on, "left", size)

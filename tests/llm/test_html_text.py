@@ -33,3 +33,11 @@ def test_host_runs_without_landmarks(spark):
         assert got[i] == (t, len(t))
     assert got[9][0] == menu and got[10] == ("", 0) and got[11][0] == menu
     assert digest(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pages_with_landmarks_are_evidence(spark):
+    menu = "Home News Sport Weather Contact About Terms Privacy Help"
+    rows = [(i, f"http://h/{i}", f"<body><div>{menu}</div><article>Tale {i}</article></body>") for i in range(4)]
+    rows += [(7, "http://h/7", f"<body><div>{menu}</div><p>Own words</p></body>"), (8, "http://h/8", f"<body><div>{menu}</div><p>Mine</p><article class=\"comment\">reader</article></body>")]
+    got = {r.page_id: r.text for r in digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Tale {i}" for i in range(4)} | {7: "Own words", 8: "Mine"}
