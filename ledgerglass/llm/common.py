@@ -29,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, whatever file system it is on."""
     try:
         jvm = spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -39,12 +40,30 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the program ends."""
+    """A new path in the shared folder, removed when the program ends unless `discard` has removed it before."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
     return path
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the complete tables right below a folder (those with Spark's _SUCCESS mark), in order; none if there is no folder."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by `written` whose consumers have all been written themselves."""
+    for t in tables:
+        path = getattr(t, "written_to", None)
+        if path:
+            delete(t.sparkSession, path)
+
+
 #: Rows of texts that a task holds at once on their way to Python and back.
 BATCH_ROWS = 1000
 
@@ -57,12 +76,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder (or to `path`) and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def join_by_size(big: DataFrame, small: DataFrame, on, how: str, small_bytes: int) -> DataFrame:
@@ -70,6 +91,16 @@ def join_by_size(big: DataFrame, small: DataFrame, on, how: str, small_bytes: in
     return big.join(F.broadcast(small) if small_bytes <= BROADCAST_BYTES else small.hint("merge"), on, how)
 
 
+def semi_join(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of `big` whose key is in `keys`.
+
+    The keys are written first: then their size is known, and neither side has an
+    aggregate between its shuffle and the join, so that Spark can split a frequent key.
+    """
+    keys = written(keys.select(*on), "keys")
+    return join_by_size(big, keys, on, "left_semi", 24 * len(on) * keys.count())
+
+
 def components(edges: DataFrame, nodes: Sequence[str] = ("a", "b"), max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: (node, component), the component being its smallest node.
 

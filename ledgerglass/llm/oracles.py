@@ -13,19 +13,26 @@ m AS (SELECT doc_id, min(z) AS class_id FROM r GROUP BY doc_id)
 SELECT doc_id, class_id, (SELECT count(*) FROM l WHERE l.x = m.doc_id) AS n_links, doc_id = class_id AS kept FROM m
 """
 
-SUFFIX_DEDUP = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-b AS (SELECT doc_id, o, substr(h, 2 * o + 1, 1600) AS h, least(400, len(h) // 2 - 399 - o) AS n FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399, 400)) AS o FROM d WHERE len(h) >= 800)),
-w AS (SELECT doc_id, o + i AS i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, o, h, unnest(range(0, n)) AS i FROM b)),
-t AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
-s AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, TRUE) AS fresh FROM w SEMI JOIN t USING (k)),
-r AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s) GROUP BY doc_id, run),
-p AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM r UNION ALL SELECT doc_id, max(b), 1 << 30 FROM r GROUP BY doc_id),
-k AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS h FROM p JOIN d USING (doc_id) GROUP BY doc_id),
-c AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
-SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(k.h, CASE WHEN c.n_spans IS NULL THEN d.h ELSE '' END))) AS kept_sha256
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+
+
+def _repeats(n: int) -> str:
+    """Common tables: s{n} the repeated windows of n bytes, r{n} their runs, c{n} the bytes and runs of each text."""
+    return f"""
+b{n} AS (SELECT doc_id, o, substr(h, 2 * o + 1, {4 * n}) AS h, least({n}, len(h) // 2 - {n - 1} - o) AS n FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {n - 1}, {n})) AS o FROM d WHERE len(h) >= {2 * n})),
+w{n} AS (SELECT doc_id, o + i AS i, md5(substr(h, 2 * i + 1, {2 * n})) AS k FROM (SELECT doc_id, o, h, unnest(range(0, n)) AS i FROM b{n})),
+t{n} AS (SELECT k FROM w{n} GROUP BY k HAVING count(*) > 1),
+s{n} AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {n}, TRUE) AS fresh FROM w{n} SEMI JOIN t{n} USING (k)),
+r{n} AS (SELECT doc_id, min(i) AS a, max(i) + {n} AS b FROM (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s{n}) GROUP BY doc_id, run),
+c{n} AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM r{n} GROUP BY doc_id)"""
+
+
+SUFFIX_DEDUP = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),{_repeats(400)},{_repeats(240)},
+p AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM r400 UNION ALL SELECT doc_id, max(b), 1 << 30 FROM r400 GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS h FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(c400.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(c400.n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k.h, CASE WHEN c400.n_spans IS NULL THEN d.h ELSE '' END))) AS kept_sha256, CAST(coalesce(c240.n_removed, 0) AS BIGINT) AS n_passage
+FROM d LEFT JOIN c400 USING (doc_id) LEFT JOIN c240 USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 EMBEDDING_DEDUP = """

@@ -10,13 +10,14 @@ consecutive windows with one anchor form a *run*, kept as one entry:
 * `k1`      fingerprint of all bytes of the run and of the anchor's place in it,
 * `place`   where the run lies: first window, anchor and number of windows, in one long.
 
-The array of a new batch is merge-scanned together with the levels of the
-family, in the order of `lk` and `rk`: entries equal in `k1` are runs that repeat
-as a whole; entries that share only half a window may share some windows. Levels
-of equal size are merged before the next batch comes, so that after n batches
-there are at most log2(n) + 1. Arrays are ordered by fingerprint, not by letter:
-matches shorter than half a window never count, so the order within them is
-not needed.
+The array of a new batch holds its distinct runs in the order of their half
+windows' fingerprints. It is merge-scanned (a sort-merge join) against each level
+of the family: entries equal in `k1` are runs that repeat as a whole; entries that
+share only half a window may share some windows. Levels of equal size are merged
+before the next batch comes, so that after n batches there are at most
+log2(n) + 1. Arrays are ordered by fingerprint, not by letter: matches shorter
+than half a window never count, so the order within them is not needed. Levels
+live in a folder, and `extend_index` adds a batch to what an earlier call left there.
 
 Runs that share half a window are compared in ever smaller ranges of windows
 (64, 8, 1): a range whose bytes recur repeats, one whose windows' common bytes
@@ -27,16 +28,20 @@ fixed-width keys with partial results, and no text is shuffled unless the join o
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytescan import SpanHash, U, blocks, mix, signed, window_min
-from .common import join_by_size, small_batches, written
+from .common import BROADCAST_BYTES, children, delete, discard, fresh_path, join_by_size, semi_join, small_batches, written
 
 GRAM = 32
+#: Bytes of a repeated passage of over 50 words: 99 % of the 51-word strings of the tables' four languages have at least 248.
+PASSAGE = 240
 #: Windows in a range, from one comparison to the next.
 WIDTHS = (64, 8, 1)
 _ANCHOR_BITS = 28
@@ -99,48 +104,122 @@ def suffix_runs(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(scan, "t1 long, t2 long, place long, k1 long, lk long, rk long")
 
 
-class SuffixLevels:
-    """The family: `add` batches of entries; `found()` has the entries that agree with another one.
+class SuffixIndex:
+    """The family of sampled suffix arrays, in a folder that outlives the call.
 
-    Columns of `found()`: t1, t2, place; `again`: the run repeats as a whole
-    (said once per occurrence and scan); `left`, `close`: the run is to be compared window
-    by window on this side of its anchor (said for one occurrence of equal runs).
+    An array holds the distinct runs of its batches, a row for each half window
+    (`left`, `key`), in the order of `key` and `k1`, with the number of occurrences
+    (`times`) and the place of one of them. `state-*` tables name the levels; the
+    newest complete one counts, so that a call that broke off leaves the index as
+    it was. Merged levels stay until `drop` so that readers of an older state go on.
     """
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []
-        self.scans: list[DataFrame] = []
-
-    def add(self, array: DataFrame) -> None:
+    KEY = ["left", "key"]
+    RUN = ["left", "key", "k1"]
+    PLACE = ["t1", "t2", "place", "has_left"]
+
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        self.spark = spark
+        self.folder = (folder or fresh_path(spark, "suffix-index")).rstrip("/")
+        states = [x for x in children(spark, self.folder) if x.startswith("state-")]
+        self.version = int(states[-1].removeprefix("state-")) if states else 0
+        self.levels: list[tuple[int, str]] = []
+        if states:
+            # one row for each level, of which there are about as many as the logarithm of the batches
+            self.levels = [(r.size, r.name) for r in spark.read.parquet(f"{self.folder}/{states[-1]}").orderBy("position").collect()]
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def _store(self, runs: DataFrame) -> str:
+        name = f"array-{uuid.uuid4().hex}"
+        runs.sortWithinPartitions("key", "k1").write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        return name
+
+    def _remember(self) -> None:
+        self.version += 1
+        rows = [(i, size, name) for i, (size, name) in enumerate(self.levels)]
+        self.spark.createDataFrame(rows, "position int, size long, name string").coalesce(1).write.parquet(f"{self.folder}/state-{self.version:09d}")
+
+    def _merge_equal(self) -> None:
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, x), (_, y) = self.levels.pop(), self.levels.pop()
-            self.levels.append((2 * size, written(x.union(y), "level")))
-        merged = array
-        for _, level in self.levels:
-            merged = merged.union(level)
-        rows = written(self._halves(merged), "halves")
+            both = self._read(x).union(self._read(y))
+            self.levels.append((2 * size, self._store(both.groupBy(*self.RUN).agg(F.sum("times").alias("times"), *(F.first(c).alias(c) for c in self.PLACE)))))
+
+    def add(self, halves: DataFrame) -> DataFrame:
+        """Make the array of a new batch (`half_windows` of its runs), merge-scan it against each level, and keep it as a level.
+
+        Returns t1, t2, place, left, again, close: `again` says that a run repeats as a
+        whole (once per occurrence), `close` that it is to be compared window by window
+        on this side of its anchor (for one occurrence of equal runs). Runs of older
+        batches appear where the new batch brings their first repetition or a new neighbour.
+        Levels are only read where a half window of the new batch occurs.
+        """
+        self._merge_equal()
         # equal runs are counted before they are dealt, so that a run of any frequency is one row per task
-        runs = rows.groupBy("left", "key", "k1").agg(F.count(F.lit(1)).alias("times"), *(F.first(c).alias(c) for c in ("t1", "t2", "place")))
-        runs = written(runs, "distinct-runs")
-        shared = runs.groupBy("left", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("left", "key")
-        close = runs.join(shared, ["left", "key"], "left_semi").select("t1", "t2", "place", "left", F.lit(False).alias("again"), F.lit(True).alias("close"))
-        again = rows.where("left or not has_left").join(runs.where("times > 1").select("left", "key", "k1"), ["left", "key", "k1"], "left_semi")
-        again = again.select("t1", "t2", "place", "left", F.lit(True).alias("again"), F.lit(False).alias("close"))
-        self.scans.append(written(again.union(close), "scan"))
-        self.levels.append((1, array))
-
-    @staticmethod
-    def _halves(array: DataFrame) -> DataFrame:
-        """A row for each half window that an entry has."""
-        half = F.explode(F.array(F.struct(F.col("lk").alias("key"), F.lit(True).alias("left")), F.struct(F.col("rk").alias("key"), F.lit(False).alias("left"))))
-        return array.select("t1", "t2", "place", "k1", F.col("lk").isNotNull().alias("has_left"), half.alias("e")).select("t1", "t2", "place", "k1", "has_left", "e.*").where("key is not null")
-
-    def found(self) -> DataFrame:
-        out = self.scans[0]
-        for x in self.scans[1:]:
-            out = out.union(x)
+        fresh = halves.groupBy(*self.RUN).agg(F.count(F.lit(1)).alias("times"), *(F.first(c).alias(c) for c in self.PLACE))
+        name = self._store(fresh)
+        fresh = self._read(name)
+        columns = [*self.RUN, "times", *self.PLACE]
+        runs, old, again_old = fresh.select(*columns), None, None
+        if self.levels:
+            keys = fresh.select(*self.KEY).hint("merge")
+            for _, level in self.levels:
+                met = self._read(level).select(*columns).join(keys, self.KEY, "left_semi")
+                old = met if old is None else old.union(met)
+            old = written(old, "met")
+        known = runs if old is None else runs.union(old)
+        shared = known.groupBy(*self.KEY).agg((F.min("k1") != F.max("k1")).alias("differ")).where("differ")
+        close = semi_join(known, shared, self.KEY)
+        repeated = fresh.where("times > 1").select(*self.RUN, "times")
+        if old is not None:
+            close = close.dropDuplicates(self.RUN)
+            met = semi_join(fresh, old, self.RUN)
+            repeated = repeated.union(met.where("times = 1").select(*self.RUN, "times"))
+            again_old = semi_join(old.where("times = 1"), met, self.RUN)
+        again = _occurrences(halves, repeated, self.RUN)
+        if again_old is not None:
+            again = again.select(*self.PLACE, "left").union(again_old.select(*self.PLACE, "left"))
+        # a run with both half windows is said once
+        again = again.where("left or not has_left").select("t1", "t2", "place", "left", F.lit(True).alias("again"), F.lit(False).alias("close"))
+        out = written(again.union(close.select("t1", "t2", "place", "left", F.lit(False).alias("again"), F.lit(True).alias("close"))), "scan")
+        if old is not None:
+            discard(old)
+        self.levels.append((1, name))
+        self._remember()
         return out
 
+    def drop(self) -> None:
+        """Remove the folder."""
+        delete(self.spark, self.folder)
+
+
+#: Occurrences of a run in a batch from which its rows are picked by broadcast, so that they need not meet in one task.
+FREQUENT = 1000
+
+
+def _occurrences(halves: DataFrame, repeated: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of `halves` whose run is in `repeated` (with `times`).
+
+    Runs with `FREQUENT` occurrences or more go by a broadcast if their measured
+    size allows it, so their rows stay where they are; beyond that Spark splits them.
+    """
+    repeated = written(repeated, "repeated")
+    hot = repeated.where(F.col("times") >= FREQUENT).select(*on)
+    n = hot.count()
+    if not n or 48 * n > BROADCAST_BYTES:
+        return semi_join(halves, repeated, on)
+    marked = halves.join(F.broadcast(hot.withColumn("hot", F.lit(True))), on, "left")
+    rest = marked.where("hot is null").drop("hot")
+    return marked.where("hot").drop("hot").unionByName(semi_join(rest, repeated.where(F.col("times") < FREQUENT), on))
+
+
+def half_windows(entries: DataFrame) -> DataFrame:
+    """A row for each half window that an entry has."""
+    half = F.explode(F.array(F.struct(F.col("lk").alias("key"), F.lit(True).alias("left")), F.struct(F.col("rk").alias("key"), F.lit(False).alias("left"))))
+    return entries.select("t1", "t2", "place", "k1", F.col("lk").isNotNull().alias("has_left"), half.alias("e")).select("t1", "t2", "place", "k1", "has_left", "e.*").where("key is not null")
+
 
 def _ranges(texts: DataFrame, length: int, width: int) -> DataFrame:
     """texts (t1, t2, text, todo of anchor, lo, hi) -> t1, t2, anchor, lo, hi, c, f of the ranges of `width` windows in each.
@@ -184,20 +263,27 @@ def _ranges(texts: DataFrame, length: int, width: int) -> DataFrame:
 def _compare(texts: DataFrame, close: DataFrame, length: int) -> list[DataFrame]:
     """close (t1, t2, anchor, lo, hi), no two runs equal -> tables (t1, t2, start, windows) of windows that recur."""
     out = []
+    columns = ["t1", "t2", "anchor", "lo", "hi"]
+    used: list[DataFrame] = []
     for width in WIDTHS:
         todo = written(close.groupBy("t1", "t2").agg(F.collect_set(F.struct("anchor", "lo", "hi")).alias("todo")), "todo")
-        size = todo.agg(F.sum(64 + 16 * F.size("todo"))).first()[0] or 0
+        discard(*used)
+        size = todo.agg(F.sum(64 + 16 * F.size("todo"))).first()[0]
+        if not size:
+            discard(todo)
+            return out
         # equal texts bring equal rows; all but one are left out
-        rows = _ranges(join_by_size(texts, todo, ["t1", "t2"], "inner", size), length, width).distinct()
-        rows = written(rows, "ranges")
+        rows = written(_ranges(join_by_size(texts, todo, ["t1", "t2"], "inner", size), length, width).distinct(), "ranges")
+        discard(todo)
         whole, partial = rows.where("f is not null"), rows.where("f is null")
-        fulls = whole.groupBy("c", "f").agg(F.count(F.lit(1)).alias("times"), *(F.first(x).alias(x) for x in ("t1", "t2", "anchor", "lo", "hi")))
+        fulls = whole.groupBy("c", "f").agg(F.count(F.lit(1)).alias("times"), *(F.first(x).alias(x) for x in columns))
         fulls = written(fulls, "full-ranges")
-        several = fulls.select("c").union(partial.select("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c")
-        again = whole.join(fulls.where("times > 1").select("c", "f"), ["c", "f"], "left_semi")
-        out.append(again.select("t1", "t2", (F.col("anchor") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).alias("windows")))
-        columns = ["t1", "t2", "anchor", "lo", "hi"]
-        close = fulls.select("c", *columns).union(partial.select("c", *columns)).join(several, "c", "left_semi").select(*columns)
+        several = fulls.select("c").union(partial.select("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        again = _occurrences(whole, fulls.where("times > 1").select("c", "f", "times"), ["c", "f"])
+        out.append(written(again.select("t1", "t2", (F.col("anchor") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).alias("windows")), "windows"))
+        close = semi_join(fulls.select("c", *columns).union(partial.select("c", *columns)), several, ["c"]).select(*columns)
+        used = [rows, fulls]
+    discard(*used)
     return out
 
 
@@ -207,17 +293,44 @@ def text_key(text: str = "text"):
     return F.xxhash64(t).alias("t1"), F.xxhash64(F.lit("second"), t).alias("t2")
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 2, text: str = "text") -> tuple[DataFrame, int]:
-    """(t1, t2, spans) of every text with repeats, spans an array of (start, end) in bytes, and the table's size in bytes."""
+def _windows(docs: DataFrame, length: int, text: str) -> DataFrame:
+    return docs.select(*text_key(text), F.col(text).alias("text")).where(F.octet_length("text") >= length)
+
+
+def extend_index(index: SuffixIndex, docs: DataFrame, earlier: DataFrame | None, length: int = 400, text: str = "text") -> DataFrame:
+    """Add `docs` to an index in its folder, and say what repeats because of them.
+
+    Returns (t1, t2, spans), spans an array of (start, end) in bytes, of texts among
+    `docs` and among `earlier`, the rows added before (None for none; only those
+    that meet a new one are compared). The spans of all calls together cover what
+    one call over all rows finds. An index is for one `length`.
+    """
+    texts = _windows(docs, length, text)
+    halves = written(half_windows(suffix_runs(texts, length)), "halves")
+    found = index.add(halves)
+    discard(halves)
+    known = texts if earlier is None else texts.union(_windows(earlier, length, text))
+    return _spans(known, found, length)
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 3, text: str = "text") -> DataFrame:
+    """(t1, t2, spans) of every text with repeats, spans an array of (start, end) in bytes, by an index of `batches` batches made for this call."""
     if not 2 * GRAM <= length < 1 << _BITS:
         raise ValueError(f"length must be from {2 * GRAM} to {(1 << _BITS) - 1} bytes")
     small_batches(docs.sparkSession)
-    texts = docs.select(*text_key(text), F.col(text).alias("text")).where(F.octet_length("text") >= length)
-    entries = written(suffix_runs(texts, length).withColumn("batch", F.pmod(F.col("t2"), F.lit(batches)).cast("int")), "entries")
-    family = SuffixLevels()
+    texts = _windows(docs, length, text)
+    halves = written(half_windows(suffix_runs(texts, length)).withColumn("batch", F.pmod(F.col("t2"), F.lit(batches)).cast("int")), "halves")
+    index = SuffixIndex(docs.sparkSession)
+    found = None
     for b in range(batches):
-        family.add(entries.where(F.col("batch") == b).drop("batch"))
-    found = family.found()
+        scan = index.add(halves.where(F.col("batch") == b).drop("batch"))
+        found = scan if found is None else found.union(scan)
+    index.drop()
+    discard(halves)
+    return _spans(texts, found, length)
+
+
+def _spans(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
     start, before, count = F.shiftright("place", 2 * _BITS).cast("int"), F.shiftright("place", _BITS).bitwiseAND((1 << _BITS) - 1).cast("int"), F.col("place").bitwiseAND((1 << _BITS) - 1).cast("int")
     whole = found.where("again").select("t1", "t2", start.alias("start"), count.alias("windows"))
     half = (length - GRAM) // 2
@@ -241,25 +354,37 @@ def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 2, text: s
                 out.append(spans)
             yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), pa.array(out, kind)], names=["t1", "t2", "spans"])
 
-    spans = written(spans.mapInArrow(unite, "t1 long, t2 long, spans array<struct<start:int,end:int>>"), "spans")
-    return spans, spans.agg(F.sum(48 + 16 * F.size("spans"))).first()[0] or 0
+    return written(spans.mapInArrow(unite, "t1 long, t2 long, spans array<struct<start:int,end:int>>"), "spans")
 
 
-def mark_repeats(docs: DataFrame, length: int = 400, batches: int = 2, text: str = "text") -> DataFrame:
-    """`docs` with the column `repeat_spans`: the byte ranges of its text that a string of `length` bytes found elsewhere covers.
+def _bytes_of(spans: DataFrame) -> int:
+    """Measured size of a table of spans."""
+    return spans.agg(F.sum(48 + 16 * F.size("spans"))).first()[0] or 0
 
-    A null or short text has none; equal rows each count as an occurrence of
-    their text, so a text of `length` bytes or more that comes twice is covered
-    whole. Other columns, also such with names used inside, are kept as they are.
-    """
-    spans, size = repeated_spans(docs, length, batches, text)
+
+def _with_spans(docs: DataFrame, spans: DataFrame, text: str, name: str) -> DataFrame:
+    """`docs` with the spans of its texts as column `name`, null where there are none."""
     k1, k2 = text_key(text)
-    spans = spans.select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("spans").alias("repeat_spans"))
+    size = _bytes_of(spans)
+    spans = spans.select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("spans").alias(name))
     keyed = docs.select("*", k1.alias("__k1"), k2.alias("__k2"))
     on = (F.col("__k1") == F.col("__t1")) & (F.col("__k2") == F.col("__t2"))
     return join_by_size(keyed, spans, on, "left", size).drop("__k1", "__k2", "__t1", "__t2")
 
 
+def mark_repeats(docs: DataFrame, length: int = 400, batches: int = 3, text: str = "text", name: str = "repeat_spans") -> DataFrame:
+    """`docs` with the column `name`: the byte ranges of its text that a string of `length` bytes found elsewhere covers.
+
+    A null or short text has none; equal rows each count as an occurrence of
+    their text, so a text of `length` bytes or more that comes twice is covered
+    whole. Other columns, also such with names used inside, are kept as they are;
+    a column called `name` would be hidden and is refused.
+    """
+    if name in docs.columns:
+        raise ValueError(f"the table has a column {name} already; pass another name")
+    return _with_spans(docs, repeated_spans(docs, length, batches, text), text, name)
+
+
 def _kept(data: bytes, spans) -> bytes:
     out, at = [], 0
     for s in spans or ():
@@ -269,27 +394,42 @@ def _kept(data: bytes, spans) -> bytes:
     return b"".join(out)
 
 
-def digest(docs: DataFrame, length: int = 400, batches: int = 2) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+def digest(docs: DataFrame, length: int = 400, passage: int = PASSAGE, batches: int = 3) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and n_passage: the bytes covered by repeats of `passage` bytes.
+
+    Repeats of `length` bytes can only lie where repeats of the shorter `passage`
+    cover as much, so the family for `length` is made of such texts alone.
+    """
+    docs = docs.select("doc_id", "text")
+    shorter = repeated_spans(docs, min(passage, length), batches)
+    long_enough = shorter.where(F.exists("spans", lambda s: s["end"] - s["start"] >= length)).select("t1", "t2")
+    keyed = docs.select("text", *text_key("text"))
+    exact = shorter
+    if length > passage and not long_enough.isEmpty():
+        exact = repeated_spans(semi_join(keyed, long_enough, ["t1", "t2"]).select("text"), length, batches)
+    elif length > passage:
+        exact = shorter.limit(0)
 
     def run(it):
         for batch in it:
-            sizes, gone, count, sha = [], [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("repeat_spans").to_pylist(), strict=True):
+            sizes, gone, count, sha, passages = [], [], [], [], []
+            for text, spans, short in zip(batch.column("text"), batch.column("exact").to_pylist(), batch.column("shorter").to_pylist(), strict=True):
                 raw = (text.as_py() or "").encode()
                 kept = _kept(raw, spans)
                 sizes.append(len(raw))
                 gone.append(len(raw) - len(kept))
                 count.append(len(spans or ()))
                 sha.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                passages.append(sum(s["end"] - s["start"] for s in short or ()))
+            numbers = [pa.array(x, pa.int64()) for x in (sizes, gone, count)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, pa.array(sha, pa.string()), pa.array(passages, pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"])
 
-    marked = mark_repeats(docs.select("doc_id", "text"), length, batches)
+    marked = _with_spans(_with_spans(docs, exact, "text", "exact"), shorter, "text", "shorter")
     kind = dict(docs.dtypes)["doc_id"]
-    return marked.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, batches: int = 3) -> DataFrame:
     """`docs` with the repeated bytes cut from `text` (half characters at a cut go too) and `n_chars` counted anew.
 
     A document of which nothing is left is dropped; null and empty texts stay.
@@ -299,19 +439,20 @@ def remove_repeats(docs: DataFrame, length: int = 400, batches: int = 2) -> Data
         return [None if t is None else _kept(t.encode(), s).decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)]
 
     columns = docs.columns
-    schema = docs.schema.add("__cut", "boolean")
+    spans_of, gone_of = (next(f"{x}{i or ''}" for i in range(len(columns) + 1) if f"{x}{i or ''}" not in columns) for x in ("repeat_spans", "__cut"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(gone_of, T.BooleanType())])
 
     def run(it):
         for batch in it:
             table = pa.Table.from_batches([batch])
-            texts, spans = table["text"].to_pylist(), table["repeat_spans"].to_pylist()
+            texts, spans = table["text"].to_pylist(), table[spans_of].to_pylist()
             new = cut(texts, spans)
             gone = pa.array([bool(s) and not t for t, s in zip(new, spans, strict=True)])
             table = table.set_column(table.column_names.index("text"), "text", pa.array(new, table.schema.field("text").type))
-            table = table.drop_columns(["repeat_spans"]).append_column("__cut", gone)
+            table = table.drop_columns([spans_of]).append_column(gone_of, gone)
             yield from table.to_batches()
 
-    out = mark_repeats(docs, length, batches).mapInArrow(run, schema).where("not __cut").drop("__cut")
+    out = mark_repeats(docs, length, batches, name=spans_of).mapInArrow(run, schema).where(~F.col(gone_of)).drop(gone_of)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*columns)
