@@ -94,11 +94,12 @@ def join_by_size(big: DataFrame, small: DataFrame, on, how: str, small_bytes: in
 def semi_join(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of `big` whose key is in `keys`.
 
-    The keys are written first: then their size is known, and neither side has an
-    aggregate between its shuffle and the join, so that Spark can split a frequent key.
+    The keys are written first (if they aren't yet): then their size is known, and neither side
+    has an aggregate between its shuffle and the join, so that Spark can split a frequent key.
     """
-    keys = written(keys.select(*on), "keys")
-    return join_by_size(big, keys, on, "left_semi", 24 * len(on) * keys.count())
+    if not hasattr(keys, "written_to"):
+        keys = written(keys.select(*on), "keys")
+    return join_by_size(big, keys.select(*on), on, "left_semi", 24 * len(on) * keys.count())
 
 
 def components(edges: DataFrame, nodes: Sequence[str] = ("a", "b"), max_rounds: int = 60) -> DataFrame:

@@ -20,7 +20,7 @@ than half a window never count, so the order within them is not needed. Levels
 live in a folder, and `extend_index` adds a batch to what an earlier call left there.
 
 Runs that share half a window are compared in ever smaller ranges of windows
-(64, 8, 1): a range whose bytes recur repeats, one whose windows' common bytes
+(16, 1): a range whose bytes recur repeats, one whose windows' common bytes
 recur is split, any other is dropped. All of it is Spark aggregates and joins on
 fixed-width keys with partial results, and no text is shuffled unless the join of spans with texts has to.
 """
@@ -43,7 +43,7 @@ GRAM = 32
 #: Bytes of a repeated passage of over 50 words: 99 % of the 51-word strings of the tables' four languages have at least 248.
 PASSAGE = 240
 #: Windows in a range, from one comparison to the next.
-WIDTHS = (64, 8, 1)
+WIDTHS = (16, 1)
 _ANCHOR_BITS = 28
 _BITS = 10
 _SECOND = 0x9FB21C651E98DF25
@@ -138,8 +138,8 @@ class SuffixIndex:
 
     def _remember(self) -> None:
         self.version += 1
-        rows = [(i, size, name) for i, (size, name) in enumerate(self.levels)]
-        self.spark.createDataFrame(rows, "position int, size long, name string").coalesce(1).write.parquet(f"{self.folder}/state-{self.version:09d}")
+        rows = [F.struct(F.lit(i).alias("position"), F.lit(size).cast("long").alias("size"), F.lit(name).alias("name")) for i, (size, name) in enumerate(self.levels)]
+        self.spark.range(1, numPartitions=1).select(F.inline(F.array(*rows))).write.parquet(f"{self.folder}/state-{self.version:09d}")
 
     def _merge_equal(self) -> None:
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
@@ -173,11 +173,12 @@ class SuffixIndex:
         shared = known.groupBy(*self.KEY).agg((F.min("k1") != F.max("k1")).alias("differ")).where("differ")
         close = semi_join(known, shared, self.KEY)
         repeated = fresh.where("times > 1").select(*self.RUN, "times")
+        again_old = None
         if old is not None:
             close = close.dropDuplicates(self.RUN)
-            met = semi_join(fresh, old, self.RUN)
-            repeated = repeated.union(met.where("times = 1").select(*self.RUN, "times"))
-            again_old = semi_join(old.where("times = 1"), met, self.RUN)
+            same = written(old.join(fresh.select(*self.RUN).hint("merge"), self.RUN, "left_semi"), "same")
+            repeated = repeated.union(same.select(*self.RUN, F.lit(2).cast("long").alias("times"))).groupBy(*self.RUN).agg(F.max("times").alias("times"))
+            again_old = same.where("times = 1")
         again = _occurrences(halves, repeated, self.RUN)
         if again_old is not None:
             again = again.select(*self.PLACE, "left").union(again_old.select(*self.PLACE, "left"))
@@ -185,7 +186,7 @@ class SuffixIndex:
         again = again.where("left or not has_left").select("t1", "t2", "place", "left", F.lit(True).alias("again"), F.lit(False).alias("close"))
         out = written(again.union(close.select("t1", "t2", "place", "left", F.lit(False).alias("again"), F.lit(True).alias("close"))), "scan")
         if old is not None:
-            discard(old)
+            discard(old, same)
         self.levels.append((1, name))
         self._remember()
         return out
@@ -398,7 +399,7 @@ def digest(docs: DataFrame, length: int = 400, passage: int = PASSAGE, batches:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and n_passage: the bytes covered by repeats of `passage` bytes.
 
     Repeats of `length` bytes can only lie where repeats of the shorter `passage`
-    cover as much, so the family for `length` is made of such texts alone.
+    cover as much, so `length` is looked for among such texts alone, in one batch.
     """
     docs = docs.select("doc_id", "text")
     shorter = repeated_spans(docs, min(passage, length), batches)
@@ -406,7 +407,7 @@ def digest(docs: DataFrame, length: int = 400, passage: int = PASSAGE, batches:
     keyed = docs.select("text", *text_key("text"))
     exact = shorter
     if length > passage and not long_enough.isEmpty():
-        exact = repeated_spans(semi_join(keyed, long_enough, ["t1", "t2"]).select("text"), length, batches)
+        exact = repeated_spans(semi_join(keyed, long_enough, ["t1", "t2"]).select("text"), length, 1)
     elif length > passage:
         exact = shorter.limit(0)
 
