@@ -86,12 +86,12 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return out
 
 
-def join_by_size(big: DataFrame, small: DataFrame, on, how: str, small_bytes: int) -> DataFrame:
-    """Join with a broadcast of `small` if its measured size allows, else by shuffle (skewed keys are split by AQE)."""
-    return big.join(F.broadcast(small) if small_bytes <= BROADCAST_BYTES else small.hint("merge"), on, how)
+def join_by_size(big: DataFrame, small: DataFrame, on, how: str, small_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with a broadcast of `small` if its measured size is within `limit`, else by shuffle (skewed keys are split by AQE)."""
+    return big.join(F.broadcast(small) if small_bytes <= limit else small.hint("merge"), on, how)
 
 
-def semi_join(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+def semi_join(big: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAST_BYTES) -> DataFrame:
     """Rows of `big` whose key is in `keys`.
 
     The keys are written first (if they aren't yet): then their size is known, and neither side
@@ -99,7 +99,7 @@ def semi_join(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """
     if not hasattr(keys, "written_to"):
         keys = written(keys.select(*on), "keys")
-    return join_by_size(big, keys.select(*on), on, "left_semi", 24 * len(on) * keys.count())
+    return join_by_size(big, keys.select(*on), on, "left_semi", 24 * len(on) * keys.count(), limit)
 
 
 def components(edges: DataFrame, nodes: Sequence[str] = ("a", "b"), max_rounds: int = 60) -> DataFrame:

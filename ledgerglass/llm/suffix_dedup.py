@@ -171,7 +171,7 @@ class SuffixIndex:
             old = written(old, "met")
         known = runs if old is None else runs.union(old)
         shared = known.groupBy(*self.KEY).agg((F.min("k1") != F.max("k1")).alias("differ")).where("differ")
-        close = semi_join(known, shared, self.KEY)
+        close = semi_join(known, shared, self.KEY, SMALL_KEYS)
         repeated = fresh.where("times > 1").select(*self.RUN, "times")
         again_old = None
         if old is not None:
@@ -196,6 +196,8 @@ class SuffixIndex:
         delete(self.spark, self.folder)
 
 
+#: Keys of the arrays go by broadcast up to this size only: the many rows on the other side are narrow, so a shuffle of them costs little.
+SMALL_KEYS = 2 << 20
 #: Occurrences of a run in a batch from which its rows are picked by broadcast, so that they need not meet in one task.
 FREQUENT = 1000
 
@@ -210,10 +212,10 @@ def _occurrences(halves: DataFrame, repeated: DataFrame, on: list[str]) -> DataF
     hot = repeated.where(F.col("times") >= FREQUENT).select(*on)
     n = hot.count()
     if not n or 48 * n > BROADCAST_BYTES:
-        return semi_join(halves, repeated, on)
+        return semi_join(halves, repeated, on, SMALL_KEYS)
     marked = halves.join(F.broadcast(hot.withColumn("hot", F.lit(True))), on, "left")
     rest = marked.where("hot is null").drop("hot")
-    return marked.where("hot").drop("hot").unionByName(semi_join(rest, repeated.where(F.col("times") < FREQUENT), on))
+    return marked.where("hot").drop("hot").unionByName(semi_join(rest, repeated.where(F.col("times") < FREQUENT), on, SMALL_KEYS))
 
 
 def half_windows(entries: DataFrame) -> DataFrame:
@@ -282,7 +284,7 @@ def _compare(texts: DataFrame, close: DataFrame, length: int) -> list[DataFrame]
         several = fulls.select("c").union(partial.select("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         again = _occurrences(whole, fulls.where("times > 1").select("c", "f", "times"), ["c", "f"])
         out.append(written(again.select("t1", "t2", (F.col("anchor") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).alias("windows")), "windows"))
-        close = semi_join(fulls.select("c", *columns).union(partial.select("c", *columns)), several, ["c"]).select(*columns)
+        close = semi_join(fulls.select("c", *columns).union(partial.select("c", *columns)), several, ["c"], SMALL_KEYS).select(*columns)
         used = [rows, fulls]
     discard(*used)
     return out
@@ -314,12 +316,21 @@ def extend_index(index: SuffixIndex, docs: DataFrame, earlier: DataFrame | None,
     return _spans(known, found, length)
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 3, text: str = "text") -> DataFrame:
-    """(t1, t2, spans) of every text with repeats, spans an array of (start, end) in bytes, by an index of `batches` batches made for this call."""
+def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 2, text: str = "text") -> DataFrame:
+    """(t1, t2, spans) of every text with repeats, spans an array of (start, end) in bytes, by an index of `batches` batches made for this call.
+
+    Texts that come more than once are covered whole, and one row of each goes
+    into the index, so that a group of copies costs as much as one text.
+    """
     if not 2 * GRAM <= length < 1 << _BITS:
         raise ValueError(f"length must be from {2 * GRAM} to {(1 << _BITS) - 1} bytes")
     small_batches(docs.sparkSession)
-    texts = _windows(docs, length, text)
+    rows = _windows(docs, length, text)
+    copies = rows.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.first(F.octet_length("text")).alias("size")).where("n > 1")
+    copies = written(copies, "copies")
+    keys, size = copies.select("t1", "t2"), 48 * copies.count()
+    one_each = written(join_by_size(rows, keys, ["t1", "t2"], "left_semi", size).groupBy("t1", "t2").agg(F.first("text").alias("text")), "one-each")
+    texts = join_by_size(rows, keys, ["t1", "t2"], "left_anti", size).select("t1", "t2", "text").union(one_each)
     halves = written(half_windows(suffix_runs(texts, length)).withColumn("batch", F.pmod(F.col("t2"), F.lit(batches)).cast("int")), "halves")
     index = SuffixIndex(docs.sparkSession)
     found = None
@@ -328,7 +339,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 3, text: s
         found = scan if found is None else found.union(scan)
     index.drop()
     discard(halves)
-    return _spans(texts, found, length)
+    parts = join_by_size(_spans(texts, found, length), keys, ["t1", "t2"], "left_anti", size)
+    whole = copies.select("t1", "t2", F.array(F.struct(F.lit(0).alias("start"), F.col("size").cast("int").alias("end"))).alias("spans"))
+    return parts.union(whole)
 
 
 def _spans(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
@@ -373,7 +386,7 @@ def _with_spans(docs: DataFrame, spans: DataFrame, text: str, name: str) -> Data
     return join_by_size(keyed, spans, on, "left", size).drop("__k1", "__k2", "__t1", "__t2")
 
 
-def mark_repeats(docs: DataFrame, length: int = 400, batches: int = 3, text: str = "text", name: str = "repeat_spans") -> DataFrame:
+def mark_repeats(docs: DataFrame, length: int = 400, batches: int = 2, text: str = "text", name: str = "repeat_spans") -> DataFrame:
     """`docs` with the column `name`: the byte ranges of its text that a string of `length` bytes found elsewhere covers.
 
     A null or short text has none; equal rows each count as an occurrence of
@@ -395,7 +408,7 @@ def _kept(data: bytes, spans) -> bytes:
     return b"".join(out)
 
 
-def digest(docs: DataFrame, length: int = 400, passage: int = PASSAGE, batches: int = 3) -> DataFrame:
+def digest(docs: DataFrame, length: int = 400, passage: int = PASSAGE, batches: int = 2) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and n_passage: the bytes covered by repeats of `passage` bytes.
 
     Repeats of `length` bytes can only lie where repeats of the shorter `passage`
@@ -430,7 +443,7 @@ def digest(docs: DataFrame, length: int = 400, passage: int = PASSAGE, batches:
     return marked.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, batches: int = 3) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, batches: int = 2) -> DataFrame:
     """`docs` with the repeated bytes cut from `text` (half characters at a cut go too) and `n_chars` counted anew.
 
     A document of which nothing is left is dropped; null and empty texts stay.
