@@ -14,19 +14,24 @@ one *class* throughout. The steps:
    independent runs that meet the target recall at the threshold itself, for
    pairs whose buckets are split down to `DEPTH`; all others are found more often.
 3. Leaves are brute-forced on the embedded sets, with a margin of four standard
-   errors below the threshold; that gives candidate groups.
+   errors below the threshold; that gives candidate groups. The first
+   `FIRST_RUNS` runs find nearly all of them; later runs leave out buckets whose
+   sets all lie in one group already, as they have nothing to add.
 4. Candidate groups are verified exactly on the whole shingle sets, in blocks:
    a large group is cut into blocks of `BLOCK_SETS` sets, and each pair of
    blocks is a task's work of bounded size. Only counts and one tree of links
    per block pair leave a task, never all pairs.
 
 All pairs inside a candidate group are verified, so a link is missed only if
-its two texts lie in different groups.
+its two texts lie in different groups. How often that happens is audited: a
+bounded sample of sets is held against all others by sketch, and runs go on
+until the share of surely similar partners in the same group reaches `AUDITED`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 
 import numpy as np
@@ -36,12 +41,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytescan import U, blocks, mix, row_grams, signed, words
-from .common import components, join_by_size, small_batches, written
+from .common import components, discard, join_by_size, small_batches, written
 
 SIZE = 64
 LEAF = 64
 FIRST_DEPTH, DEPTH = 2, 5
-BLOCK_SETS = 384
+FIRST_RUNS = 4
+#: A block of the exact comparison holds about so many sets, and about so many elements, whichever is reached first.
+BLOCK_SETS, BLOCK_ELEMENTS = 384, 1 << 20
+#: The audit's sample, the recall it asks for, and how many times the runs may be repeated to get there.
+SAMPLE, AUDITED, REPEATS = 256, 0.98, 4
+
+_log = logging.getLogger(__name__)
 
 
 def runs_for(recall: float, depth: int = DEPTH, threshold: float = 0.8) -> int:
@@ -95,18 +106,20 @@ def embed(s: np.ndarray) -> np.ndarray:
 
 
 def _embedded(docs: DataFrame, n: int) -> DataFrame:
-    """docs (id, t1, text) -> id, t1, set_key (16 bytes, null for a text without words), sig."""
+    """docs (id, t1, text) -> id, t1, set_key (16 bytes, null for a text without words), sig, size (of the set)."""
 
     def scan(batches):
         for batch in batches:
-            keys, sigs = [], []
+            keys, sigs, sizes = [], [], []
             for _, data, offsets in blocks(batch.column("text")):
                 for s in shingle_sets(data, offsets, n):
                     keys.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                     sigs.append(embed(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t1"), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "t1", "set_key", "sig"])
+                    sizes.append(len(s))
+            arrays = [batch.column("id"), batch.column("t1"), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "t1", "set_key", "sig", "size"])
 
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("t1", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("t1", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("size", T.LongType())])
     return docs.mapInArrow(scan, schema)
 
 
@@ -120,22 +133,23 @@ def _step(path: np.ndarray, owner: np.ndarray, sig: np.ndarray, threshold: float
         return mix(path[row] * U(0xD6E8FEB86659FD93) + mix(token)), owner
 
 
-def _paths(rows: DataFrame, threshold: float, runs: int, start: bool) -> DataFrame:
-    """rows (set_key, sig[, path]) -> set_key, path, one level further down; with `start`, FIRST_DEPTH levels from the roots of all runs."""
+def _paths(rows: DataFrame, threshold: float, runs: range | None = None) -> DataFrame:
+    """rows (set_key, sig, group[, path]) -> set_key, path, group, one level further down; with `runs`, FIRST_DEPTH levels from their roots."""
 
     def scan(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, SIZE)
-            if start:
-                owner = np.repeat(np.arange(len(sig)), runs)
-                path = np.tile(mix(np.arange(runs, dtype=U) + U(0x1234567)), len(sig))
+            if runs is not None:
+                owner = np.repeat(np.arange(len(sig)), len(runs))
+                path = np.tile(mix(np.array(runs, dtype=U) + U(0x1234567)), len(sig))
             else:
                 owner, path = np.arange(len(sig)), batch.column("path").to_numpy().view(U)
-            for _ in range(FIRST_DEPTH if start else 1):
+            for _ in range(1 if runs is None else FIRST_DEPTH):
                 path, owner = _step(path, owner, sig, threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("set_key").take(pa.array(owner)), pa.array(signed(path))], names=["set_key", "path"])
+            taken = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([batch.column("set_key").take(taken), pa.array(signed(path)), batch.column("group").take(taken)], names=["set_key", "path", "group"])
 
-    return rows.mapInArrow(scan, "set_key binary, path long")
+    return rows.mapInArrow(scan, "set_key binary, path long, group long")
 
 
 def _groups_in_order(batches, columns: list[str], keys: list[str]):
@@ -198,14 +212,14 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def candidate_groups(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """classes (set_key, sig) -> (node, component): groups of at least two classes that may hold links."""
-    rows = _paths(classes, threshold, runs_for(recall, DEPTH, threshold), start=True)
+def _candidates(classes: DataFrame, threshold: float, runs: range) -> DataFrame:
+    """classes (set_key, sig, group) -> links (a, b) that these runs find between sets of different groups."""
+    rows = _paths(classes, threshold, runs)
     links = []
     for depth in range(FIRST_DEPTH, DEPTH + 1):
         rows = written(rows, "paths")
-        size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("set_key").cast("decimal(38,0)")).alias("content"), F.min("set_key").alias("low")).where("n > 1")
-        size = written(size, "buckets")
+        size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("set_key").cast("decimal(38,0)")).alias("content"), F.min("set_key").alias("low"), (F.min("group") != F.max("group")).alias("mixed"))
+        size = written(size.where("n > 1 and mixed").drop("mixed"), "buckets")
         # buckets with the same sets need one look
         leaves = size.where(F.col("n") <= LEAF).groupBy("n", "content").agg(F.min("path").alias("path")).select("path")
         leaves = rows.join(leaves, "path").join(classes.select("set_key", "sig"), "set_key")
@@ -217,11 +231,79 @@ def candidate_groups(classes: DataFrame, threshold: float, recall: float) -> Dat
         if depth == DEPTH:
             links.append(rows.join(large, "path").select(F.col("set_key").alias("a"), F.col("low").alias("b")))
         else:
-            rows = _paths(rows.join(large.select("path"), "path").join(classes.select("set_key", "sig"), "set_key").select("set_key", "sig", "path"), threshold, 1, start=False)
+            rows = _paths(rows.join(large.select("path"), "path").join(classes.select("set_key", "sig"), "set_key").select("set_key", "sig", "path", "group"), threshold)
     edges = links[0]
     for x in links[1:]:
         edges = edges.union(x)
-    return components(edges.where("a != b"))
+    return edges
+
+
+def _grouped(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """classes (set_key, sig) with `group`, a number for the group that a set lies in so far, its own without one."""
+    own = F.xxhash64("set_key")
+    if groups is None:
+        return classes.select("set_key", "sig", own.alias("group"))
+    known = groups.select(F.col("node").alias("set_key"), F.xxhash64("component").alias("found"))
+    return written(classes.join(known, "set_key", "left").select("set_key", "sig", F.coalesce("found", own).alias("group")), "grouped")
+
+
+def audit(grouped: DataFrame, threshold: float, sample: int = SAMPLE) -> tuple[float, int]:
+    """Recall of the groups (set_key, sig, group) by node, and the number of nodes it was measured on.
+
+    At most `sample` sets, half of them from groups of several, are held against
+    all sets; partners whose sketches agree by two standard errors more than the
+    threshold asks for count as surely similar. 1.0 if no sampled set has one.
+    """
+    several = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("set_key")).where("n > 1")
+    order = F.xxhash64(F.lit("audit"), "set_key")
+    linked = grouped.join(several.orderBy(order).limit(sample // 2).select("set_key"), "set_key")
+    # at most `sample` rows of some 300 bytes each
+    rows = linked.union(grouped.orderBy(order).limit(sample - sample // 2)).collect()
+    if not rows:
+        return 1.0, 0
+    held = np.frombuffer(b"".join(bytes(r.sig) for r in rows), dtype=np.uint32).reshape(-1, SIZE)
+    groups = np.array([r.group for r in rows], dtype=np.int64)
+    least = (threshold + 2 * math.sqrt(threshold * (1 - threshold) / SIZE)) * SIZE
+
+    def scan(batches):
+        near, same = np.zeros(len(held), np.int64), np.zeros(len(held), np.int64)
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, SIZE)
+            group = batch.column("group").to_numpy()
+            for i in range(len(held)):
+                close = (sig == held[i]).sum(axis=1) >= least
+                near[i] += close.sum()
+                same[i] += (close & (group == groups[i])).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held))), pa.array(near), pa.array(same)], names=["i", "near", "same"])
+
+    counts = grouped.select("sig", "group").mapInArrow(scan, "i long, near long, same long").groupBy("i").agg(F.sum("near").alias("near"), F.sum("same").alias("same"))
+    # a set is similar to itself
+    recall, nodes = counts.where("near > 1").agg(F.avg((F.col("same") - 1) / (F.col("near") - 1)), F.count(F.lit(1))).first()
+    return (1.0 if recall is None else recall), nodes
+
+
+def candidate_groups(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """classes (set_key, sig) -> (node, component): groups of at least two classes that may hold links.
+
+    Runs go on beyond the number that the target recall asks for until the audit agrees.
+    """
+    need = runs_for(recall, DEPTH, threshold)
+    groups, first, grouped = None, 0, _grouped(classes, None)
+    for last in [min(FIRST_RUNS, need), *(need * k for k in range(1, REPEATS + 1))]:
+        if last > first:
+            edges = _candidates(grouped, threshold, range(first, last))
+            if groups is not None:
+                edges = edges.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            groups = components(edges.where("a != b"))
+            discard(grouped)
+            first, grouped = last, _grouped(classes, groups)
+        if last >= need:
+            found, nodes = audit(grouped, threshold)
+            _log.info("chosen paths: %d runs, recall %.4f by %d sampled sets", last, found, nodes)
+            if found >= AUDITED:
+                discard(grouped)
+                return groups
+    raise RuntimeError(f"recall is {found:.3f} after {last} runs, below {AUDITED}")
 
 
 def _verify(members: DataFrame, threshold: float) -> DataFrame:
@@ -281,10 +363,12 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     """
     small_batches(docs.sparkSession)
     rows = written(_embedded(docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("t1"), F.col(text).alias("text")), n), "embedded")
-    classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("low"), F.min(F.struct(F.col("id").isNull(), "id", "t1")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("low"), F.min(F.struct(F.col("id").isNull(), "id", "t1")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("size").alias("size"))
     classes = written(classes, "classes")
-    groups = written(candidate_groups(classes, threshold, recall), "groups")
-    sizes = written(groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("parts")), "group-sizes")
+    groups = written(candidate_groups(classes.select("set_key", "sig"), threshold, recall), "groups")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("size") / BLOCK_ELEMENTS))
+    sizes = groups.join(classes.select(F.col("set_key").alias("node"), "size"), "node").groupBy("component").agg(parts.cast("int").alias("parts"))
+    sizes = written(sizes, "group-sizes")
     # one document of each class brings the elements
     chosen = groups.join(sizes, "component").join(classes.select(F.col("set_key").alias("node"), "at", "copies"), "node")
     chosen = written(chosen.select("node", "component", "parts", F.col("at.id").alias("at_id"), F.col("at.t1").alias("at_t1"), "copies", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block")), "chosen")
@@ -300,6 +384,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     named = named.join(named.groupBy("component").agg(F.min("low").alias("class_id")), "component").select(F.col("node").alias("set_key"), "class_id")
     info = classes.select("set_key", "low", "copies").join(linked, "set_key", "left").join(named, "set_key", "left")
     info = written(info.select("set_key", F.coalesce("class_id", "low").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes-linked")
+    discard(groups, sizes, chosen, checked)
     out = join_by_size(rows.select("id", "set_key"), info, "set_key", "left", 48 * info.count())
     return out.select(F.col("id").alias("doc_id"), "set_key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

@@ -34,7 +34,7 @@ def test_stages(spark, sf):
     found = linked([r[1] for r in identified])
     assert single == [r for i, r in enumerate(identified) if found[i][0] == i]
 
-    left = repeats([r[1] for r in single], 400)
+    left = repeats([r[1] for r in single], 240)
     assert [r[0] for r in cut] == [r[0] for r, x in zip(single, left, strict=True) if not x[1] or x[1] < x[0]]
     assert all(len(r[1]) == r[4] for r in cut)
     size = {r[0]: x[0] - x[1] for r, x in zip(single, left, strict=True)}
