@@ -44,8 +44,8 @@ from .bytescan import U, blocks, mix, row_grams, signed, words
 from .common import components, discard, join_by_size, small_batches, written
 
 SIZE = 64
-LEAF = 64
-FIRST_DEPTH, DEPTH = 2, 5
+LEAF = 128
+FIRST_DEPTH, DEPTH = 3, 5
 FIRST_RUNS = 4
 #: A block of the exact comparison holds about so many sets, and about so many elements, whichever is reached first.
 BLOCK_SETS, BLOCK_ELEMENTS = 384, 1 << 20
