@@ -43,6 +43,14 @@ def revision_dates(text) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(found, roc_to_iso), lambda d: d.isNotNull())))
 
 
+def annotate_dates(text) -> Column:
+    """The text in pieces, array of struct(text, iso): dates of the calendar's slash form with their ISO text, what is between them without."""
+    marked = F.regexp_replace(_c(text), f"({_IN_TEXT})", "\u0001$1\u0001")
+    shown = lambda p, i: F.regexp_extract(p, _SLASH, i)
+    iso = lambda p: F.when(p.rlike(_SLASH), F.concat_ws("-", (shown(p, 1).try_cast("int") + 1911).cast("string"), F.lpad(shown(p, 2), 2, "0"), F.lpad(shown(p, 3), 2, "0")))
+    return F.transform(F.split(marked, "\u0001"), lambda p: F.struct(p.alias("text"), iso(p).alias("iso")))
+
+
 def days_between(later, earlier) -> Column:
     return F.datediff(F.try_to_date(_c(later)), F.try_to_date(_c(earlier)))
 

@@ -54,29 +54,68 @@ def prefix_tags(codes: DataFrame, code: str, tags: DataFrame, prefix: str, lengt
     return c.withColumn("__p", F.explode(cut)).join(tags.withColumnRenamed(prefix, "__p"), "__p").withColumnRenamed("__p", prefix)
 
 
-def set_cover(sets: DataFrame, name: str, element: str, max_rounds: int = 10_000) -> list[str]:
+def set_cover(sets: DataFrame, name: str, element: str) -> list[str]:
     """Greedy cover: names of sets, each the one that adds most (the smallest name among equals), until nothing is missing.
 
-    Every round is one aggregation; only the chosen name comes to the driver. The
-    elements still to cover are written down every 20 rounds to keep plans short.
+    Every round is one aggregation and one anti-join; only the chosen name comes to
+    the driver, and there are as many rounds as chosen sets. What is still to cover is
+    kept from one round to the next and let go after it.
     """
-    left = sets.select(name, element).distinct().persist()
+    rest = sets.select(name, element).distinct().persist()
     out: list[str] = []
-    covered: list[DataFrame] = []
-    rest = left
-    for k in range(max_rounds):
+    while True:
         best = rest.groupBy(name).agg(F.count(F.lit(1)).alias("gain")).orderBy(F.desc("gain"), F.asc(name)).first()
         if best is None:
-            break
+            rest.unpersist()
+            return out
         out.append(best[name])
-        done = left.where(F.col(name) == best[name]).select(element)
-        covered.append(done)
-        rest = rest.join(done, element, "left_anti")
-        if k % 20 == 19:
-            rest = rest.persist()
-            rest.count()
-    left.unpersist()
-    return out
+        done = rest.where(F.col(name) == best[name]).select(element)
+        left = rest.join(done, element, "left_anti").select(name, element).persist()
+        left.count()
+        rest.unpersist()
+        rest = left
+
+
+def content_mark(*columns) -> Column:
+    """Aggregate that stands for the rows of a group in any order: their number, and the sum of a 60-bit hash of each; of fixed width at any size."""
+    row = F.md5(F.concat_ws("|", *columns).cast("binary"))
+    number = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(20,0)")
+    return F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(number.cast("decimal(28,0)")).cast("string"))
+
+
+def brand_overview(products: DataFrame) -> DataFrame:
+    """products (inn, inn_keys, route, brand_en, brand_zh, name_en, price, originator) -> one row per ingredient, route, partners and name in any case.
+
+    Columns: partners (`+ …`, empty for the drug alone), name (the first spelling),
+    originator, priced (any of its products), n, zh (names), and place: within its
+    route the drug alone comes first, then partners by name; in each, priced before
+    unpriced, originators before others, then by name in code-point order.
+    """
+    others = F.array_sort(F.filter("inn_keys", lambda k: k != F.col("inn")))
+    partners = F.when(F.size(others) > 0, F.concat(F.lit("+ "), F.array_join(F.transform(others, F.initcap), " + "))).otherwise("")
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    name = F.coalesce(filled("brand_en"), filled("brand_zh"), filled("name_en"), F.lit(""))
+    rows = products.select("inn", "route", partners.alias("partners"), name.alias("name"), filled("brand_zh").alias("zh"), F.coalesce("originator", F.lit(False)).alias("originator"), (F.coalesce("price", F.lit(0.0)) != 0).alias("priced"))
+    g = rows.groupBy("inn", "route", "partners", F.lower("name").alias("key")).agg(
+        F.min("name").alias("name"), F.bool_or("originator").alias("originator"), F.bool_or("priced").alias("priced"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("zh")).alias("zh")
+    )
+    order = [(F.col("partners") != "").cast("int"), F.col("partners"), F.desc("priced"), F.desc("originator"), F.asc("name")]
+    return g.drop("key").withColumn("place", F.row_number().over(Window.partitionBy("inn", "route").orderBy(*order)))
+
+
+def representative(products: DataFrame, group: list[str], insert: str, originator: str, ordinal: str, payload: list[str]) -> DataFrame:
+    """One product per group: the first originator with an insert, else the first with one; groups without have no row."""
+    has = products.where(F.col(insert))
+    best = F.min_by(F.struct(*payload), F.struct((~F.coalesce(originator, F.lit(False))).cast("int"), F.col(ordinal)))
+    return has.groupBy(*group).agg(best.alias("x")).select(*group, "x.*")
+
+
+def counters(rows: DataFrame, single: list[str], lists: list[str]) -> DataFrame:
+    """kind, value, n: how often each value of the columns `single`, and of the array columns `lists`, comes; null does not count."""
+    pair = lambda c, v: F.struct(F.lit(c).alias("kind"), v.cast("string").alias("value"))
+    each = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v: pair(c, v))
+    of = [F.array(pair(c, F.col(c))) for c in single] + [each(c) for c in lists]
+    return rows.select(F.inline(F.concat(*of))).where("value is not null").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fingerprint(files: DataFrame, path: str, content: str) -> DataFrame:

@@ -138,11 +138,26 @@ CODE_IN_TEXT = r"\d+(?:\.\d+)*\.?(?=[^\d])"
 
 def matched_share(source: str, parts: str) -> float:
     """Share of a source's characters, without white space and dotted numbers, that matching blocks cover in the joined parts."""
-    whole, pieces = (re.sub(CODE_IN_TEXT, "", "".join(unicodedata.normalize("NFKC", s or "").split())) for s in (source, parts))
-    if not whole:
+    lines, pieces = (_bare_lines(s) for s in (source, parts))
+    total = sum(map(len, lines))
+    if not total:
         return 1.0
-    blocks = difflib.SequenceMatcher(None, whole, pieces, autojunk=False).get_matching_blocks()
-    return sum(size for *_, size in blocks) / len(whole)
+    matched = 0
+    # whole lines first, characters only between them: a long text costs what its differences cost
+    for op, i, j, k, m in difflib.SequenceMatcher(None, lines, pieces, autojunk=False).get_opcodes():
+        if op == "equal":
+            matched += sum(map(len, lines[i:j]))
+        elif op == "replace":
+            between = difflib.SequenceMatcher(None, "".join(lines[i:j]), "".join(pieces[k:m]), autojunk=False)
+            matched += sum(size for *_, size in between.get_matching_blocks())
+    return matched / total
+
+
+def _bare_lines(text: str | None) -> list[str]:
+    """Lines in NFKC without white space and dotted numbers, blank ones left out."""
+    lines = ("".join(x.split()) for x in unicodedata.normalize("NFKC", text or "").splitlines())
+    bare = re.sub(CODE_IN_TEXT, "", "\n".join(x for x in lines if x))
+    return [x for x in bare.split("\n") if x]
 
 
 @F.pandas_udf(T.DoubleType())
@@ -161,6 +176,48 @@ def display_mode(is_node: Column, is_stub: Column, title_is_rule: Column, raw: C
     return F.when(is_node, "node").when(is_stub, "stub").when(title_is_rule, "title").when(raw, "raw").otherwise("clauses")
 
 
+def section_states(sections: DataFrame, clauses: DataFrame, as_of: str, least: int = 10) -> DataFrame:
+    """sections (code, effective), clauses (code, text) -> code, is_stub, has_children, title_is_rule, is_future.
+
+    A section whose clauses have fewer than `least` characters is a stub; a stub
+    with sections below it points to them, one without is a rule in its title alone.
+    """
+    size = clauses.groupBy("code").agg(F.sum(F.length("text")).alias("size"))
+    out = has_children(sections, "code").join(size, "code", "left").withColumn("is_stub", F.coalesce("size", F.lit(0)) < least)
+    return out.select("code", "is_stub", "has_children", (F.col("is_stub") & ~F.col("has_children")).alias("title_is_rule"), F.coalesce(F.col("effective") > as_of, F.lit(False)).alias("is_future"))
+
+
+def annex_paragraphs(annexes: DataFrame, key: str, text: str) -> DataFrame:
+    """key, idx, level 0, text: a clause for each line of a form that is not blank, without white space at its end; forms have no levels."""
+    lines = annexes.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("idx", "line"))
+    kept = lines.withColumn("line", F.regexp_replace("line", r"(?U)\s+$", "")).where("line <> ''")
+    return kept.select(key, "idx", F.lit(0).alias("level"), F.col("line").alias("text"))
+
+
+def image_notice(clauses: DataFrame, grids: DataFrame, key: str, least: int = 300) -> DataFrame:
+    """clauses (key, text), grids (key, grid) -> key, visible, notice: whether an annex shows fewer than `least` characters, as drawings and scans do."""
+    texts = clauses.select(key, F.length("text").alias("n"))
+    cells = grids.select(key, F.aggregate(F.flatten("grid"), F.lit(0), lambda n, c: n + F.length(F.coalesce(c, F.lit("")))).alias("n"))
+    return texts.union(cells).groupBy(key).agg(F.sum("n").alias("visible")).withColumn("notice", F.col("visible") < least)
+
+
+#: Signs that a line refers to an annex, so it is no body of one.
+REFERS = "◎●※★"
+
+
+def annex_hosts(clauses: DataFrame, tabled: DataFrame, least: int = 200) -> DataFrame:
+    """clauses (code, idx, text, appendix), tabled (code) -> name, code: annexes whose body lies in a section.
+
+    A body counts if its clauses that are no references have more than `least`
+    characters together or the section has tables; the first section names an annex.
+    """
+    real = clauses.where(F.col("appendix") & ~F.substring(F.regexp_replace("text", r"(?U)^\s+", ""), 1, 1).isin(*REFERS))
+    size = real.groupBy("code").agg(F.sum(F.length("text")).alias("size")).join(tabled.select("code").distinct().withColumn("has", F.lit(True)), "code", "left")
+    good = size.where((F.col("size") > least) | F.col("has")).select("code")
+    names = real.join(good, "code", "left_semi").select("code", F.explode(F.regexp_extract_all(F.substring("text", 1, 60), F.lit(ANNEX_NAME), 0)).alias("name"))
+    return names.groupBy("name").agg(F.min("code").alias("code"))
+
+
 def has_children(sections: DataFrame, code: str) -> DataFrame:
     """`sections` with whether another code lies below: an equi-join on the proper ancestors of all codes."""
     from ..functions.codes import ancestors

@@ -79,9 +79,17 @@ def collect_dosage(clauses: DataFrame, listed: DataFrame, clause_mentions: DataF
     return found.withColumn("nth", first).where("nth = 1").select("inn", "code", "idx", "class", F.col("text").alias("quote"), F.when(F.col("class") == "prerequisite", F.col("others")).alias("for_drugs"))
 
 
-def label_dosage(products: DataFrame) -> DataFrame:
-    """products (inn, text, licence_no, brand, ordinal) -> one row per ingredient and text: first six licences and brands in order, sentences to adjust, number of products."""
+def label_dosage(products: DataFrame, k: int = 6) -> DataFrame:
+    """products (inn, text, licence_no, brand, ordinal) -> one row per ingredient and text: first k licences and brands in order, sentences to adjust, number of products.
+
+    Licences and brands are made distinct by partial aggregates and ranked before
+    anything is collected, so that a text of any number of products brings 2 k values.
+    """
     rows = products.where(is_substantive(F.col("text")))
-    ordered = lambda c: F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", c))), lambda r: r[c])), 1, 6)
-    g = rows.groupBy("inn", "text").agg(ordered("licence_no").alias("licences"), ordered("brand").alias("brands"), F.count(F.lit(1)).alias("n_products"))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("licence_no", "brand"))))
+    seen = rows.select("inn", "text", "ordinal", each.alias("x")).groupBy("inn", "text", "x.kind", "x.value").agg(F.min("ordinal").alias("seen"), F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("inn", "text", "kind").orderBy("seen"))
+    ranked = seen.withColumn("place", place)
+    first = lambda c: F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == c) & (F.col("place") <= k), F.struct("place", "value")))), lambda r: r["value"])
+    g = ranked.groupBy("inn", "text").agg(first("licence_no").alias("licences"), first("brand").alias("brands"), F.sum(F.when(F.col("kind") == "brand", F.col("n"))).alias("n_products"))
     return g.withColumn("adjust", adjust_quotes(F.col("text")))

@@ -23,23 +23,32 @@ def mention_matrix(docs: DataFrame, key: str, text: str, names: DataFrame, name:
     """key, name: distinct mentions of names made of one or more words a-z.
 
     Texts are cut into words once and names into their first word, so that the
-    join is an equi-join on words; the whole name is tested only on rows it leaves.
-    Names that no word starts - with a digit or a hyphen inside a word - start at
-    their first run of letters.
+    join is an equi-join on words; only keys and words are dealt. A name that is a
+    word is decided by that. For the rest - names with a space, a digit or a hyphen -
+    the texts of the keys that are left are fetched and the whole name is tested.
     """
-    t = docs.select(F.col(key), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
-    words = t.select(key, "__t", F.explode(F.array_distinct(F.regexp_extract_all("__t", F.lit("[a-z]+"), 0))).alias("__w"))
+    t = docs.select(F.col(key).alias("__k"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
+    words = t.select("__k", F.explode(F.array_distinct(F.regexp_extract_all("__t", F.lit("[a-z]+"), 0))).alias("__w"))
     n = names.select(F.col(name), F.explode(variants(F.col(name))).alias("__v")).where(F.length("__v") >= LEAST)
     n = n.withColumn("__w", F.regexp_extract("__v", "[a-z]+", 0)).where("__w <> ''").distinct()
-    return words.join(n, "__w").where(mentions(F.col("__t"), F.col("__v"))).select(key, name).distinct()
+    met = words.join(n, "__w").select("__k", name, "__v", "__w")
+    sure = met.where("__v = __w").select("__k", name)
+    open_ = met.where("__v <> __w").select("__k", name, "__v").distinct()
+    tested = open_.join(t, "__k").where(mentions(F.col("__t"), F.col("__v"))).select("__k", name)
+    return sure.union(tested).distinct().withColumnRenamed("__k", key)
 
 
-def mention_index(sections: DataFrame, names: DataFrame, name: str) -> DataFrame:
-    """sections (code, title, text) -> name, listed (codes whose title has it), referenced (codes with it in the text only)."""
+def listed_or_referenced(sections: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """sections (code, title, text) -> code, name, listed: whether the title has the name, or only the text."""
     title = mention_matrix(sections, "code", "title", names, name).withColumn("listed", F.lit(True))
     text = mention_matrix(sections, "code", "text", names, name)
-    j = text.join(title, ["code", name], "full_outer")
-    return j.groupBy(name).agg(F.array_sort(F.collect_set(F.when(F.col("listed"), F.col("code")))).alias("listed"), F.array_sort(F.collect_set(F.when(F.col("listed").isNull(), F.col("code")))).alias("referenced"))
+    return text.join(title, ["code", name], "full_outer").withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
+def mention_index(sections: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """sections (code, title, text) -> name, listed (codes whose title has it), referenced (codes with it in the text only)."""
+    j = listed_or_referenced(sections, names, name)
+    return j.groupBy(name).agg(F.array_sort(F.collect_set(F.when(F.col("listed"), F.col("code")))).alias("listed"), F.array_sort(F.collect_set(F.when(~F.col("listed"), F.col("code")))).alias("referenced"))
 
 
 def others_mentioned(matrix: DataFrame, key: str, name: str) -> DataFrame:

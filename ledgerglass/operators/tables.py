@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,57 +113,118 @@ def rejoin(text: pd.Series, lines: pd.Series) -> pd.Series:
     return pd.Series([rejoin_lines(t, {key(x) for x in (ls if ls is not None else ())}) for t, ls in zip(text, lines, strict=True)], dtype=object)
 
 
-def _plain(s: str) -> tuple[str, list[int]]:
-    """Text without white space and bracketing punctuation, and where each character was."""
-    keep = [(i, c) for i, c in enumerate(unicodedata.normalize("NFC", s)) if not c.isspace() and c not in "|│┃"]
-    return "".join(c for _, c in keep), [i for i, _ in keep]
-
-
-def find_span(text: str, cells: list[str], start: int = 0) -> tuple[int, int] | None:
-    """The span of a text that holds all cells in order with the fewest other characters, within the window and skip limits."""
-    flat, where = _plain(text)
-    wanted = [w for w in (_plain(c)[0] for c in cells) if w]
-    if not wanted:
-        return None
-    best, at, tries = None, flat.find(wanted[0], start), 0
-    while at >= 0 and tries < MAX_ANCHORS:
-        tries += 1
-        pos, foreign = at + len(wanted[0]), 0
-        for w in wanted[1:]:
-            nxt = flat.find(w, pos, pos + WINDOW + len(w))
-            if nxt < 0:
-                pos = -1
-                break
-            foreign += nxt - pos
-            pos = nxt + len(w)
-        if pos >= 0 and (best is None or foreign < best[0]):
-            best = (foreign, at, pos)
-            if foreign == 0:
+#: What forms are filled in on, which texts have and cells do not.
+FILLERS = frozenset("_＿﹏‥…．·・")
+
+
+def squeeze(texts: list[str]) -> tuple[str, list[tuple[int, int]]]:
+    """All texts in NFC as one string without white space and fillers, and (text, offset) of every character of it."""
+    kept = [(ch, (k, i)) for k, t in enumerate(texts) for i, ch in enumerate(t) if not ch.isspace() and ch not in FILLERS]
+    return "".join(ch for ch, _ in kept), [place for _, place in kept]
+
+
+def _anchors(flat: str, first: str, start: int):
+    at = flat.find(first, start)
+    while at >= 0:
+        yield at
+        at = flat.find(first, at + 1)
+
+
+def find_span(flat: str, cells: list[str], start: int = 0, missing: int = 0) -> tuple[int, int] | None:
+    """The span of a squeezed text that has the cells in order with the fewest other characters; the first such span.
+
+    A cell has to begin within WINDOW characters of the one before; up to `missing`
+    cells may be absent. The first cell's first MAX_ANCHORS places are tried.
+    """
+    best: tuple[int, int, int] | None = None
+    for at in itertools.islice(_anchors(flat, cells[0], start), MAX_ANCHORS):
+        end, own, absent = at, 0, 0
+        for cell in cells:
+            place = flat.find(cell, end, end + WINDOW + len(cell))
+            if place < 0:
+                absent += 1
+                if absent > missing:
+                    break
+            else:
+                end, own = place + len(cell), own + len(cell)
+        if absent <= missing and (best is None or end - at - own < best[0]):
+            best = (end - at - own, at, end)
+            if best[0] == 0:
                 break
-        at = flat.find(wanted[0], at + 1)
-    if best is None or best[0] > MAX_SKIP * max(1, best[2] - best[1]):
-        return None
-    return where[best[1]], where[best[2] - 1] + 1
-
-
-def splice(text: str, tables: list[list[list[str]]]) -> tuple[str, list[int]]:
-    """The text with every table that can be located replaced by its marker, from the last to the first, and the numbers of those."""
-    text = unicodedata.normalize("NFC", text or "")
-    spans = []
-    for k, grid in enumerate(tables):
-        cells = [c for row in grid for c in row if c and c.strip()]
-        span = find_span(text, cells)
-        if span and all(span[1] <= a or span[0] >= b for _, a, b in spans):
-            spans.append((k, *span))
-    for k, a, b in sorted(spans, key=lambda s: -s[1]):
-        text = text[:a] + f"{MARK}TB{k}{MARK}" + text[b:]
-    return text, sorted(k for k, *_ in spans)
-
-
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("placed", T.ArrayType(T.IntegerType()))]))
-def splice_tables(text: pd.Series, tables: pd.Series) -> pd.DataFrame:
-    made = [splice(t, [[list(r) for r in g] for g in (ts if ts is not None else ())]) for t, ts in zip(text, tables, strict=True)]
-    return pd.DataFrame(made, columns=["text", "placed"])
+    return None if best is None else best[1:]
+
+
+def only_cells(flat: str, cells: list[str]) -> bool:
+    """Whether what is left of a text, once every occurrence of every cell is taken out, are pieces of the joined cells.
+
+    Such pieces are cells that the text layer said twice; anything else is prose, which may not be cut.
+    """
+    taken = np.zeros(len(flat) + 1, dtype=np.int64)
+    for cell in set(cells):
+        for at in _anchors(flat, cell, 0):
+            taken[at] += 1
+            taken[at + len(cell)] -= 1
+    covered = np.cumsum(taken[:-1]) > 0
+    together = "".join(cells)
+    left = ("".join(ch for ch, _ in run) for inside, run in itertools.groupby(zip(flat, covered, strict=True), key=lambda x: x[1]) if not inside)
+    return all(piece in together for piece in left)
+
+
+def locate(flat: str, tables: list[list[list[str]]]) -> list[tuple[int, int, int]]:
+    """(number, begin, end) of the tables that have a place, in the order of the text.
+
+    A table is looked for after the last one, then from the start; with all its
+    cells, then without a tenth of them. One that overlaps the last is given up.
+    """
+    found: list[tuple[int, int, int]] = []
+    for number, grid in enumerate(tables):
+        cells = [x for x in (squeeze([unicodedata.normalize("NFC", c or "")])[0] for row in grid for c in row) if x]
+        if not cells:
+            continue
+        after = found[-1][2] if found else 0
+        tries = ((start, missing) for missing in (0, max(1, int(len(cells) * MAX_SKIP))) for start in (after, 0))
+        span = next((s for s in (find_span(flat, cells, *t) for t in tries) if s), None)
+        if span and span[0] >= after and only_cells(flat[slice(*span)], cells):
+            found.append((number, *span))
+    return found
+
+
+def splice(texts: list[str], tables: list[list[list[str]]]) -> tuple[list[tuple[int, str]], list[int]]:
+    """Clauses with every table that has a place replaced by its marker, and the numbers of those tables.
+
+    A table may span clauses: its marker stands in the first, and clauses of which
+    nothing is left go; the others keep their index.
+    """
+    out = [unicodedata.normalize("NFC", t or "") for t in texts]
+    flat, places = squeeze(out)
+    spans = locate(flat, tables)
+    for number, begin, end in reversed(spans):
+        (a, i), (b, j) = places[begin], places[end - 1]
+        rest = out[b][j + 1 :]
+        out[a + 1 : b + 1] = [""] * (b - a)
+        out[a] = out[a][:i] + f"{MARK}TB{number}{MARK}" + (rest if a == b else "")
+        if a != b:
+            out[b] = rest
+    return [(k, t) for k, t in enumerate(out) if t.strip()] if spans else list(enumerate(out)), [n for n, *_ in spans]
+
+
+_SPLICED = T.StructType([T.StructField("clauses", T.ArrayType(T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("text", T.StringType())]))), T.StructField("placed", T.ArrayType(T.IntegerType()))])
+
+
+@F.pandas_udf(_SPLICED)
+def splice_clauses(texts: pd.Series, tables: pd.Series) -> pd.DataFrame:
+    """struct(clauses (idx, text), placed) of a section's clause texts, an array, and its tables, an array of grids."""
+    made = []
+    for ts, gs in zip(texts, tables, strict=True):
+        clauses, placed = splice(list(ts) if ts is not None else [], [[list(r) for r in g] for g in (gs if gs is not None else ())])
+        made.append(([{"idx": i, "text": t} for i, t in clauses], placed))
+    return pd.DataFrame(made, columns=["clauses", "placed"])
+
+
+def splice_tables(text: Column, tables: Column) -> Column:
+    """struct(text, placed) of one text."""
+    made = splice_clauses(F.array(F.coalesce(text, F.lit(""))), tables)
+    return F.struct(F.coalesce(F.try_element_at(made["clauses"], F.lit(1))["text"], F.lit("")).alias("text"), made["placed"].alias("placed"))
 
 
 def marked_tables(text: Column) -> Column:

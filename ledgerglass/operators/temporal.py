@@ -33,6 +33,14 @@ def resolve_status(rows: DataFrame, key: str, start: str, end: str, ordinal: str
     return g.select(key, status.alias("status"), shown.alias("current"), "upcoming", F.transform(others, lambda x: x["row"]).alias("history"))
 
 
+def past_rows(rows: DataFrame, key: str, start: str, end: str, ordinal: str, as_of: str) -> DataFrame:
+    """The rows of `rows` that are not their key's current one on a day: its history, as rows, so that no key gathers them."""
+    order = F.struct(F.coalesce(start, F.lit("")), F.col(ordinal))
+    covers = (F.coalesce(start, F.lit("")) <= as_of) & (F.col(end).isNull() | (F.col(end) >= as_of))
+    current = rows.groupBy(key).agg(F.max(F.when(covers, order)).alias("__at"))
+    return rows.join(current, key).where(F.col("__at").isNull() | (order != F.col("__at"))).drop("__at")
+
+
 def as_of_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, columns: list[str]) -> DataFrame:
     """For every left row the right row of its key with the latest time not after its own.
 

@@ -48,42 +48,43 @@ def mention_matrix(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT doc_id AS code, lower(substr(text, 1, 80)) AS title, lower(text) AS text FROM documents), n AS (SELECT DISTINCT lower(regexp_extract(text, '([A-Za-z]{6,12})', 1)) AS name FROM benchmark),
+    """WITH s AS (SELECT doc_id AS code, lower(split_part(text, chr(10), 1)) AS title, lower(text) AS text FROM documents), n AS (SELECT DISTINCT lower(regexp_extract(text, '([A-Za-z]{6,12})', 1)) AS name FROM benchmark),
 m AS (SELECT name, code, regexp_matches(title, '(^|[^a-z])' || name || '([^a-z]|$)') AS listed FROM s JOIN n ON name <> '' AND regexp_matches(text, '(^|[^a-z])' || name || '([^a-z]|$)'))
 SELECT name, count(*) FILTER (WHERE listed) AS n_listed, count(*) FILTER (WHERE NOT listed) AS n_referenced FROM m GROUP BY name"""
 )
 def mention_index(spark, sf_dir):
+    """How many texts have a name in their first line, their title, and how many only after it."""
     names = table(spark, sf_dir, "benchmark").select(F.lower(F.regexp_extract("text", "([A-Za-z]{6,12})", 1)).alias("name")).where("name <> ''").distinct()
-    sections = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("code"), F.substring("text", 1, 80).alias("title"), "text")
-    # a title cut inside a word may have a name that the text does not
-    out = mentions.mention_index(sections, names, "name")
-    both = mentions.mention_matrix(sections, "code", "text", names, "name")
-    keep = out.join(both.groupBy("name").agg(F.collect_set("code").alias("inside")), "name")
-    return keep.select("name", F.size(F.array_intersect("listed", "inside")).cast("bigint").alias("n_listed"), F.size("referenced").cast("bigint").alias("n_referenced"))
+    sections = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("code"), F.substring_index("text", "\n", 1).alias("title"), "text")
+    found = mentions.listed_or_referenced(sections, names, "name")
+    return found.groupBy("name").agg(F.count_if("listed").alias("n_listed"), F.count_if(~F.col("listed")).alias("n_referenced"))
 
 
-@query("SELECT doc_id, len(regexp_replace(regexp_replace(text, '\\([^)]*\\)', '', 'g'), '[\\s.,;]', '', 'g')) >= 40 AS substantive, CAST(len(list_filter(regexp_extract_all(text, '[^.\\n]+[.\\n]?'), lambda x: length(trim(x, ' ' || chr(10))) >= 6 AND contains(x, 'idiot'))) AS INTEGER) AS n_quotes FROM documents")
+@query(
+    r"""WITH q AS (SELECT doc_id, text, list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN regexp_extract_all(text, '[^.\n]+[.\n]?')], lambda x: length(x) >= 6 AND contains(x, 'idiot')) AS q FROM documents)
+SELECT doc_id, len(regexp_replace(regexp_replace(text, '\([^)]*\)', '', 'g'), '[\s.,;]', '', 'g')) >= 40 AS substantive,
+CAST(CASE WHEN len(q) = 1 AND regexp_replace(q[1], '[。；;]+$', '') = regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[。；;]+$', '') THEN 0 ELSE len(q) END AS INTEGER) AS n_quotes FROM q"""
+)
 def adjust_quotes(spark, sf_dir):
-    """Sentences with a word, from texts of some substance."""
+    """Sentences with a word, from texts of some substance; none where the text is nothing but that sentence."""
     t = F.col("text")
-    sentence = r"[^.\n]+[.\n]?"
     body = F.regexp_replace(F.regexp_replace(t, r"\([^)]*\)", ""), r"[\s.,;]", "")
-    quotes = F.filter(F.transform(F.regexp_extract_all(t, F.lit(sentence), 0), lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))), lambda s: (F.length(s) >= 6) & s.rlike("idiot"))
-    several = dosage.adjust_quotes(t, "idiot", sentence)
-    n = F.when(F.size(several) > 0, F.size(several)).otherwise(F.size(quotes))
-    return table(spark, sf_dir, "documents").select("doc_id", (F.length(body) >= 40).alias("substantive"), n.alias("n_quotes"))
+    quotes = dosage.adjust_quotes(t, "idiot", r"[^.\n]+[.\n]?")
+    return table(spark, sf_dir, "documents").select("doc_id", (F.length(body) >= 40).alias("substantive"), F.size(quotes).alias("n_quotes"))
 
 
 @query(
-    """WITH x AS (SELECT lang, source, substr(text, 1, 20) AS text, lower(substr(text, 1, 12)) AS norm, doc_id FROM documents),
+    r"""WITH x AS (SELECT lang, text, lower(regexp_replace(text, '[\s。，、；：.,;:]+', '', 'g')) AS norm, doc_id FROM documents),
 g AS (SELECT lang, norm, count(*) AS n, arg_max(text, (length(text), -doc_id)) AS text, min(doc_id) AS first_seen FROM x GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, first_seen) AS rank FROM g)
-SELECT lang, norm, text, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 4"""
+SELECT lang, md5(norm) AS norm, md5(text) AS text, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 4"""
 )
 def indication_topk(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", "doc_id", F.substring("text", 1, 20).alias("text"), F.lit(0).alias("state"))
-    out = aggregates.common_texts(d, ["lang"], "text", F.lower(F.substring("text", 1, 12)), "state", "doc_id")
-    return out.select("lang", "norm", "text", "n", "rank")
+    """The four commonest texts of each language, without regard to punctuation, white space and case."""
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", "text", F.lit(0).alias("state"))
+    norm = F.lower(F.regexp_replace("text", r"[\s。，、；：.,;:]+", ""))
+    out = aggregates.common_texts(d, ["lang"], "text", norm, "state", "doc_id")
+    return out.select("lang", F.md5(F.col("norm").cast("binary")).alias("norm"), F.md5(F.col("text").cast("binary")).alias("text"), "n", "rank")
 
 
 @query(
@@ -98,14 +99,37 @@ def label_groups(spark, sf_dir):
     return dosage.label_dosage(rows).select("inn", F.col("text").alias("quote_id"), "n_products", F.array_join("licences", ",").alias("licences"))
 
 
-@query("SELECT doc_id, 'email' AS kind, substr(regexp_extract(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,})', 1), 1, 40) AS found FROM documents WHERE regexp_matches(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,})')")
+#: Texts with what the patterns look for, and near misses: a number of a notice is no telephone number.
+_TYPED = [
+    (-1, "A123456789 is an id, XA123456789 is none"), (-2, "call 0912-345-678 or 0912 345 679"), (-3, "文號第0930060063號"), (-4, "病歷號：A12345"), (-5, "病歷號碼："), (-6, "出生日期：86/9/1"),
+    (-7, "出生日期："), (-8, "write to someone@example.org, or other@example.org"), (-9, "key sk-" + "a1B2" * 6), (-10, "ghp_" + "x9" * 12), (-11, "github_pat_" + "y_8" * 8), (-12, "sk-short"), (-13, "-----BEGIN RSA PRIVATE KEY-----"), (-14, "nothing here"),
+]
+_WITH_TYPED = "t AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in _TYPED) + ") v(doc_id, text))"
+
+
+def _with_typed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text").union(spark.createDataFrame(_TYPED, "doc_id long, text string"))
+
+
+def _found(kind: str, pattern: str, group: int = 1) -> str:
+    return f"SELECT doc_id, '{kind}' AS kind, substr(regexp_extract(text, '{pattern}', {group}), 1, 40) AS found FROM t WHERE regexp_matches(text, '{pattern}')"
+
+
+_PERSONAL_SQL = [
+    _found("national_id", r"(^|[^A-Za-z0-9])([A-Z][12]\d{8})([^0-9]|$)", 2), _found("mobile", r"(^|[^第\d])(09\d{2}[- ]?\d{3}[- ]?\d{3})([^\d號]|$)", 2), _found("record_number", r"(病歷號碼?\s*[：:]\s*[A-Za-z0-9]{4,})"),
+    _found("birth_date", r"(出生日期\s*[：:]\s*\d{2,4}[/年-]\d{1,2})"), _found("email", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"),
+]
+_SECRET_SQL = [_found("api_key", r"(ghp_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9]{20,})"), _found("private_key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)")]
+
+
+@query(f"WITH {_WITH_TYPED} " + " UNION ALL ".join(_PERSONAL_SQL))
 def pii_scan(spark, sf_dir):
-    return scans.scan(table(spark, sf_dir, "documents"), "doc_id", "text", {"email": scans.PATTERNS["email"]})
+    return scans.scan(_with_typed(spark, sf_dir), "doc_id", "text", {k: scans.PATTERNS[k] for k in scans.PERSONAL})
 
 
-@query("SELECT doc_id, 'api_key' AS kind, substr(regexp_extract(text, '((?:sk|pk|ghp|AKIA)[-_A-Za-z0-9]{16,})', 1), 1, 40) AS found FROM documents WHERE regexp_matches(text, '((?:sk|pk|ghp|AKIA)[-_A-Za-z0-9]{16,})') UNION ALL SELECT doc_id, 'private_key', substr(regexp_extract(text, '(-----BEGIN [A-Z ]*PRIVATE KEY-----)', 1), 1, 40) FROM documents WHERE regexp_matches(text, '(-----BEGIN [A-Z ]*PRIVATE KEY-----)')")
+@query(f"WITH {_WITH_TYPED} " + " UNION ALL ".join(_SECRET_SQL))
 def secret_scan(spark, sf_dir):
-    return scans.scan(table(spark, sf_dir, "documents"), "doc_id", "text", {k: scans.PATTERNS[k] for k in ("api_key", "private_key")})
+    return scans.scan(_with_typed(spark, sf_dir), "doc_id", "text", {k: scans.PATTERNS[k] for k in scans.SECRET})
 
 
 @query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS escaped FROM pages")
@@ -129,12 +153,14 @@ def mojibake(spark, sf_dir):
     return t.select("doc_id", (textnorm.nfc("text") == F.col("text")).alias("unchanged"), textnorm.has_mojibake("text").alias("mojibake"))
 
 
-@query()
+@query("SELECT p_partkey, lower(p_name) || ' ab1' AS term, CAST(length(p_name) + 8 AS INTEGER) AS width FROM part")
 def nfkc_query(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.lower(textnorm.nfkc("p_name")).alias("term"), textnorm.display_width("p_name").alias("width"))
+    """A name with full-width letters after it, which become plain ones and are two columns wide each."""
+    name = F.concat("p_name", F.lit("　ＡＢ１"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.lower(textnorm.nfkc(name)).alias("term"), textnorm.display_width(name).alias("width"))
 
 
-@query()
+@query("SELECT p_partkey, array_to_string([upper(x[1]) || x[2:] FOR x IN string_split(lower(p_type), ' ')], ' ') AS shown FROM part")
 def title_case(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", textnorm.title_case(F.lower("p_type")).alias("shown"))
 
@@ -154,15 +180,15 @@ def sentence_diff(spark, sf_dir):
 
 @query()
 def coverage(spark, sf_dir):
-    """How much of the first 400 characters their first three lines cover."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("source"))
-    return d.select("doc_id", clauses.coverage("source", F.substring_index("source", "\n", 3)).alias("coverage"))
+    """How much of a text its first three lines cover."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", clauses.coverage("text", F.substring_index("text", "\n", 3)).alias("coverage"))
 
 
 @query()
 def rejoin_lines(spark, sf_dir):
     """Texts broken after every 60 characters, put together by their own lines."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") < 4000)
+    d = table(spark, sf_dir, "documents")
     broken = F.regexp_replace("text", "([^\\n]{60})", "$1\n")
     return d.select("doc_id", textnorm.strip(tables.rejoin(broken, F.split("text", "\n"))).alias("joined")).select("doc_id", F.size(F.split("joined", "\n")).alias("n_lines"))
 
@@ -198,8 +224,36 @@ def relevant_start(spark, sf_dir):
     return clauses.relevant_start(c, "conv_id", F.contains("text", F.lit("the"))).select("conv_id", F.col("start").cast("bigint").alias("start"))
 
 
-@query("SELECT conv_id, turn AS idx, blk AS block FROM (SELECT *, CASE WHEN role = 'user' THEN turn ELSE max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) END AS blk FROM (SELECT DISTINCT ON (conv_id, turn) * FROM conversations))")
+@query("SELECT conv_id, turn AS idx, CASE WHEN role = 'user' THEN turn ELSE max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) END AS block FROM (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY conv_id, turn)")
 def dosage_blocks(spark, sf_dir):
-    """A user's turn heads a block of the turns after it."""
-    c = table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"]).select("conv_id", F.col("turn").cast("int").alias("idx"), F.when(F.col("role") == "user", 1).otherwise(2).alias("level"), "role")
+    """A user's turn heads a block of the turns after it; of a turn's roles the first by name counts."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id", F.col("turn").cast("int").alias("idx")).agg(F.min("role").alias("role"))
+    c = c.withColumn("level", F.when(F.col("role") == "user", 1).otherwise(2))
     return dosage.dosage_blocks(c, "conv_id", F.col("role") == "user").select("conv_id", F.col("idx").cast("bigint").alias("idx"), F.col("block").cast("bigint").alias("block"))
+
+
+@query(
+    """WITH l AS (SELECT conv_id, turn, min(rtrim(text)) AS text FROM conversations GROUP BY conv_id, turn), s AS (SELECT conv_id, sum(length(text)) AS size, count(*) AS n FROM l GROUP BY conv_id)
+SELECT conv_id, size < 10 AS is_stub, FALSE AS has_children, size < 10 AS title_is_rule, conv_id % 2 = 1 AS is_future FROM s"""
+)
+def section_states(spark, sf_dir):
+    """Conversations as sections, turns as their clauses."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min(F.rtrim("text")).alias("text"))
+    code = F.concat(F.col("conv_id").cast("string"), F.lit("."))
+    sections = c.select("conv_id").distinct().select(code.alias("code"), F.when(F.col("conv_id") % 2 == 1, "2030-01-01").otherwise("2020-01-01").alias("effective"))
+    out = clauses.section_states(sections, c.select(code.alias("code"), "text"), "2024-01-01")
+    return out.select(F.rtrim(F.translate("code", ".", " ")).cast("bigint").alias("conv_id"), "is_stub", "has_children", "title_is_rule", "is_future")
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS idx FROM documents)
+SELECT doc_id, count(*) AS n_clauses, CAST(max(idx) AS INTEGER) AS last_idx, CAST(sum(length(t)) AS BIGINT) AS visible, sum(length(t)) < 300 AS notice FROM (SELECT doc_id, idx, regexp_replace(line, '\s+$', '') AS t FROM l) WHERE t <> '' GROUP BY doc_id"""
+)
+def annex_paragraphs(spark, sf_dir):
+    """Texts as annexes: a clause for each line, and whether they show so little that they must be drawings."""
+    p = clauses.annex_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    none = spark.createDataFrame([], "doc_id long, grid array<array<string>>")
+    notice = clauses.image_notice(p, none, "doc_id")
+    return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_clauses"), F.max("idx").alias("last_idx")).join(notice, "doc_id").select("doc_id", "n_clauses", "last_idx", "visible", "notice")
+
+

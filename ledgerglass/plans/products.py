@@ -92,11 +92,11 @@ def flag_or_rollup(spark, sf_dir):
     return aggregates.set_flags(j, ["o_custkey"], ["prior_review", "special_case"], ["specialists"]).withColumn("specialists", F.array_join("specialists", ","))
 
 
-@query("WITH t AS (SELECT * FROM (VALUES ('Brand#1', 'one'), ('Brand#12', 'twelve'), ('Brand#3', 'three')) x(prefix, tag)) SELECT p_partkey, prefix, tag FROM part JOIN t ON starts_with(p_brand, prefix) WHERE p_size > 5")
+@query("WITH t AS (SELECT * FROM (VALUES ('Brand#1', 'one'), ('Brand#12', 'twelve'), ('Brand#3', 'three')) x(prefix, tag)) SELECT p_partkey, prefix, tag FROM part JOIN t ON starts_with(p_brand, prefix)")
 def atc_block_tags(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     tags = spark.createDataFrame([("Brand#1", "one"), ("Brand#12", "twelve"), ("Brand#3", "three")], "prefix string, tag string")
-    return aggregates.prefix_tags(p.where("p_size > 5"), "p_brand", tags, "prefix", [7, 8]).select("p_partkey", "prefix", "tag")
+    return aggregates.prefix_tags(p, "p_brand", tags, "prefix", [7, 8]).select("p_partkey", "prefix", "tag")
 
 
 @query(
@@ -139,11 +139,11 @@ def ingredient_tree(spark, sf_dir):
     return tree.select("inn", F.explode("routes").alias("route", "x")).select("inn", "route", "x.n_products", F.array_join("x.sections", ",").alias("sections"), "x.price_min", "x.price_max")
 
 
-@query("WITH s AS (SELECT o_orderpriority AS name, sha256(o_orderkey || '|' || o_totalprice::DECIMAL(18,2)) AS h FROM orders) SELECT substr(sha256(string_agg(name || ':' || f, '' ORDER BY name || ':' || f)), 1, 16) AS fingerprint FROM (SELECT name, sha256(string_agg(h, '' ORDER BY h)) AS f FROM s GROUP BY name)")
+@query("WITH f AS (SELECT o_orderpriority AS name, count(*) || ':' || sum(CAST('0x' || substr(md5(o_orderkey || '|' || CAST(o_totalprice AS DECIMAL(18,2))), 1, 15) AS BIGINT)) AS content FROM orders GROUP BY o_orderpriority) SELECT substr(sha256(string_agg(name || ':' || sha256(content), '' ORDER BY name || ':' || sha256(content))), 1, 16) AS fingerprint FROM f")
 def fingerprint(spark, sf_dir):
-    """A file is all orders of a priority."""
-    line = F.sha2(F.concat(F.col("o_orderkey").cast("string"), F.lit("|"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")), 256)
-    files = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("content"))
+    """A file is all orders of a priority, for which a mark of fixed width stands."""
+    mark = aggregates.content_mark(F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    files = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(mark.alias("content"))
     return aggregates.fingerprint(files, "o_orderpriority", "content")
 
 
@@ -193,3 +193,40 @@ def slim_union(spark, sf_dir):
     drugs = publish.slim(table(spark, sf_dir, "part").withColumn("long", F.repeat("p_name", 40)), {"p_partkey": "k", "p_name": "n"}, "long")
     procedures = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("n"), F.lit("chapter").alias("ch"))
     return publish.search_index(drugs, procedures)
+
+
+_CATALOGUE = """x AS (SELECT l_suppkey AS inn, l_orderkey * 10 + l_linenumber AS ordinal, l_returnflag AS route, CASE WHEN l_linenumber = 2 THEN '+ ' || upper(substr(split_part(p_type, ' ', -1), 1, 1)) || lower(substr(split_part(p_type, ' ', -1), 2)) ELSE '' END AS partners,
+ CASE WHEN l_linenumber % 3 = 0 THEN lower(p_brand) ELSE p_brand END AS name, CASE WHEN p_size > 40 THEN split_part(p_type, ' ', 1) END AS zh, p_size > 25 AS originator, l_linenumber <> 1 AS priced, l_linestatus = 'O' AS has_insert FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+
+def _catalogue(spark, sf_dir):
+    """Lines as products: the supplier is the ingredient, a second line is a combination with the last word of the part's type."""
+    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    inn = F.format_string("S%d", "l_suppkey")
+    return l.select(
+        inn.alias("inn"), F.when(F.col("l_linenumber") == 2, F.array(inn, F.substring_index("p_type", " ", -1))).otherwise(F.array(inn)).alias("inn_keys"), F.col("l_returnflag").alias("route"), F.when(F.col("l_linenumber") % 3 == 0, F.lower("p_brand")).otherwise(F.col("p_brand")).alias("brand_en"),
+        F.when(F.col("p_size") > 40, F.substring_index("p_type", " ", 1)).alias("brand_zh"), F.lit("unnamed").alias("name_en"), F.when(F.col("l_linenumber") == 1, 0.0).otherwise(F.col("l_extendedprice")).alias("price"), (F.col("p_size") > 25).alias("originator"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), (F.col("l_linestatus") == "O").alias("has_insert"), "l_suppkey",
+    )
+
+
+@query(
+    f"""WITH {_CATALOGUE},
+g AS (SELECT inn, route, partners, min(name) AS name, bool_or(originator) AS originator, bool_or(priced) AS priced, count(*) AS n, string_agg(DISTINCT zh, ',' ORDER BY zh) AS zh FROM x GROUP BY inn, route, partners, lower(name))
+SELECT 'S' || inn AS inn, route, partners, name, originator, priced, n, coalesce(zh, '') AS zh, CAST(row_number() OVER (PARTITION BY inn, route ORDER BY partners <> '', partners, priced DESC, originator DESC, name) AS INTEGER) AS place FROM g"""
+)
+def brand_overview(spark, sf_dir):
+    return aggregates.brand_overview(_catalogue(spark, sf_dir)).withColumn("zh", F.array_join("zh", ","))
+
+
+@query(f"WITH {_CATALOGUE} SELECT 'S' || inn AS inn, route, arg_min(ordinal, (CAST(NOT originator AS INTEGER), ordinal)) AS ordinal FROM x WHERE has_insert GROUP BY inn, route")
+def representative(spark, sf_dir):
+    """The product whose insert stands for an ingredient's route."""
+    return aggregates.representative(_catalogue(spark, sf_dir), ["inn", "route"], "has_insert", "originator", "ordinal", ["ordinal"])
+
+
+@query(f"WITH {_CATALOGUE} SELECT 'route' AS kind, route AS value, count(*) AS n FROM x GROUP BY route UNION ALL SELECT 'originator', CAST(originator AS VARCHAR), count(*) FROM x GROUP BY originator UNION ALL SELECT 'warnings', w, count(*) FROM (SELECT CASE WHEN partners <> '' THEN 'combination' END AS w FROM x UNION ALL SELECT CASE WHEN NOT priced THEN 'unlisted' END FROM x) WHERE w IS NOT NULL GROUP BY w")
+def report_counters(spark, sf_dir):
+    """Counters of a build: routes, originators, warnings of which a product may have several."""
+    warnings = F.array_compact(F.array(F.when(F.size("inn_keys") > 1, "combination"), F.when(F.col("price") == 0, "unlisted")))
+    return aggregates.counters(_catalogue(spark, sf_dir).withColumn("warnings", warnings), ["route", "originator"], ["warnings"])

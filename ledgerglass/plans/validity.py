@@ -39,7 +39,8 @@ def current_status(spark, sf_dir):
 
 @query(f"WITH {_STATUS} SELECT o_custkey, v.start AS valid_from, v.o_totalprice AS price FROM s JOIN v USING (o_custkey) WHERE s.cur IS NULL OR v.o_orderkey <> s.cur[2]")
 def price_history(spark, sf_dir):
-    return _resolved(spark, sf_dir).select("o_custkey", F.explode("history").alias("h")).select("o_custkey", F.col("h.start").alias("valid_from"), F.col("h.o_totalprice").alias("price"))
+    past = temporal.past_rows(validity_rows(spark, sf_dir), "o_custkey", "start", "end", "o_orderkey", AS_OF)
+    return past.select("o_custkey", F.col("start").alias("valid_from"), F.col("o_totalprice").alias("price"))
 
 
 @query(f"WITH {_STATUS} SELECT o_custkey, up[2] AS next_order, up[1] AS next_from FROM s WHERE up IS NOT NULL")
@@ -192,3 +193,14 @@ def live_overlay(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"))
     made = lambda df, a, b: df.select("code", F.concat(F.lit("a"), F.col("code") % a).alias("file"), F.concat(F.lit("2020-01-0"), F.col("code") % b + 1).alias("effective"))
     return temporal.overlay_newest(made(p, 4, 9), made(p.where("code % 2 = 0"), 3, 5))
+
+
+@query(
+    """SELECT o_orderkey, 4 AS n_pieces, strftime(o_orderdate, '%Y-%m-%d') AS first_iso, CAST(year(o_orderdate) - 1911 AS VARCHAR) || '/' || month(o_orderdate) || '/' || day(o_orderdate) AS first_text, '1997-09-01' AS last_iso FROM orders"""
+)
+def date_annotations(spark, sf_dir):
+    """A rule's date list, cut into dates and what is between them."""
+    day = F.format_string("%d/%d/%d", F.year("o_orderdate") - 1911, F.month("o_orderdate"), F.dayofmonth("o_orderdate"))
+    pieces = F.filter(dates.annotate_dates(F.concat(F.lit("since "), day, F.lit("、"), F.lit("86/9/1"))), lambda p: p["text"] != "")
+    out = table(spark, sf_dir, "orders").select("o_orderkey", pieces.alias("p"))
+    return out.select("o_orderkey", F.size("p").alias("n_pieces"), F.get("p", F.lit(1))["iso"].alias("first_iso"), F.get("p", F.lit(1))["text"].alias("first_text"), F.get("p", F.lit(3))["iso"].alias("last_iso"))

@@ -131,12 +131,12 @@ def complete_or(new: DataFrame, total: int, old: DataFrame) -> DataFrame:
 
 
 def latest_files(rows: DataFrame, key: str, files: str) -> DataFrame:
-    """key, section, file, effective: from comma-separated file names, the newest of each section; what is no file name is skipped."""
+    """key, section, file, effective: from comma-separated file names, the newest of each section of a key; what is no file name is skipped."""
     from ..functions.codes import parse_file_name
 
     each = rows.select(key, F.explode(F.split(F.coalesce(files, F.lit("")), ",")).alias("file")).select(key, F.trim("file").alias("file")).withColumn("f", parse_file_name("file")).where("f is not null")
-    g = each.groupBy("f.code").agg(F.max_by(F.struct("file", "f.effective"), F.struct("f.effective", F.coalesce("f.seq", F.lit(-1)), "file")).alias("x"))
-    return g.select(F.col("code").alias("section"), "x.file", "x.effective")
+    g = each.groupBy(key, "f.code").agg(F.max_by(F.struct("file", "f.effective"), F.struct("f.effective", F.coalesce("f.seq", F.lit(-1)), "file")).alias("x"))
+    return g.select(key, F.col("code").alias("section"), "x.file", "x.effective")
 
 
 def newest_of(files: str):

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerglass.functions import codes, dates, names, routes, textnorm
-from ledgerglass.operators import clauses, diffing, dosage, licence, mentions, search, tables
+from ledgerglass.operators import aggregates, clauses, diffing, dosage, licence, mentions, scans, search, tables
 from ledgerglass.streaming import manifest
 
 
@@ -158,11 +158,75 @@ def test_sentence_diff(spark):
     assert d.hunks[0].ctx_before == ["一。"] and d.hunks[0].added == ["二改。"]
 
 
-def test_tables():
+def test_tables(spark):
     text = "前文\n項目 劑量\n甲 1\n乙 2\n後文"
-    out, placed = tables.splice(text, [[["項目", "劑量"], ["甲", "1"], ["乙", "2"]], [["不", "在"]]])
-    assert placed == [0] and out == f"前文\n{tables.MARK}TB0{tables.MARK}\n後文"
+    grid = [["項目", "劑量"], ["甲", "1"], ["乙", "2"]]
+    mark = f"{tables.MARK}TB0{tables.MARK}"
+    out, placed = tables.splice([text], [grid, [["不", "在"]]])
+    assert placed == [0] and out == [(0, f"前文\n{mark}\n後文")]
+    # over three clauses: the emptied one goes
+    out, placed = tables.splice(["前文\n項目 劑量", "甲 1", "乙＿2\n後文"], [grid])
+    assert placed == [0] and out == [(0, f"前文\n{mark}"), (2, "\n後文")]
+    # prose between the cells is never cut; a piece of a cell said twice is
+    assert tables.splice(["項目 劑量 甲 散文在此 1 乙 2"], [grid])[1] == []
+    assert tables.splice(["臨床特徵 床特徵 甲 循環不良 良"], [[["臨床特徵", "甲"], ["循環不良", "良"]]]) == ([(0, mark)], [0])
+    # the heading before the table has its first cell too: fewest other characters win
+    assert tables.splice(["甲乙嚴重度（S）： 嚴重度 輕 重"], [[["嚴重度", "輕", "重"]]])[0] == [(0, f"甲乙嚴重度（S）： {mark}")]
+    # one cell that the text does not have
+    assert tables.splice(["一 二 三 四"], [[["一", "二"], ["併格", "三"], ["四", ""]]])[1] == [0]
     assert tables.rejoin_lines("ab\ncd\nef\nx", {"abcdef"}) == "ab cd ef\nx"
+    got = value(spark, tables.splice_tables(F.col("t"), F.array(F.array(F.array(F.lit("甲"), F.lit("1"))))), t="x 甲 1 y")
+    assert (got.text, got.placed) == (f"x {mark} y", [0])
+
+
+def test_coverage_by_lines_is_that_of_characters():
+    import difflib
+    import random
+    import unicodedata
+
+    def plain(source, parts):
+        a, b = (re.sub(clauses.CODE_IN_TEXT, "", "".join(unicodedata.normalize("NFKC", s).split())) for s in (source, parts))
+        return sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) / len(a)
+
+    r = random.Random(3)
+    for _ in range(50):
+        lines = [f"{''.join(r.choice('abcdefghijklmnop') for _ in range(r.randint(20, 60)))}。" for _ in range(r.randint(1, 12))]
+        kept = [x if r.random() < 0.8 else x[: len(x) // 2] for x in lines if r.random() < 0.9]
+        assert abs(clauses.matched_share("\n".join(lines), "\n".join(kept)) - plain("\n".join(lines), "\n".join(kept))) < 0.02
+
+
+def test_sections_and_annexes(spark):
+    s = spark.createDataFrame([("1.", "2020-01-01"), ("1.2.", "2030-01-01"), ("3.", None), ("4.", "2020-01-01")], "code string, effective string")
+    c = spark.createDataFrame([("1.", 1, "短", False), ("1.2.", 1, "這一條的文字超過十個字元", False), ("4.", 1, "附表十 " + "字" * 201, True), ("4.", 2, "◎附表十一：參照", True), ("1.2.", 2, "附表九 短", True)], "code string, idx int, text string, appendix boolean")
+    got = {r.code: tuple(r)[1:] for r in clauses.section_states(s, c, "2024-01-01").collect()}
+    assert got == {"1.": (True, True, False, False), "1.2.": (False, False, False, True), "3.": (True, False, True, False), "4.": (False, False, False, False)}
+    none = spark.createDataFrame([], "code string")
+    assert [tuple(r) for r in clauses.annex_hosts(c, none).collect()] == [("附表十", "4.")]
+    assert {tuple(r) for r in clauses.annex_hosts(c, spark.createDataFrame([("1.2.",)], "code string")).collect()} == {("附表十", "4."), ("附表九", "1.2.")}
+    a = spark.createDataFrame([("a", "□ 一 \n\n 二\t"), ("b", "字" * 300)], "name string, text string")
+    p = clauses.annex_paragraphs(a, "name", "text")
+    assert [(r.idx, r.text) for r in p.where("name = 'a'").orderBy("idx").collect()] == [(0, "□ 一"), (2, " 二")]
+    g = spark.createDataFrame([("a", [["xy", None]])], "name string, grid array<array<string>>")
+    assert {tuple(r) for r in clauses.image_notice(p, g, "name").collect()} == {("a", 7, True), ("b", 300, False)}
+
+
+def test_brands_and_representatives(spark):
+    rows = [
+        ("T", ["T"], "OPH", "Timoptol", "青", None, 5.0, True, 1, False), ("T", ["T"], "OPH", "TIMOPTOL", None, None, 0.0, False, 2, True), ("T", ["T"], "OPH", "Zed", None, None, 0.0, False, 3, True),
+        ("T", ["T", "DORZO"], "OPH", "Cosopt", None, None, 9.0, True, 4, True), ("T", ["T"], "OPH", None, None, "Plain", 1.0, False, 5, False),
+    ]
+    p = spark.createDataFrame(rows, "inn string, inn_keys array<string>, route string, brand_en string, brand_zh string, name_en string, price double, originator boolean, ordinal int, has_insert boolean")
+    got = [(r.partners, r.name, r.originator, r.priced, r.n, r.zh) for r in aggregates.brand_overview(p).orderBy("place").collect()]
+    assert got == [("", "TIMOPTOL", True, True, 2, ["青"]), ("", "Plain", False, True, 1, []), ("", "Zed", False, False, 1, []), ("+ Dorzo", "Cosopt", True, True, 1, [])]
+    assert [r.ordinal for r in aggregates.representative(p, ["inn"], "has_insert", "originator", "ordinal", ["ordinal"]).collect()] == [4]
+    n = {(r.kind, r.value): r.n for r in aggregates.counters(p, ["route"], ["inn_keys"]).collect()}
+    assert n == {("route", "OPH"): 5, ("inn_keys", "T"): 5, ("inn_keys", "DORZO"): 1}
+
+
+def test_personal_data_and_keys(spark):
+    rows = [(1, "第0930060063號 0912-345-678"), (2, "文號0930060063號"), (3, "病歷號：A12345 出生日期：86/9"), (4, "github_pat_" + "a1" * 12), (5, "A123456789 x@y.org"), (6, "z" * (1 << 20) + " sk-" + "k" * 20)]
+    d = spark.createDataFrame(rows, "id int, t string")
+    assert {(r.id, r.kind, r.found[:14]) for r in scans.scan(d, "id", "t").collect()} == {(1, "mobile", "0912-345-678"), (3, "record_number", "病歷號：A12345"), (3, "birth_date", "出生日期：86/9"), (4, "api_key", "github_pat_a1a"), (5, "national_id", "A123456789"), (5, "email", "x@y.org"), (6, "api_key", "sk-kkkkkkkkkkk")}
 
 
 def test_visual_lines(spark):

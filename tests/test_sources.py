@@ -54,8 +54,9 @@ def test_files(spark, tmp_path):
 
 
 def test_newest_file(spark):
-    rows = spark.createDataFrame([("k", "1.2._20200101.pdf, 1.2._20210101_001.pdf,1.2._20210101_002.pdf,x"), ("k2", None)], "key string, files string")
-    assert [tuple(r) for r in readers.latest_files(rows, "key", "files").collect()] == [("1.2.", "1.2._20210101_002.pdf", "2021-01-01")]
+    rows = spark.createDataFrame([("k", "1.2._20200101.pdf, 1.2._20210101_001.pdf,1.2._20210101_002.pdf,x"), ("k2", None), ("k3", "1.2._20190101.pdf,3._20180101.pdf")], "key string, files string")
+    got = {tuple(r) for r in readers.latest_files(rows, "key", "files").collect()}
+    assert got == {("k", "1.2.", "1.2._20210101_002.pdf", "2021-01-01"), ("k3", "1.2.", "1.2._20190101.pdf", "2019-01-01"), ("k3", "3.", "3._20180101.pdf", "2018-01-01")}
 
 
 def test_gates_guard_promotion(spark, tmp_path):
