@@ -51,8 +51,9 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     within = np.arange(len(starts)) - at[owner]
     place = begin[owner] + within // PASSAGE
     words = np.maximum(1, np.bincount(place, minlength=begin[-1]))
-    # bytes belong to the passage of the word before them
+    # bytes belong to the passage of the word before them, those before a text's first word to its first passage
     byte_place = np.repeat(np.concatenate(([0], place)), np.diff(np.concatenate(([0], starts, [len(data)]))))
+    byte_place = np.maximum(byte_place, np.repeat(begin[:-1], np.diff(offsets)))
     group = _GROUP[data]
     inside = group >= 0
     k = len(_GROUPS) + 1
@@ -78,6 +79,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         again[first] = 0
         out[:, column] = np.bincount(place, weights=again, minlength=begin[-1]) / words
         column += 1
+    out[begin[:-1][count == 0]] = 0
     return out, begin
 
 
@@ -108,6 +110,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.forward(x, begin)["logit"] + self.shift, -500, 500)))
 
 
+def gradients(m: Model, f: dict, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted mean log loss of the bags whose forward pass is `f`, by parameter."""
+    dl = weight * (1 / (1 + np.exp(-f["logit"])) - y) / len(y)
+    g = {"out": np.append(dl @ f["z"], dl.sum())}
+    dz = (dl[:, None] * m.out[:-1])[f["bag"]]
+    da = (dz * f["h"]).sum(axis=1)
+    mean = np.bincount(f["bag"], weights=f["a"] * da)
+    de = f["a"] * (da - mean[f["bag"]])
+    g["attend"] = de @ (f["t"] * f["s"])
+    dts = de[:, None] * m.attend
+    dt, ds = dts * f["s"] * (1 - f["t"] ** 2), dts * f["t"] * f["s"] * (1 - f["s"])
+    g["tanh"], g["gate"] = f["h"].T @ dt, f["h"].T @ ds
+    dh = f["a"][:, None] * dz + dt @ m.tanh.T + ds @ m.gate.T
+    g["encode"] = f["x"].T @ (dh * (1 - f["h"] ** 2))
+    return g
+
+
 def fit(x: np.ndarray, begin: np.ndarray, y: np.ndarray, prior: float, hidden: int = 16, attention: int = 8, epochs: int = 60, batch: int = 128, rate: float = 0.01) -> Model:
     """Adam on the log loss with both classes weighed alike; `prior`, the share of label 1, then shifts the score."""
     r = np.random.default_rng(11)
@@ -124,18 +143,7 @@ def fit(x: np.ndarray, begin: np.ndarray, y: np.ndarray, prior: float, hidden: i
             docs = order[i : i + batch]
             rows = np.concatenate([np.arange(begin[d], begin[d + 1]) for d in docs])
             f = m.forward(x[rows], np.concatenate(([0], np.cumsum(np.diff(begin)[docs]))))
-            dl = weight[docs] * (1 / (1 + np.exp(-f["logit"])) - y[docs]) / len(docs)
-            g = {"out": np.append(dl @ f["z"], dl.sum())}
-            dz = (dl[:, None] * m.out[:-1])[f["bag"]]
-            da = (dz * f["h"]).sum(axis=1)
-            mean = np.bincount(f["bag"], weights=f["a"] * da)
-            de = f["a"] * (da - mean[f["bag"]])
-            g["attend"] = de @ (f["t"] * f["s"])
-            dts = de[:, None] * m.attend
-            dt, ds = dts * f["s"] * (1 - f["t"] ** 2), dts * f["t"] * f["s"] * (1 - f["s"])
-            g["tanh"], g["gate"] = f["h"].T @ dt, f["h"].T @ ds
-            dh = f["a"][:, None] * dz + dt @ m.tanh.T + ds @ m.gate.T
-            g["encode"] = f["x"].T @ (dh * (1 - f["h"] ** 2))
+            g = gradients(m, f, y[docs], weight[docs])
             step += 1
             for k in names:
                 a, b = mom[k]

@@ -110,7 +110,7 @@ def test_confirmed_texts_with_common_words_all_count(spark):
     assert {x.doc_id for x in got.where("predicted = 1").collect()} == {i for i, _ in confirmed}
 
 
-def test_attention_gradient():
+def test_one_passage_decides():
     r = np.random.default_rng(4)
     x, begin = r.normal(size=(400, 5)), np.arange(0, 401, 4)
     y = (x[:, 0].reshape(-1, 4).max(axis=1) > 1.2).astype(int)  # one passage decides
@@ -136,3 +136,195 @@ def test_passages_cover_whole_texts():
     for _, data, offsets in blocks(pa.array([long, None, "a a a"])):
         x, begin = quality.passages(data, offsets)
         assert list(np.diff(begin)) == [16, 1, 1] and np.isfinite(x).all()
+
+
+def test_attention_gradient():
+    """Each parameter's gradient against central differences of the loss."""
+    r = np.random.default_rng(8)
+    x, begin = r.normal(size=(11, 4)), np.array([0, 1, 4, 9, 11])
+    y, weight = np.array([1, 0, 1, 0]), np.array([0.7, 1.3, 0.9, 2.0])
+    shapes = {"encode": (5, 3), "tanh": (3, 2), "gate": (3, 2), "attend": (2,), "out": (4,)}
+    m = quality.Model(x.mean(axis=0), x.std(axis=0), **{k: r.normal(size=v) for k, v in shapes.items()})
+
+    def loss():
+        logit = m.forward(x, begin)["logit"]
+        return np.mean(weight * (np.logaddexp(0, logit) - y * logit))
+
+    got = quality.gradients(m, m.forward(x, begin), y, weight)
+    for name, shape in shapes.items():
+        p = getattr(m, name)
+        for at in np.ndindex(shape):
+            was, step = p[at], 1e-6
+            p[at] = was + step
+            up = loss()
+            p[at] = was - step
+            down = loss()
+            p[at] = was
+            assert got[name][at] == pytest.approx((up - down) / (2 * step), abs=1e-7), (name, at)
+
+
+def test_leader_steps_by_plain_arithmetic():
+    """Weights after a few rows against the update written out for one coordinate at a time."""
+    r = random.Random(3)
+    xs = [(np.array(sorted(r.sample(range(6), 3))), np.array([r.random() for _ in range(3)])) for _ in range(12)]
+    ys = np.array([r.randrange(2) for _ in xs])
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.01
+    z, n = {}, {}
+
+    def weight(i, c):
+        zi, penalty = z.get((i, c), 0.0), 0 if i == langid.BUCKETS else l1
+        if abs(zi) <= penalty:
+            return 0.0
+        return -(zi - (penalty if zi > 0 else -penalty)) / ((beta + n.get((i, c), 0.0) ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for k in order.permutation(len(xs)):
+            x = dict(zip(xs[k][0].tolist(), xs[k][1].tolist(), strict=True)) | {langid.BUCKETS: 1.0}
+            w = {(i, c): weight(i, c) for i in x for c in (0, 1)}
+            e = [np.exp(sum(v * w[i, c] for i, v in x.items())) for c in (0, 1)]
+            for i, v in x.items():
+                for c in (0, 1):
+                    g = v * (e[c] / sum(e) - (ys[k] == c))
+                    before = n.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / alpha * w[i, c]
+                    n[i, c] = before + g * g
+    got = langid.fit_ftrl(xs, ys, 2, alpha, beta, l1, l2, epochs=2)
+    want = np.zeros_like(got)
+    for (i, c) in z:
+        want[i, c] = weight(i, c)
+    assert np.allclose(got, want) and (want[:6] == 0).any() and (want[:6] != 0).any()
+
+
+def test_non_negative_steps_by_plain_arithmetic():
+    """Adam on the risk written out row by row, with steps on both sides of zero."""
+    r = np.random.default_rng(9)
+    xp, xu = r.random((6, 3)), np.vstack((r.random((4, 3)), np.zeros((2, 3))))
+    prior, rate, gamma = 0.7, 0.2, 1.0
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    w, m, v = np.array([0, 0, 0, np.log(prior / (1 - prior))]), np.zeros(4), np.zeros(4)
+    turned = 0
+    for k in range(1, 41):
+        keep, rest, risk = np.zeros(4), np.zeros(4), 0.0
+        for row in xp:
+            row = np.append(row, 1)
+            keep += prior * (sigmoid(row @ w) - 1) * row / len(xp)
+            rest -= prior * sigmoid(row @ w) * row / len(xp)
+            risk -= prior * np.log(1 + np.exp(row @ w)) / len(xp)
+        for row in xu:
+            row = np.append(row, 1)
+            rest += sigmoid(row @ w) * row / len(xu)
+            risk += np.log(1 + np.exp(row @ w)) / len(xu)
+        turned += risk < 0
+        g = keep + rest if risk >= 0 else -gamma * rest
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    got, bias = toxicity.fit_nnpu(xp, xu, prior, steps=40, rate=rate, l2=0.0, gamma=gamma)
+    assert 0 < turned < 40 and np.allclose(np.append(got, bias), w, atol=1e-6)
+
+
+ODD = [None, "", " ", "\n\n", "\n\n123 !!", "Alpha betas", "alpha  BETA\tgamma vilewordish vilewordish", "ñu один " * 3, "x" * 70000 + " vilewordant", "уно dos " * 30000]
+
+
+def odd_docs(spark):
+    """Odd texts, two of them twice, under ids that also come twice or are null, with columns named like those made inside."""
+    rows = [(i, t, "xx", "s", 1.0, "q") for i, t in enumerate(ODD)] + [(3, ODD[5], "xx", "s", 2.0, "q"), (None, ODD[6], None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double, __text string").repartition(3)
+
+
+def by_id(df):
+    return sorted(((r.doc_id is None, r.doc_id or 0), round(r.score, 9), *r[2:]) for r in df.collect())
+
+
+def test_language_scores_by_plain_python(spark):
+    docs = spark.createDataFrame(texts(), "doc_id long, text string, lang string, source string")
+    m = langid.train(docs)
+    assert m.temperature > 0
+
+    def plain(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        if not words:
+            return "und", 0.0
+        found, counts = langid.grams(" ".join(words))
+        x = {int(i): (1 + np.log(c)) * m.idf[i] for i, c in zip(found, counts, strict=True)}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        logit = [(sum(v / norm * m.weights[i, k] for i, v in x.items()) + m.weights[-1, k]) / m.temperature for k in range(len(m.langs))]
+        e = [np.exp(v - max(logit)) for v in logit]
+        best = int(np.argmax(e))
+        return m.langs[best], e[best] / sum(e)
+
+    odd = odd_docs(spark)
+    got = sorted((x[0], x[1], x[2]) for x in by_id(langid.predict(odd, m, ["doc_id"]).select("doc_id", "score", "lang_pred")))
+    want = []
+    for r in odd.collect():
+        lang, p = plain(r.text)
+        want.append(((r.doc_id is None, r.doc_id or 0), round(p, 9), lang))
+    want.sort()
+    assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in want]
+    assert [p for _, p, _ in got] == pytest.approx([p for _, p, _ in want], abs=1e-6)
+    assert langid.keep_identified(odd).columns == odd.columns
+
+
+def test_toxicity_scores_by_plain_python(spark):
+    import re
+
+    from ledgerglass.llm.bytescan import SpanHash
+
+    docs, labels, _ = labelled()
+    m = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+    def bucket(piece, gram=False):
+        h = SpanHash(np.frombuffer(piece, np.uint8))
+        h = int(h.grams(len(piece))[0]) ^ 0xABCDEF if gram else int(h(np.array([0]), np.array([len(piece)]))[0])
+        return h >> (64 - toxicity.BITS)
+
+    def plain(text):
+        found = set()
+        for word in set(re.findall(rb"[a-z\x80-\xff]+", (text or "").encode().lower())):
+            found.add(bucket(word))
+            if len(word) > 5:
+                found |= {bucket(g, True) for g in {word[i : i + 5] for i in range(len(word) - 4)}}
+        inputs = [int(m.index[b]) for b in found if m.index[b] >= 0]
+        total = m.bias + sum(m.weights[i] for i in inputs) / max(1, len(inputs)) ** 0.5
+        return 1 / (1 + np.exp(-total))
+
+    odd = odd_docs(spark)
+    got = by_id(toxicity.score(odd, m))
+    want = sorted(((r.doc_id is None, r.doc_id or 0), round(plain(r.text), 9)) for r in odd.collect())
+    assert [a for a, _ in got] == [a for a, _ in want]
+    assert [p for _, p in got] == pytest.approx([p for _, p in want], abs=1e-6)
+    assert max(p for _, p in got) > 0.5
+
+
+def test_quality_scores_of_odd_rows_by_one_text_at_a_time(spark):
+    """Texts scored in blocks get what each gets alone, with the attention written out."""
+    import pyarrow as pa
+
+    docs, labels, _ = labelled()
+    m = quality.train(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+    def plain(text):
+        (_, data, offsets), = blocks(pa.array([text], pa.string()))
+        x, _ = quality.passages(data, offsets)
+        h = [np.tanh(np.append((row - m.mean) / m.scale, 1) @ m.encode) for row in x]
+        e = [float((np.tanh(v @ m.tanh) / (1 + np.exp(-v @ m.gate))) @ m.attend) for v in h]
+        a = [np.exp(v - max(e)) for v in e]
+        z = sum(w * v for w, v in zip(a, h, strict=True)) / sum(a)
+        return 1 / (1 + np.exp(-(z @ m.out[:-1] + m.out[-1] + m.shift)))
+
+    odd = odd_docs(spark)
+    got = by_id(quality.score(odd, m))
+    want = sorted(((r.doc_id is None, r.doc_id or 0), round(plain(r.text), 9)) for r in odd.collect())
+    assert [a for a, _ in got] == [a for a, _ in want]
+    assert [p for _, p in got] == pytest.approx([p for _, p in want], abs=1e-6)
+
+
+def test_passages_do_not_depend_on_the_texts_beside_them():
+    import pyarrow as pa
+
+    rows = ["a b c", *ODD[:6], "\n\n\nd e", ""]
+    (_, data, offsets), = blocks(pa.array(rows, pa.string()))
+    x, begin = quality.passages(data, offsets)
+    for i, text in enumerate(rows):
+        (_, data, offsets), = blocks(pa.array([text], pa.string()))
+        assert np.allclose(x[begin[i] : begin[i + 1]], quality.passages(data, offsets)[0]), text
