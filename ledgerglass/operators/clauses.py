@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import difflib
 import re
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.textnorm import strip
+from .matching import CODE_IN_TEXT, coverage, matched_share  # noqa: F401  part of what is known of clauses
+
 # Markers with their levels, negators, keywords of each flag, forms of annex names.
 MARKERS = [
     (1, r"^\s*([一二三四五六七八九十]+)、"),
@@ -91,7 +92,7 @@ def flag_evidence(text, words, negations=NEGATIONS, around: int = 22) -> Column:
         good = F.filter(occurrences(t, word), lambda at: ~is_negated(t, at, negations))
         at = F.try_element_at(good, F.lit(1))
         low = F.greatest(at - around, F.lit(0))
-        quote = F.trim(F.replace(F.substring(t, low + 1, at + len(word) + around - low), F.lit("\n"), F.lit(" ")))
+        quote = strip(F.replace(F.substring(t, low + 1, at + len(word) + around - low), F.lit("\n"), F.lit(" ")))
         found.append(F.when(at.isNotNull(), F.struct(F.lit(word).alias("kw"), at.alias("pos"), quote.alias("quote"))))
     return F.coalesce(*found)
 
@@ -132,39 +133,6 @@ def split_title(code: pd.Series, text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(c, t) for c, t in zip(code, text, strict=True)], columns=["title", "body"])
 
 
-#: Dotted numbers, which stand in a text but not in its parts.
-CODE_IN_TEXT = r"\d+(?:\.\d+)*\.?(?=[^\d])"
-
-
-def matched_share(source: str, parts: str) -> float:
-    """Share of a source's characters, without white space and dotted numbers, that matching blocks cover in the joined parts."""
-    lines, pieces = (_bare_lines(s) for s in (source, parts))
-    total = sum(map(len, lines))
-    if not total:
-        return 1.0
-    matched = 0
-    # whole lines first, characters only between them: a long text costs what its differences cost
-    for op, i, j, k, m in difflib.SequenceMatcher(None, lines, pieces, autojunk=False).get_opcodes():
-        if op == "equal":
-            matched += sum(map(len, lines[i:j]))
-        elif op == "replace":
-            between = difflib.SequenceMatcher(None, "".join(lines[i:j]), "".join(pieces[k:m]), autojunk=False)
-            matched += sum(size for *_, size in between.get_matching_blocks())
-    return matched / total
-
-
-def _bare_lines(text: str | None) -> list[str]:
-    """Lines in NFKC without white space and dotted numbers, blank ones left out."""
-    lines = ("".join(x.split()) for x in unicodedata.normalize("NFKC", text or "").splitlines())
-    bare = re.sub(CODE_IN_TEXT, "", "\n".join(x for x in lines if x))
-    return [x for x in bare.split("\n") if x]
-
-
-@F.pandas_udf(T.DoubleType())
-def coverage(source: pd.Series, parts: pd.Series) -> pd.Series:
-    return pd.Series([round(matched_share(*x), 4) for x in zip(source, parts, strict=True)], dtype=float)
-
-
 def relevant_start(clauses: DataFrame, key: str, hit: Column) -> DataFrame:
     """key, start: the clause to begin with - the nearest level-1 clause at or before the first hit; 0 without a hit or with at most three clauses."""
     g = clauses.groupBy(key).agg(F.min(F.when(hit, F.col("idx"))).alias("first_hit"), F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("level") == 1, F.col("idx"))).alias("tops"))

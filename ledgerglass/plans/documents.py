@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import textnorm
-from ..operators import aggregates, clauses, diffing, dosage, gates, mentions, scans, tables
+from ..operators import aggregates, clauses, diffing, dosage, gates, keywords, mentions, scans, tables
 from .registry import query, table
 
 
@@ -183,9 +183,56 @@ def sentence_diff(spark, sf_dir):
 
 @query()
 def coverage(spark, sf_dir):
-    """How much of a text its first three lines cover."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", clauses.coverage("text", F.substring_index("text", "\n", 3)).alias("coverage"))
+    """How much of a text is left when its second half comes first and a line in front has gone; a text of one line is cut in its middle."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", "\n").alias("l")).withColumn("h", F.floor(F.size("l") / 2).cast("int"))
+    kept = F.concat(F.slice("l", F.col("h") + 1, F.size("l")), F.slice("l", 1, F.least("h", F.lit(1))), F.slice("l", 3, F.greatest(F.col("h") - 2, F.lit(0))))
+    half = F.floor(F.length("text") / 2).cast("int")
+    turned = F.concat(F.substring(F.col("text"), half + 1, F.length("text")), F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 3).cast("int")))
+    return d.select("doc_id", clauses.coverage("text", F.when(F.col("h") > 0, F.array_join(kept, "\n")).otherwise(turned)).alias("coverage"))
+
+
+#: Rules as they are written, with and without negators, at both ends of a negator's reach, with words that begin alike.
+_RULES = [
+    "須經事前審查核准後使用。", "本品不需事前審查。", "免經事前審查；惟專案申請者仍須事前審查。", "擇一使用，不得併用。", "每一療程以三個月為限，每年最多兩個療程。", "檢附病人同意書，無須同意書者除外。", "非經專案審查不得合併使用。", "不必另檢附同意書", "無需擇一　擇一使用",
+    "半年內不得重複申請\t專案申請", "毋須經過長時間的事前審查", "毋須經過的事前審查", "不得合併使用：不得併用", "此條無任何規定。",
+]
+_QUOTED = ", ".join(f"'{r}'" for r in _RULES)
+_RULED = "concat(substr(text, 1, 10 * (abs(doc_id) % 7)), {rules}, substr(text, 10 * (abs(doc_id) % 7) + 1))"
+_FLAG_WORDS = [(f, i, w) for f, ws in clauses.FLAGS.items() for i, w in enumerate(ws)]
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, {_RULED.format(rules=f'[{_QUOTED}][CAST(abs(doc_id) % {len(_RULES)} AS INTEGER) + 1]')} AS t FROM documents WHERE text IS NOT NULL),
+g(flag, ord, kw) AS (VALUES {', '.join(f"('{f}', {i}, '{w}')" for f, i, w in _FLAG_WORDS)}),
+s AS (SELECT doc_id, t, flag, ord, kw, string_split(t, kw) AS parts FROM d JOIN g ON contains(t, kw)),
+o AS (SELECT doc_id, t, flag, ord, kw, CAST(list_sum([length(x) FOR x IN parts[1:k]]) + (k - 1) * length(kw) AS BIGINT) AS pos FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM s)),
+n AS (SELECT * FROM o WHERE len(list_filter({clauses.NEGATIONS!r}, lambda x: contains(substr(t, greatest(pos - 6, 0) + 1, least(pos, 6)), x))) = 0)
+SELECT doc_id, flag, kw, CAST(pos AS INTEGER) AS pos, regexp_replace(replace(substr(t, greatest(pos - 22, 0) + 1, least(pos, 22) + length(kw) + 22), chr(10), ' '), '^[\s　]+|[\s　]+$', '', 'g') AS quote FROM n QUALIFY row_number() OVER (PARTITION BY doc_id, flag ORDER BY ord, pos) = 1"""
+)
+def keyword_scan(spark, sf_dir):
+    """The six groups of keywords in texts that have a rule put in, with negators: all words in one scan of each text."""
+    rules = f"element_at(array({_QUOTED}), CAST(abs(doc_id) % {len(_RULES)} AS INT) + 1)"
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").selectExpr("doc_id", _RULED.format(rules=rules).replace("10 * (abs(doc_id) % 7)", "CAST(10 * (abs(doc_id) % 7) AS INT)") + " AS t")
+    found = keywords.extract_flags_scan(d, "t")
+    rows = F.explode(F.array(*(F.struct(F.lit(f).alias("flag"), F.col(f"{f}_ev").alias("ev")) for f in clauses.FLAGS))).alias("r")
+    return found.select("doc_id", rows).where("r.ev IS NOT NULL").select("doc_id", "r.flag", "r.ev.kw", "r.ev.pos", "r.ev.quote")
+
+
+_NAMES = "SELECT DISTINCT lower(x) AS name FROM (SELECT regexp_extract(text, '([A-Za-z]{3,9} [a-z]{3,9})', 1) AS x FROM benchmark UNION ALL SELECT regexp_extract(text, '([A-Za-z]{6,12})', 1) FROM benchmark UNION ALL SELECT regexp_extract(text, '([a-z]+, [a-z]+)', 1) FROM benchmark UNION ALL SELECT * FROM (VALUES ('co-trimoxa-zole (oral)'), ('甲氨蝶呤注射液'), ('short')) v(x)) WHERE x <> ''"
+_MENTIONING = "SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES (-1, 'Cotrimoxazole, or CO-TRIMOXA-ZOLE'), (-2, 'xco-trimoxa-zole cotrimoxazoles'), (-3, '曾使用甲氨蝶呤注射液無效'), (-4, 'short')) v(doc_id, text)"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, lower(text) AS text FROM ({_MENTIONING})), n AS ({_NAMES}), b AS (SELECT name, split_part(name, ' (', 1) AS base FROM n),
+v AS (SELECT name, base AS v FROM b UNION SELECT name, replace(base, '-', '') FROM b)
+SELECT DISTINCT doc_id, name FROM t JOIN v ON length(v) >= 6 AND contains(text, v) AND regexp_matches(text, '(^|[^a-z])' || v || '([^a-z]|$)')"""
+)
+def mention_scan(spark, sf_dir):
+    """Names of one word and of two, with hyphens and in Han, that texts mention, from one scan of each."""
+    t = {k: table(spark, sf_dir, k) for k in ("documents", "benchmark")}
+    docs = spark.sql(_MENTIONING.replace("FROM documents", "FROM {documents}"), documents=t["documents"])
+    names = spark.sql(_NAMES.replace("{", "{{").replace("}", "}}").replace("FROM benchmark", "FROM {benchmark}"), benchmark=t["benchmark"])
+    return keywords.mention_scan(docs, "doc_id", "text", names, "name")
 
 
 @query()
