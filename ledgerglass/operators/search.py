@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.textnorm import query_term
@@ -99,6 +99,12 @@ def fuzzy(index: DataFrame, q: str, fields: list[str], name: str = "name", limit
     return hits if limit is None else hits.orderBy(name).limit(limit)
 
 
+def by_locale(name: str, *then: str, partition: str | None = None) -> WindowSpec:
+    """A window in the order of a language's names (ICU's root collation): letters first, then accents, then case; columns `then` decide between equals."""
+    w = Window.orderBy(F.collate(F.col(name), "UNICODE"), *then)
+    return w.partitionBy(partition) if partition else w
+
+
 def search_with_fallback(index: DataFrame, q: str, fields: list[Field], fuzzy_fields: list[str], name: str = "name", limit: int = 10, wider: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Hits, else near misses, and how many hits the wider index has if there are none at all."""
     hits = search(index, q, fields, name, limit)

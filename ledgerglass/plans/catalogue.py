@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, products, search, validity  # noqa: F401
+from . import documents, products, releases, search, validity  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
