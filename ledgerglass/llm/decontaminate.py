@@ -158,11 +158,10 @@ def digest(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """`docs` without the rows in which a window of an item occurs; all else, null texts too, stays as it is."""
     bad = contamination(docs, items, window).where("n_hit > 0").select("t1", "t2").distinct()
-    bad = written(bad.withColumnsRenamed({"t1": "__t1", "t2": "__t2"}), "contaminated")
+    bad = written(bad, "contaminated")
     k1, k2 = text_key()
-    keyed = docs.select("*", k1.alias("__k1"), k2.alias("__k2"))
-    on = (F.col("__k1") == F.col("__t1")) & (F.col("__k2") == F.col("__t2"))
-    return join_by_size(keyed, bad, on, "left_anti", 24 * bad.count()).drop("__k1", "__k2")
+    keyed = docs.select(F.struct("*").alias("row"), k1.alias("t1"), k2.alias("t2"))  # other columns may have any names
+    return join_by_size(keyed, bad, ["t1", "t2"], "left_anti", 24 * bad.count()).select("row.*")
 
 
 ORACLE = r"""

@@ -28,57 +28,95 @@ from .common import join_by_size, small_batches, written
 #: Tokens in a run that counts as repeated, and distinct pages that must share it.
 RUN, MIN_PAGES = 8, 3
 
-_TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NOTED = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A tag, a comment or a declaration. A quote counts only where a value begins, so that an apostrophe in an unquoted one ends nothing.
+_TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>", re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 _RAW = frozenset("script style textarea title noscript template svg math iframe object select button canvas audio video".split())
 _FURNITURE = frozenset("nav footer aside form menu dialog head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Words of class names and ids. A name is a hint if it has one of these words and no others but the general ones: `ad-slot`, not `no-sidebar` or `article-header`.
 _HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations comment comments disqus respond footer header masthead pagination pager toolbar login signup".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations comment comments disqus respond footer header masthead pagination pager toolbar login response responses replies reply signup".split()
 )
+_GENERAL = frozenset(
+    "area bar block bottom box button buttons col column container desktop element fixed form global group holder icons id inline inner item items layout left link links list main mobile outer page panel post posts right row section site slot sticky sub thread top unit widget widgets wrap wrapper".split()
+)
+#: Hints of what readers and others wrote, in which an article is none of the page's.
+_FOREIGN = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments disqus respond response responses replies reply related recommended recommendations newsletter".split())
+#: Words that name what others wrote about, beside a foreign hint: `article-comments`, `related-posts`.
+_ABOUT = frozenset("article articles blog content entry news page post posts reader readers stories story user users".split())
+#: Hints that a heading inside the main text may have too.
+_TOPS = frozenset("header masthead banner".split())
+#: Names of what announces another page's article.
+_TEASERS = frozenset("teaser teasers card cards snippet preview excerpt".split())
+#: What may stand in `head`; any other element ends it, as its end tag may be left out.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta noscript script style template title noframes".split())
 #: Open elements that a new one of the same group ends.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+def _hints(value: str) -> set[str]:
+    """Furniture words of a class attribute or id."""
+    out: set[str] = set()
+    for name in value.split():
+        words = set(_WORDS.findall(name))
+        found = words & _HINTS
+        if found and words - _HINTS <= (_GENERAL | _ABOUT if found & _FOREIGN else _GENERAL):
+            out |= found
+    return out
+
+
 def _kind(tag: str, attributes: str, in_main: bool) -> str:
-    """'skip', 'main' or '' for an element."""
-    if tag in _FURNITURE:
+    """What an element is: 'skip' (furniture), 'foreign' (what others wrote), 'soft' (furniture unless it holds the main text), 'main', 'article', 'teaser' or ''."""
+    if tag in _FURNITURE and tag != "form":
         return "skip"
-    kind = "main" if tag in ("article", "main") else ""
-    if not attributes or tag in ("html", "body"):
-        return kind
-    for m in _NOTED.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return "skip"
-        if name == "role":
-            if value in _ROLES:
+    kind = tag if tag in ("article", "main") else "soft" if tag == "form" else ""
+    if attributes and tag not in ("html", "body"):
+        for m in _ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return "skip"
-            if value in ("main", "article"):
-                kind = "main"
-        elif name == "itemprop":
-            if value == "articlebody":
+            if name == "role":
+                if value == "form":
+                    kind = "soft"
+                elif value in _ROLES:
+                    return "skip"
+                elif value in ("main", "article"):
+                    kind = value
+            elif name == "itemprop" and value == "articlebody":
                 kind = "main"
-        elif name in ("class", "id"):
-            hints = _HINTS.intersection(_WORDS.findall(value))
-            if hints and (not kind or hints & {"comment", "comments"}):
-                return "skip"
-    if tag == "header" and not in_main:
-        return "skip"
+            elif name in ("class", "id"):
+                found = _hints(value)
+                if found & _FOREIGN:
+                    return "foreign"
+                if kind in ("main", "article"):
+                    if kind == "article" and any(set(_WORDS.findall(x)) & _TEASERS for x in value.split()):
+                        kind = "teaser"
+                elif found - _TOPS if in_main else found:
+                    kind = "soft"
+    if tag == "header" and not in_main and not kind:
+        return "soft"
     return kind
 
 
 def blocks_of(page: str | None) -> tuple[list[str], list[str]]:
-    """Text blocks inside landmarks, and the undecided ones outside of any landmark and furniture."""
+    """Text blocks inside landmarks, and the undecided ones outside of any landmark and furniture.
+
+    A main element is one wherever it stands but in furniture proper. An article inside
+    what only looks like furniture - a form around the page, a class name - counts where
+    the page has no other, as does one that looks like a teaser.
+    """
     inside: list[str] = []
+    second: list[str] = []
     outside: list[str] = []
     if not page:
         return inside, outside
-    stack: list[tuple[str, str]] = []
-    skip = main = 0
+    stack: list[tuple[str, str, int]] = []
+    skip = main = soft = 0  # soft: open elements that look like furniture and in which no main text has begun
+    second_rate = 0
     parts: list[str] = []
     at, n = 0, len(page)
 
@@ -86,15 +124,17 @@ def blocks_of(page: str | None) -> tuple[list[str], list[str]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
-            if text:
-                (inside if main else outside).append(text)
+            if text and not soft:
+                (second if second_rate else inside if main else outside).append(text)
 
     def pop_to(k: int):
-        nonlocal skip, main
+        nonlocal skip, main, soft, second_rate
         while len(stack) > k:
-            _, kind = stack.pop()
-            skip -= kind == "skip"
-            main -= kind == "main"
+            _, kind, lifted = stack.pop()
+            skip -= kind in ("skip", "foreign")
+            main -= kind in ("main", "article", "teaser")
+            second_rate -= kind == "teaser"
+            soft += lifted - (kind == "soft")
 
     def find(tags) -> int:
         for k in range(len(stack) - 1, -1, -1):
@@ -114,6 +154,9 @@ def blocks_of(page: str | None) -> tuple[list[str], list[str]]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if not m[1] and tag not in _IN_HEAD and (k := find(("head",))) >= 0:
+            flush()
+            pop_to(k)
         if m[1]:
             if tag in _INLINE and tag not in ("label",):
                 k = find((tag,))
@@ -144,21 +187,29 @@ def blocks_of(page: str | None) -> tuple[list[str], list[str]]:
                 flush()
             continue
         kind = _kind(tag, m[3], main > 0)
+        lifted = 0
+        if kind == "article" and inside and any(k == "article" for _, k, _ in stack):
+            kind = "foreign"  # an article in an article that has begun is a reader's
         if tag in _INLINE:
-            if kind == "skip":
+            if kind in ("skip", "foreign", "soft"):
                 flush()
-            stack.append((tag, kind))
         else:
             flush()
-            if (k := find(("p",))) >= 0 and all(t in _INLINE or t == "p" for t, _ in stack[k:]):
+            if (k := find(("p",))) >= 0 and all(t in _INLINE or t == "p" for t, *_ in stack[k:]):
                 pop_to(k)
-            if tag in _ENDS and (k := find(_ENDS[tag])) >= 0 and not any(t in ("ul", "ol", "dl", "table", "select") for t, _ in stack[k:]):
+            if tag in _ENDS and (k := find(_ENDS[tag])) >= 0 and not any(t in ("ul", "ol", "dl", "table", "select") for t, *_ in stack[k:]):
                 pop_to(k)
-            stack.append((tag, kind))
-        skip += kind == "skip"
-        main += kind == "main"
+        if kind in ("main", "article", "teaser") and soft and not skip:
+            # the main text has begun: what is around it only looked like furniture
+            kind = "main" if kind == "main" else "teaser"
+            lifted, soft = soft, 0
+        stack.append((tag, kind, lifted))
+        skip += kind in ("skip", "foreign")
+        main += kind in ("main", "article", "teaser")
+        second_rate += kind == "teaser"
+        soft += kind == "soft"
     flush()
-    return inside, outside
+    return inside or second, outside
 
 
 def _tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -234,16 +285,21 @@ def _unique(outside: list[str], starts) -> list[str]:
 
 
 def extract(pages: DataFrame, keep: list[str], url: str = "url", html: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
-    """Columns `keep` of every page and its `main_text`; a null, empty or textless page has an empty text."""
+    """Columns `keep` of every page and its `main_text`; a null, empty or textless page has an empty text.
+
+    Columns may have any names but that of the result's own; repeated rows give repeated rows.
+    """
+    if "main_text" in keep:
+        raise ValueError("main_text is the result's own column")
     small_batches(pages.sparkSession)
     k1, k2 = F.xxhash64(html), F.xxhash64(F.lit("second"), F.col(html))
-    rows = pages.select(*keep, host(url).alias("__host"), k1.alias("__k1"), k2.alias("__k2"), F.col(html).alias("__html"))
+    rows = pages.select(F.struct(*keep).alias("__kept"), host(url).alias("__host"), k1.alias("__k1"), k2.alias("__k2"), F.col(html).alias("__html"))
     every = pages.where(F.col(html).isNotNull()).select(host(url).alias("host"), k1.alias("k1"), k2.alias("k2"), F.col(html).alias("html"))
     runs = written(repeated_runs(every, min_pages), "runs").toDF("__h", "__a", "__b", "__starts")
     size = runs.agg(F.sum(96 + 4 * F.size("__starts"))).first()[0] or 0
     on = (F.col("__host") == F.col("__h")) & (F.col("__k1") == F.col("__a")) & (F.col("__k2") == F.col("__b"))
     rows = join_by_size(rows, runs, on, "left", size)
-    fields = [pages.schema[c] for c in keep]
+    kept = rows.schema["__kept"]
 
     def scan(batches):
         for batch in batches:
@@ -251,11 +307,12 @@ def extract(pages: DataFrame, keep: list[str], url: str = "url", html: str = "ht
             for doc, starts in zip(batch.column("__html").to_pylist(), batch.column("__starts").to_pylist(), strict=True):
                 inside, outside = blocks_of(doc)
                 texts.append("\n".join(inside or _unique(outside, starts)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "main_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("__kept"), pa.array(texts, pa.string())], names=["__kept", "main_text"])
 
-    return rows.select(*keep, "__html", "__starts").mapInArrow(scan, T.StructType([*fields, T.StructField("main_text", T.StringType())]))
+    out = rows.select("__kept", "__html", "__starts").mapInArrow(scan, T.StructType([kept, T.StructField("main_text", T.StringType())]))
+    return out.select("__kept.*", "main_text")
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row."""
+    """page_id, url, text, n_chars of every row; repeated rows are extracted again, null ids and addresses stay null."""
     return extract(pages, ["page_id", "url"]).select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))

@@ -91,15 +91,20 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def emit(docs: DataFrame, budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Every document as often as the mix takes it, with `mix_copy` from 1 on; the other columns are kept as they are."""
-    sizes = count_words(docs.select(F.col("source").alias("source"), F.col("text").alias("text")))
-    targets = written(source_targets(sizes, budget, most), "targets").select(F.col("source").alias("__source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate"))
-    bytes_of = targets.agg(F.sum(48 + F.coalesce(F.octet_length("__source"), F.lit(0)))).first()[0] or 0
-    rows = join_by_size(docs, targets, docs["source"].eqNullSafe(F.col("__source")), "inner", bytes_of)
-    copies = F.floor("__rate") + (draw("doc_id", "text") < F.col("__rate") - F.floor("__rate")).cast("long")
+    """Every document as often as the mix takes it, numbered from 1 on by `mix_copy`; the other columns are kept as they are.
+
+    Where there is a column `mix_copy` already, the new one is the first of mix_copy1, mix_copy2, ... that is free.
+    """
+    number = next(f"mix_copy{i or ''}" for i in range(len(docs.columns) + 1) if f"mix_copy{i or ''}" not in docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), F.col("text").alias("text"), draw("doc_id", "text").alias("u"))
+    targets = written(source_targets(count_words(rows.select("source", "text")), budget, most), "targets")
+    targets = targets.select(F.col("source").alias("of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
+    bytes_of = targets.agg(F.sum(48 + F.coalesce(F.octet_length("of"), F.lit(0)))).first()[0] or 0
+    rows = join_by_size(rows, targets, F.col("source").eqNullSafe(F.col("of")), "inner", bytes_of)
+    copies = F.floor("rate") + (F.col("u") < F.col("rate") - F.floor("rate")).cast("long")
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = rows.withColumn("__copies", F.when(has_words, copies).otherwise(0).cast("int")).where("__copies > 0")
-    return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__source", "__rate", "__copies")
+    rows = rows.select("row", F.when(has_words, copies).otherwise(0).cast("int").alias("copies")).where("copies > 0")
+    return rows.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(number))
 
 
 ORACLE = r"""

@@ -426,15 +426,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     marked = join(docs)
     ids = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_and(F.col("set_key").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("doomed"))
-    ids = written(ids.where("doomed or rows > 1").withColumnRenamed("doc_id", "__id"), "ids")
-    doomed, twice = ids.where("doomed"), ids.where("not doomed and doc_id is not null".replace("doc_id", "__id"))
-    on = docs["doc_id"].eqNullSafe(F.col("__id"))
-    kept = join_by_size(docs, doomed.select("__id"), on, "left_anti", 24 * doomed.count())
+    ids = written(ids.where("doomed or rows > 1").withColumnRenamed("doc_id", "some_id"), "ids")
+    doomed, twice = ids.where("doomed"), ids.where("not doomed and some_id is not null")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("words"))  # other columns may have any names
+    on = F.col("id").eqNullSafe(F.col("some_id"))
+    kept = join_by_size(rows, doomed.select("some_id"), on, "left_anti", 24 * doomed.count())
     if twice.isEmpty():
-        return kept
-    on = kept["doc_id"].eqNullSafe(F.col("__id"))
+        return kept.select("row.*")
     size = 24 * twice.count()
-    again = join_by_size(kept, twice.select("__id"), on, "left_semi", size)
-    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
-    again = again.where(has_words).dropDuplicates(["doc_id", "text"]).union(again.where(~has_words))
-    return join_by_size(kept, twice.select("__id"), on, "left_anti", size).union(again)
+    again = join_by_size(kept, twice.select("some_id"), on, "left_semi", size)
+    has_words = F.coalesce(F.col("words"), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
+    again = again.where(has_words).dropDuplicates(["id", "words"]).union(again.where(~has_words))
+    return join_by_size(kept, twice.select("some_id"), on, "left_anti", size).union(again).select("row.*")

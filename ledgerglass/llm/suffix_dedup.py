@@ -380,10 +380,8 @@ def _with_spans(docs: DataFrame, spans: DataFrame, text: str, name: str) -> Data
     """`docs` with the spans of its texts as column `name`, null where there are none."""
     k1, k2 = text_key(text)
     size = _bytes_of(spans)
-    spans = spans.select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("spans").alias(name))
-    keyed = docs.select("*", k1.alias("__k1"), k2.alias("__k2"))
-    on = (F.col("__k1") == F.col("__t1")) & (F.col("__k2") == F.col("__t2"))
-    return join_by_size(keyed, spans, on, "left", size).drop("__k1", "__k2", "__t1", "__t2")
+    keyed = docs.select(F.struct("*").alias("row"), k1.alias("t1"), k2.alias("t2"))  # other columns may have any names
+    return join_by_size(keyed, spans.select("t1", "t2", "spans"), ["t1", "t2"], "left", size).select("row.*", F.col("spans").alias(name))
 
 
 def mark_repeats(docs: DataFrame, length: int = 400, batches: int = 2, text: str = "text", name: str = "repeat_spans") -> DataFrame:

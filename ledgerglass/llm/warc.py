@@ -372,6 +372,10 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     return spark.read.format("warc").option("files", json.dumps(files)).option("payload", "all" if payload else "none").load()
 
 
+#: Names of records: this and a colon and the page's id, percent-encoded; this alone for a page without one.
+PAGE = "urn:x-page"
+
+
 def deduplicated(pages: DataFrame, least: int = 1000) -> DataFrame:
     """pages (page_id, url, html) -> records in which equal payloads of at least `least` bytes revisit the largest page_id.
 
@@ -384,7 +388,7 @@ def deduplicated(pages: DataFrame, least: int = 1000) -> DataFrame:
     keys = written(keys.where("n > 1 and first_id is not null").select("payload_digest", "first_id"), "payloads")
     rows = join_by_size(rows, keys, "payload_digest", "left", 96 * keys.count())
     again = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
-    name = lambda c: F.concat(F.lit("urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    name = lambda c: F.coalesce(F.concat(F.lit(f"{PAGE}:"), F.url_encode(F.col(c).cast("string"))), F.lit(PAGE))
     return rows.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"), name("page_id").alias("record_id"), F.col("url").alias("target_uri"), F.when(again, name("first_id")).alias("refers_to"), "payload", "payload_digest"
     )
@@ -397,7 +401,7 @@ def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     write(deduplicated(pages, least), path)
     back = read(spark, path)
     kind = dict(pages.dtypes)["page_id"]
-    number = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast(kind)
+    number = lambda c: F.when(F.startswith(F.col(c), F.lit(f"{PAGE}:")), F.url_decode(F.substring(F.col(c), F.lit(len(PAGE) + 2), F.length(c)))).cast(kind)
     return back.select(
         number("record_id").alias("page_id"),
         F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),

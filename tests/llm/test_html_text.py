@@ -41,3 +41,58 @@ def test_pages_with_landmarks_are_evidence(spark):
     rows += [(7, "http://h/7", f"<body><div>{menu}</div><p>Own words</p></body>"), (8, "http://h/8", f"<body><div>{menu}</div><p>Mine</p><article class=\"comment\">reader</article></body>")]
     got = {r.page_id: r.text for r in digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Tale {i}" for i in range(4)} | {7: "Own words", 8: "Mine"}
+
+
+ARTICLE = "<article><h1>Title</h1><p>The text.</p></article>"
+
+
+def test_articles_in_ordinary_pages():
+    """Omitted end tags, forms around a page, class names that only sound like furniture, apostrophes, attributes that are no flags."""
+    whole = "Title\nThe text."
+    for page in [
+        f"<html><head><title>x</title><body>{ARTICLE}</body>",
+        f"<html><head><title>x</title><meta name=a><div>menu</div>{ARTICLE}",
+        f"<body><form id='aspnetForm' action='/'><nav>a</nav><main>{ARTICLE}</main><input></form>",
+        f"<body><form method=post><div>loose</div>{ARTICLE}</form></body>",
+        f"<div class='site no-sidebar'><main>{ARTICLE}</main></div>",
+        f"<div class='has-header'><header>Site</header>{ARTICLE}</div>",
+        f"<div id=page class='site right-sidebar'>{ARTICLE}<div class='right-sidebar'>Aside</div></div>",
+        f"<div id=page class='sidebar-left'><main>{ARTICLE}</main><div class=sidebar><article>Other</article></div></div>",
+        f"<p title=it's>loose</p>{ARTICLE}<p title=it's>loose</p>",
+        "<article><h1 alt='the hidden truth'>Title</h1><p data-role=banner title='class=ad'>The text.</p></article>",
+        f"{ARTICLE}<article class='teaser'>Another</article><article class='card post-card'>A third</article>",
+        "<article><h1>Title</h1><p>The text.</p><section id=comments><article>Reader</article></section></article>",
+        "<article><h1>Title</h1><p>The text.</p><section class=reader-responses><article>Reader</article></section></article>",
+        "<article><h1>Title</h1><p>The text.</p><article>Reader</article><div class='article-comments'>x</div><ul class='related-posts'><li>x</ul></article>",
+        "<article><div class='article-header'><h1>Title</h1></div><section id='related-work'><p>The text.</p></section><div class='share-buttons'>x</div><div class='ad-slot'>x</div></article>",
+        "<main><div class='page-header'><h1>Title</h1></div><p>The text.</p><div class='cookie-notice'>x</div></main>",
+    ]:
+        assert text(page) == whole, page
+
+
+def test_second_choices():
+    """Where nothing better is there, teasers and articles in what looks like furniture are the text; in comments and real furniture they are not."""
+    assert text("<article class='teaser'>One</article><article class='teaser'>Two</article>") == "One\nTwo"
+    assert text("<div class='sidebar'><article>Only</article></div>") == "Only"
+    assert text("<div class='comments'><article>Reader</article></div><p>Own</p>") == "Own"
+    assert text("<aside><article>Aside</article></aside><nav><main>x</main></nav><p>Own</p>") == "Own"
+    assert text("<main><form><p>mail</p></form><p>Text</p></main>") == "Text"
+    assert text("<article hidden>no</article><article><p hidden>no</p><p aria-hidden=true>no</p><p>Yes</article>") == "Yes"
+
+
+def test_unclosed_tags_and_quotes_take_little_time():
+    import time
+
+    began = time.time()
+    assert text("<article>" + "<a b=\"" * 3000 + "x") is not None
+    assert text("<article><p>" + "=\"'<" * 30_000) is not None
+    long = "<article>" + "<p>word &amp; word</p>" * 100_000 + "</article>"
+    assert text(long) == "\n".join(["word & word"] * 100_000)
+    assert time.time() - began < 30
+
+
+def test_odd_rows(spark):
+    """Repeated rows, null ids, columns whose names are used inside."""
+    rows = [(1, "http://h/1", ARTICLE, "m", 1), (1, "http://h/1", ARTICLE, "m", 1), (None, None, ARTICLE, None, 2), (2, "http://h/2", None, "m", 3)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, main_text string, __k1 int")
+    assert sorted(map(tuple, digest(d).collect()), key=str) == sorted([(1, "http://h/1", "Title\nThe text.", 15)] * 2 + [(None, None, "Title\nThe text.", 15), (2, "http://h/2", "", 0)], key=str)

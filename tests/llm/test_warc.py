@@ -1,3 +1,4 @@
+import datetime
 import gzip
 import hashlib
 import io
@@ -52,3 +53,14 @@ def test_foreign_archives():
         only = list(warc.read_records(io.BytesIO(data), lambda h: h["warc-record-id"] == "<r2>", payload=False))
         assert len(only) == 1 and only[0][1].endswith(b"\r\n\r\n")
     assert gzip.decompress(b"".join(warc.member(m) for m in made)) == b"".join(made)
+
+
+def test_ids_of_any_kind(spark):
+    """Strings with colons, spaces, line breaks, empty and null ones; columns whose names are used inside; repeated rows."""
+    rows = [("a:b", "u", "x" * 2000), ("", "u", "y" * 2000), (None, "u", "x" * 2000), ("é %41+ /\r\n", "u", "y" * 2000), ("a:b", "u", "x" * 2000), ("z z", "u", None)]
+    pages = spark.createDataFrame([(*r, "p", 1) for r in rows], "page_id string, url string, html string, payload string, first_id int")
+    got = [tuple(r) for r in warc.round_trip(pages).collect()]
+    assert len(got) == len(rows) and set(got) == expected(rows, 1000)
+    days = [(datetime.date(2024, 1, i + 1), "u", "w" * 1500) for i in range(3)]
+    got = {tuple(r) for r in warc.round_trip(spark.createDataFrame(days, "page_id date, url string, html string")).collect()}
+    assert got == expected(days, 1000)
