@@ -8,10 +8,12 @@ rows of leaves that differ are read.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Children of a node.
 FAN = 16
@@ -57,7 +59,8 @@ def store(df: DataFrame, key: str, path: str, cuts: Sequence) -> None:
     if "leaf" in columns:
         raise ValueError("leaf is a column of its own here")
     df.withColumn("leaf", leaf_of(F.col(key), cuts)).repartition("leaf").write.partitionBy("leaf").parquet(f"{path}/rows")
-    rows = spark.read.parquet(f"{path}/rows")
+    spark.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1).write.parquet(f"{path}/schema")
+    rows = stored_rows(spark, path)
     levels = [rows.groupBy(F.col("leaf").alias("node")).agg(mark(*columns).alias("mark"), F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("level"), "node", "mark", "n")]
     top = len(cuts)  # the last leaf's number
     while top > 0:
@@ -72,6 +75,12 @@ def store(df: DataFrame, key: str, path: str, cuts: Sequence) -> None:
     tree.coalesce(1).write.partitionBy("level").parquet(f"{path}/tree")
 
 
+def stored_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a stored table with their leaf; an empty table has its columns too."""
+    schema = T.StructType.fromJson(json.loads(spark.read.schema("schema string").parquet(f"{path}/schema").first()["schema"]))
+    return spark.read.schema(schema.add("leaf", T.IntegerType())).parquet(f"{path}/rows")
+
+
 def differing_leaves(spark: SparkSession, old: str, new: str) -> tuple[list[int], int]:
     """Leaves whose rows are not the same, and how many nodes were compared to find them."""
     trees = [spark.read.schema(TREE).parquet(f"{p}/tree") for p in (old, new)]
@@ -100,7 +109,7 @@ def changes(spark: SparkSession, old: str, new: str, key: str) -> DataFrame:
     has changed then is a column whose values, counted, are not the same. A null key is a key.
     """
     leaves, _ = differing_leaves(spark, old, new)
-    sides = [spark.read.parquet(f"{p}/rows").where(F.col("leaf").isin(leaves)) for p in (old, new)]
+    sides = [stored_rows(spark, p).where(F.col("leaf").isin(leaves)) for p in (old, new)]
     columns = [c for c in sides[0].columns if c not in ("leaf", key)]
     if set(columns) != {c for c in sides[1].columns if c not in ("leaf", key)}:
         raise ValueError("the two tables have other columns")
