@@ -46,6 +46,30 @@ def display_width(s: pd.Series) -> pd.Series:
     return s.map(wide, na_action="ignore").astype("Int32")
 
 
+def wrapped(text: str, width: int, indent: str = "") -> str:
+    """Lines of at most `width` columns, cut at any character, as texts without spaces have to be; the lines after the first are indented."""
+    lines, line, used = [], [], 0
+    for c in text:
+        columns = 2 if unicodedata.east_asian_width(c) in "WF" else 1
+        if c == "\n" or used + columns > width:
+            lines.append("".join(line))
+            line, used = [], 0
+        if c != "\n":
+            line.append(c)
+            used += columns
+    return ("\n" + indent).join([*lines, "".join(line)] if line else lines)
+
+
+def wrap(width: int, indent: str = ""):
+    """A function of a text: `wrapped`; null stays null."""
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: wrapped(x, width, indent), na_action="ignore")
+
+    return run
+
+
 def register(spark: SparkSession) -> None:
     """Make the UDFs known to SQL."""
     for f in (nfc, nfkc, unescape, title_case, display_width):

@@ -54,6 +54,34 @@ def prefix_tags(codes: DataFrame, code: str, tags: DataFrame, prefix: str, lengt
     return c.withColumn("__p", F.explode(cut)).join(tags.withColumnRenamed(prefix, "__p"), "__p").withColumnRenamed("__p", prefix)
 
 
+def brand_labels(products: DataFrame, group: list[str], k: int = 3) -> DataFrame:
+    """products (*group, en, label, originator, price, ordinal) -> *group, rank, label: up to k brands to show.
+
+    Of the originators, if the group has any, else of the others, names in English by
+    price, each once under the label of its best-paid row (the first among equals). Where
+    none of those has an English name, the first labels of the others in code-point order. Null
+    prices are 0, null names and labels empty.
+    """
+    filled = lambda c: F.coalesce(c, F.lit(""))
+    rows = products.select(*group, filled("en").alias("en"), filled("label").alias("label"), F.coalesce("originator", F.lit(False)).alias("o"), F.coalesce("price", F.lit(0)).alias("price"), "ordinal")
+    of = rows.groupBy(*group).agg(F.bool_or("o").alias("has"), F.bool_or(F.col("o") & (F.col("en") != "")).alias("o_en"), F.bool_or(~F.col("o") & (F.col("en") != "")).alias("b_en"))
+    named = rows.where("en <> ''").groupBy(*group, "o", "en").agg(F.min(F.struct((-F.col("price")).alias("price"), "ordinal", "label")).alias("x"))
+    named = top_per_group(named.select(*group, "o", "x.*"), [*group, "o"], [F.asc("price"), F.asc("ordinal")], k).select(*group, F.when(F.col("o"), 0).otherwise(1).alias("kind"), "rank", "label")
+    plain = top_per_group(rows.where("label <> '' AND NOT o").select(*group, "label").distinct(), group, [F.asc("label")], k).select(*group, F.lit(2).alias("kind"), "rank", "label")
+    kind = F.when(F.col("has"), F.when(F.col("o_en"), 0).otherwise(2)).otherwise(F.when(F.col("b_en"), 1).otherwise(2))
+    return named.union(plain).join(of.select(*group, kind.alias("kind")), [*group, "kind"]).select(*group, "rank", "label")
+
+
+def combinations(products: DataFrame) -> DataFrame:
+    """products (inn_keys, is_combo, combo_key, atc, sections) -> inn, is_combo_member, combo_keys, atc, sections, n_products: per ingredient the combinations it is part of, and what its products have, sorted."""
+    flat = products.select(F.explode("inn_keys").alias("inn"), "is_combo", "combo_key", "atc", "sections")
+    filled = lambda c: F.array_sort(F.collect_set(F.when(c != "", c)))
+    combo = F.coalesce("is_combo", F.lit(False))
+    return flat.groupBy("inn").agg(
+        F.bool_or(combo).alias("is_combo_member"), filled(F.when(combo, F.col("combo_key"))).alias("combo_keys"), filled(F.col("atc")).alias("atc"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("sections")))).alias("sections"), F.count(F.lit(1)).alias("n_products")
+    )
+
+
 def set_cover(sets: DataFrame, name: str, element: str) -> list[str]:
     """Greedy cover: names of sets, each the one that adds most (the smallest name among equals), until nothing is missing.
 
