@@ -245,11 +245,12 @@ def rejoin_lines(spark, sf_dir):
 
 @query()
 def table_splice(spark, sf_dir):
-    """The first four words of a text's second line as a table of two rows."""
-    d = table(spark, sf_dir, "documents").withColumn("w", F.filter(F.split(F.element_at(F.split("text", "\n"), 1), " "), lambda x: F.length(x) > 3)).where("size(w) >= 4")
+    """The first four long words of a text's first line as a table of two rows; a text with fewer has no table."""
+    d = table(spark, sf_dir, "documents").withColumn("w", F.filter(F.split(F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1), " "), lambda x: F.length(x) > 3))
     grid = F.array(F.array(F.array(F.get("w", 0), F.get("w", 1)), F.array(F.get("w", 2), F.get("w", 3))))
-    out = d.select("doc_id", tables.splice_tables("text", grid).alias("s"))
-    return out.select("doc_id", F.size("s.placed").alias("placed"), F.size(tables.marked_tables(F.col("s.text"))).alias("marked"), F.size(tables.unplaced_tables(F.col("s.text"), F.lit(1))).alias("left"))
+    n = F.when(F.size("w") >= 4, 1).otherwise(0)
+    out = d.select("doc_id", n.alias("n"), tables.splice_tables("text", F.when(n == 1, grid).otherwise(F.array().cast("array<array<array<string>>>"))).alias("s"))
+    return out.select("doc_id", F.size("s.placed").alias("placed"), F.size(tables.marked_tables(F.col("s.text"))).alias("marked"), F.size(tables.unplaced_tables(F.col("s.text"), F.col("n"))).alias("left"))
 
 
 @query("SELECT doc_id, contains(regexp_replace(text, '\\s+', '', 'g'), regexp_replace(substr(text, 10, 30), '\\s+', '', 'g')) AS verbatim FROM documents")

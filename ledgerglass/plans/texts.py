@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codes, names, textnorm
-from ..operators import aggregates, clauses, diffing, dosage
+from ..operators import aggregates, clauses, diffing, dosage, tables
 from .registry import query, table
 
 _LATIN, _HAN = "abcdefghijklmnopqrstuvwxyz", "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥天地玄黃"
@@ -248,3 +248,46 @@ def dosage_classes(spark, sf_dir):
     met = keywords.mention_scan(keyed, "at", "text", vocabulary, "inn").select("at.code", "at.idx", "inn")
     out = dosage.collect_dosage(rows.select("code", "idx", "level", "text"), p.select("inn", "code"), met)
     return out.select("inn", "code", "idx", "class", "quote", F.coalesce(F.array_join("for_drugs", "|"), F.lit("")).alias("for_drugs"))
+
+
+_SIZE = "concat('第', CAST(p_size AS STRING), '項')"
+#: A text with a table's cells: in order, turned round, with prose between them, with one of ten that the text has not, with one said twice, and with two tables.
+_TABLED = [
+    f"concat('前言：', chr(10), p_name, ' ', p_brand, chr(10), p_type, '　', {_SIZE}, chr(10), '結語。')",
+    f"concat('前言：', chr(10), {_SIZE}, ' ', p_type, chr(10), p_brand, ' ', p_name, chr(10), '結語。')",
+    f"concat('前言：', p_name, ' ', p_brand, '這一段是說明文字', p_type, '　', {_SIZE}, '結語。')",
+    f"concat('前言：', p_name, chr(10), p_brand, ' 甲 乙 丁', chr(10), '戊 己 ', p_type, '　', {_SIZE}, '＿＿ 庚', chr(10), '結語。')",
+    f"concat(p_name, ' ', p_brand, chr(10), p_brand, ' ', p_type, ' ', {_SIZE}, chr(10), '結語。')",
+    f"concat('前言：', p_name, ' ', p_brand, '。中間說明。', p_type, chr(10), {_SIZE})",
+]
+_TB = [f"{tables.MARK}TB{i}{tables.MARK}" for i in (0, 1)]
+_CELLS = [f"{{a}}p_name, p_brand{{z}}", f"{{a}}p_type, {_SIZE}{{z}}"]
+_GRIDS = _case([f"{{a}}{{a}}{_CELLS[0]}, {_CELLS[1]}{{z}}{{z}}"] * 3 + [f"{{a}}{{a}}{{a}}p_name, p_brand, '甲', '乙', '丙', '丁', '戊', '己'{{z}}, {{a}}p_type, {_SIZE}, '庚'{{z}}{{z}}{{z}}", f"{{a}}{{a}}{_CELLS[0]}, {_CELLS[1]}{{z}}{{z}}", f"{{a}}{{a}}{_CELLS[0]}{{z}}, {{a}}{_CELLS[1]}{{z}}{{z}}"])
+
+
+@query(
+    f"""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '前言：' || chr(10) || '{_TB[0]}' || chr(10) || '結語。' WHEN 3 THEN '前言：' || '{_TB[0]}' || chr(10) || '結語。' WHEN 4 THEN '{_TB[0]}' || chr(10) || '結語。' WHEN 5 THEN '前言：{_TB[0]}。中間說明。{_TB[1]}' ELSE {_case(_TABLED)} END AS text,
+CASE p_partkey % 6 WHEN 1 THEN '' WHEN 2 THEN '' WHEN 5 THEN '0,1' ELSE '0' END AS placed, CASE WHEN p_partkey % 6 IN (1, 2) THEN '0' ELSE '' END AS unplaced FROM part"""
+)
+def table_places(spark, sf_dir):
+    """Tables put where their cells stand in a text, but only if nothing else is cut with them."""
+    p = _part(spark, sf_dir).selectExpr("p_partkey", f"{_case(_TABLED)} AS text", f"{_spark(_GRIDS)} AS grids")
+    s = p.select("p_partkey", F.size("grids").alias("n"), tables.splice_tables(F.col("text"), F.col("grids")).alias("s"))
+    numbers = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return s.select("p_partkey", "s.text", numbers(F.col("s.placed")).alias("placed"), numbers(tables.unplaced_tables(F.col("s.text"), F.col("n"))).alias("unplaced"))
+
+
+_LINES = "concat(p_name, ' ', p_brand, ' ', p_type)"
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, replace({_LINES}, ' ', '') AS line FROM part),
+c AS (SELECT p_partkey, line, [substr(line, 1 + 4 * i, 4) FOR i IN range(CAST(ceil(length(line) / 4) AS BIGINT))] AS four, [substr(line, 1 + i, 1) FOR i IN range(length(line))] AS one FROM p)
+SELECT p_partkey, CASE WHEN len(four) = 1 THEN four[1] ELSE array_to_string(four, ' ') END || chr(10) || 'between' || chr(10) || CASE WHEN len(one) <= 12 THEN array_to_string(one, ' ') ELSE array_to_string(one, chr(10)) END AS joined FROM c"""
+)
+def joined_lines(spark, sf_dir):
+    """Lines that a grid fell apart into, put together where the page has the line: in pieces of four characters, and of one, of which twelve at most are looked at."""
+    p = _part(spark, sf_dir).selectExpr("p_partkey", f"{_LINES} AS line", f"replace({_LINES}, ' ', '') AS bare")
+    broken = lambda n: F.regexp_replace("bare", f"(.{{{n}}})(?=.)", "$1\n")
+    text = F.concat(broken(4), F.lit("\nbetween\n"), broken(1))
+    return p.select("p_partkey", tables.rejoin(text, F.array("line")).alias("joined"))
