@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, products, releases, rules, search, texts, validity  # noqa: F401
+from . import documents, products, releases, rules, search, spellings, texts, validity  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
