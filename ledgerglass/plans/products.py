@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names, routes
-from ..operators import aggregates, gates, licence, tables
+from ..operators import aggregates, cover, gates, licence, tables
 from ..sources import publish
 from .registry import query, table
 
@@ -147,12 +147,17 @@ def fingerprint(spark, sf_dir):
     return aggregates.fingerprint(files, "o_orderpriority", "content")
 
 
-@query()
+@query(
+    """WITH RECURSIVE s AS (SELECT format('{:06d}', l_suppkey) AS supplier, list(DISTINCT p_brand) AS brands FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+a AS (SELECT list({'supplier': supplier, 'brands': brands} ORDER BY supplier) AS sets, list_distinct(flatten(list(brands))) AS everything FROM s),
+g AS (SELECT -1 AS place, CAST(NULL AS VARCHAR) AS supplier, everything AS missing FROM a
+UNION ALL SELECT place + 1, best.supplier, list_filter(missing, lambda x: NOT list_contains(best.brands, x)) FROM (SELECT place, missing, list_reduce(sets, lambda p, q: CASE WHEN len(list_intersect(q.brands, missing)) > len(list_intersect(p.brands, missing)) THEN q ELSE p END) AS best FROM g, a WHERE len(missing) > 0))
+SELECT CAST(place AS INTEGER) AS place, supplier FROM g WHERE place >= 0"""
+)
 def set_cover(spark, sf_dir):
     """Suppliers that together serve all part brands, greedily."""
     l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.format_string("%06d", "l_suppkey").alias("supplier"), "p_brand")
-    chosen = aggregates.set_cover(l, "supplier", "p_brand")
-    return spark.createDataFrame(list(enumerate(chosen)), "place int, supplier string")
+    return cover.lazy_cover(l, "supplier", "p_brand").select((F.col("place") - 1).cast("int").alias("place"), F.col("name").alias("supplier"))
 
 
 @query(
