@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.textnorm import nfkc, strip
 from ..sources.scratch import written
-from .search import DRUG_FIELDS, PROCEDURE_FIELDS, Field, norm
+from . import near_names
+from .search import DRUG_FIELDS, FUZZY_SCORE, PROCEDURE_FIELDS, Field, norm
 
 #: Characters of the longest n-grams; shorter terms are looked up by n-grams of their own length.
 GRAM = 3
@@ -158,3 +159,21 @@ def batch_search(entries: DataFrame, key: str, name: str, fields: Sequence[Field
     best = _top(both, names, key, k)
     shown = F.when(F.col("field") == "note", F.substring("matched", 1, SHOWN)).otherwise(F.col("matched")).alias("matched")
     return given.join(best, "term").select(F.col("given").alias(term), "rank", key, "name", "score", "field", shown)
+
+
+def near_where_none(hits: DataFrame, entries: DataFrame, key: str, name: str, spelt: Sequence[Field], terms: DataFrame, term: str, k: int = 10) -> DataFrame:
+    """The rows of `hits` (of `batch_search`), and for every term that has none the k first entries, by name, of which a value of the fields `spelt` is at most one edit away.
+
+    Near misses score FUZZY_SCORE, their field is that of the first value that is near. Terms of fewer than five characters have none.
+    """
+    left = terms.select(F.col(term).alias("given")).distinct().join(hits.select(F.col(term).alias("given")), "given", "left_anti")
+    left = left.select("given", strip(nfkc("given")).alias("asked"))
+    values = values_of(entries, key, spelt).select(key, "family", "place", "value", "form")
+    near = near_names.near_values(near_names.index_names(values, "form"), left.select("asked"), "asked").withColumnRenamed("value", "form")
+    met = left.join(near, "asked").join(values, "form")
+    best = met.groupBy("given", key).agg(F.min(F.struct("family", "place", "value")).alias("b"))
+    label = F.element_at(F.array(*(F.lit(f.label) for f in spelt)), F.col("b.family") + 1)
+    rows = best.join(entries.select(key, F.col(name).alias("name")), key)
+    w = Window.partitionBy("given").orderBy(F.col("name").asc_nulls_first(), F.col(key).asc_nulls_first())
+    rows = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return hits.unionByName(rows.select(F.col("given").alias(term), "rank", key, "name", F.lit(FUZZY_SCORE).alias("score"), label.alias("field"), F.col("b.value").alias("matched")))

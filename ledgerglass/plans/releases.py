@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..operators import change_tree, cover, details, gates, search
-from ..sources import publish, releases, scratch
+from ..sources import publish, readers, releases, scratch
 from ..streaming import watch
 from .registry import query, table
 
@@ -122,3 +123,27 @@ def manifest_watch(spark, sf_dir):
     stream = watch.manifest_watch(spark.readStream.schema(fetches.schema).parquet(source), 90)
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(watch.OUT).parquet(out).groupBy("code", "kind", "file").agg(F.count(F.lit(1)).alias("n"))
+
+
+_MASTER = """SELECT concat('P', CAST(p_partkey AS STRING)) AS a, CAST(p_size AS STRING) AS b, '1150601' AS c, '' AS d, concat('"', p_name, '", ', p_type) AS e, concat('處置', CAST(p_size AS STRING), chr(10), p_brand) AS f, CASE WHEN p_partkey % 3 = 0 THEN concat(repeat(p_name, 500), '。') END AS g FROM part"""
+
+
+@query(f"SELECT a AS code, CAST(b AS INTEGER) AS points, '2026-06-01' AS valid_from, CAST(NULL AS VARCHAR) AS valid_to, e AS name_en, f AS name, md5(coalesce(g, '')) AS note FROM ({_MASTER})")
+def master_csv(spark, sf_dir):
+    """Parts written as a master file and read back by its contract: quotes, commas and line breaks in fields, and notes of thousands of characters."""
+    path = _folder(spark, "master")
+    spark.sql(_MASTER.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part")).toDF(*readers.PROCEDURE_COLUMNS).write.csv(path, header=True, escape='"', quoteAll=True, nullValue="")
+    code, points, begin, end, name_en, name, note = (F.col(c) for c in readers.PROCEDURE_COLUMNS)
+    rows = readers.csv_master(spark, path, readers.PROCEDURE_COLUMNS)
+    return rows.select(code.alias("code"), points.cast("int").alias("points"), dates.roc_to_iso(begin).alias("valid_from"), dates.roc_to_iso(end).alias("valid_to"), name_en.alias("name_en"), name.alias("name"), F.md5(F.coalesce(note, F.lit("")).cast("binary")).alias("note"))
+
+
+@query("SELECT s_suppkey, s_name, [CAST(s_nationkey AS VARCHAR), s_name][1] AS first, CAST(s_acctbal AS DOUBLE) AS balance FROM supplier")
+def json_arrays(spark, sf_dir):
+    """Suppliers as arrays of objects, a file for each nation, read back as rows."""
+    path = _folder(spark, "arrays")
+    s = table(spark, sf_dir, "supplier").withColumn("tags", F.array(F.col("s_nationkey").cast("string"), "s_name"))
+    arrays = s.groupBy("s_nationkey").agg(F.to_json(F.collect_list(F.struct("s_suppkey", "s_name", "tags", "s_acctbal"))).alias("value"))
+    arrays.repartition(32, "s_nationkey").select("s_nationkey", "value").write.partitionBy("s_nationkey").text(path)
+    rows = readers.json_array(spark, path, "s_suppkey bigint, s_name string, tags array<string>, s_acctbal double")
+    return rows.select("s_suppkey", "s_name", F.get("tags", 0).alias("first"), F.col("s_acctbal").alias("balance"))

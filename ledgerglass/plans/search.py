@@ -143,3 +143,25 @@ def ranked_terms(spark, sf_dir):
     """The ten best drugs and procedures of every term, over all fourteen fields: a top-k report of each term."""
     entries, terms = _entries(spark, sf_dir)
     return batch_search.batch_search(entries, "key", "shown", batch_search.ALL_FIELDS, terms, "term", 10, "first_choice")
+
+
+_HALF_SPELT = """SELECT p_name AS term FROM part UNION SELECT concat(substr(p_name, 1, 2), 'x', substr(p_name, 4)) FROM part UNION SELECT concat(substr(p_name, 1, 3), substr(p_name, 5), ' ') FROM part
+UNION SELECT concat(substr(p_name, 1, 1), 'zz', substr(p_name, 2)) FROM part UNION SELECT substr(p_name, 1, 4) FROM part UNION SELECT concat('q', substr(p_name, 2, 3)) FROM part UNION SELECT upper(concat(split_part(p_name, ' ', 2), 's ', split_part(p_name, ' ', 1))) FROM part"""
+
+
+@query(
+    f"""WITH e AS (SELECT p_partkey, p_name, concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1)) AS alias FROM part), t AS (SELECT DISTINCT term, lower(trim(term)) AS q FROM ({_HALF_SPELT})),
+h AS (SELECT term, p_partkey, p_name, CASE WHEN p_name = q THEN 100 WHEN starts_with(p_name, q) THEN 95 WHEN contains(p_name, q) THEN 50 ELSE 0 END AS a, CASE WHEN alias = q THEN 100 WHEN starts_with(alias, q) THEN 90 WHEN contains(alias, q) THEN 48 ELSE 0 END AS b, alias FROM t JOIN e ON contains(p_name, q) OR contains(alias, q)),
+r AS (SELECT term, p_partkey, p_name AS name, greatest(a, b) AS score, CASE WHEN a >= b THEN 'name' ELSE 'alias' END AS field, CASE WHEN a >= b THEN p_name ELSE alias END AS matched FROM h),
+n AS (SELECT term, p_partkey, p_name AS name, 10 AS score, levenshtein(p_name, q) <= 1 AS by_name, alias FROM t ANTI JOIN r USING (term) JOIN e ON length(q) >= 5 AND (levenshtein(p_name, q) <= 1 OR levenshtein(alias, q) <= 1)),
+b AS (SELECT * FROM r UNION ALL SELECT term, p_partkey, name, score, CASE WHEN by_name THEN 'name' ELSE 'alias' END, CASE WHEN by_name THEN name ELSE alias END FROM n)
+SELECT term, CAST(row_number() OVER (PARTITION BY term ORDER BY score DESC, name, p_partkey) AS INTEGER) AS rank, p_partkey, name, score, field, matched FROM b QUALIFY rank <= 10"""
+)
+def ranked_or_near(spark, sf_dir):
+    """The ten best parts of every term by name and by name turned round, and near misses where a term has no hit: a top-k report of each term."""
+    part = table(spark, sf_dir, "part")
+    entries = part.selectExpr("p_partkey", "p_name AS name", "array(concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1))) AS aliases")
+    terms = spark.sql(_HALF_SPELT.replace("FROM part", "FROM {part}"), part=part)
+    fields = [f for f in search.DRUG_FIELDS if f.column in ("name", "aliases")]
+    hits = batch_search.batch_search(entries, "p_partkey", "name", fields, terms, "term")
+    return batch_search.near_where_none(hits, entries, "p_partkey", "name", fields, terms, "term")

@@ -291,3 +291,31 @@ def joined_lines(spark, sf_dir):
     broken = lambda n: F.regexp_replace("bare", f"(.{{{n}}})(?=.)", "$1\n")
     text = F.concat(broken(4), F.lit("\nbetween\n"), broken(1))
     return p.select("p_partkey", tables.rejoin(text, F.array("line")).alias("joined"))
+
+
+@query(f"SELECT p_partkey, replace(replace(replace(replace(replace(concat('</script>&', p_name, chr(8232), '<', p_type, chr(8233), {_han('p_name')}, '>'), '&', chr(92) || 'u0026'), '<', chr(92) || 'u003c'), '>', chr(92) || 'u003e'), chr(8232), chr(92) || 'u2028'), chr(8233), chr(92) || 'u2029') AS escaped FROM part")
+def json_escape(spark, sf_dir):
+    """Names in a script element: nothing that could end it, and no line separators."""
+    from ..operators import scans
+
+    p = _part(spark, sf_dir)
+    text = F.concat(F.lit("</script>&"), "p_name", F.lit("\u2028<"), "p_type", F.lit("\u2029"), F.expr(_han("p_name")), F.lit(">"))
+    return p.select("p_partkey", scans.escape_json(text).alias("escaped"))
+
+
+@query(
+    f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT conv_id, turn, lower(concat(text, ' ', p.p_name, '; ', q.p_name)) AS text FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL) c JOIN part p ON p.p_partkey = conv_id % 50 JOIN part q ON q.p_partkey = (conv_id * 7 + turn) % 50),
+m AS (SELECT DISTINCT conv_id, turn, name FROM t JOIN n ON length(name) >= 6 AND regexp_matches(text, '(^|[^a-z])' || name || '([^a-z]|$)'))
+SELECT conv_id, turn, name, coalesce((SELECT string_agg(o.name, '|' ORDER BY o.name) FROM m o WHERE o.conv_id = m.conv_id AND o.turn = m.turn AND o.name <> m.name), '') AS others FROM m"""
+)
+def others_mentioned(spark, sf_dir):
+    """What else a turn that mentions a part mentions; two parts are put into each."""
+    from ..operators import keywords, mentions
+
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    p = _part(spark, sf_dir).select("p_partkey", "p_name")
+    t = turns.join(p.toDF("a", "x"), F.col("a") == F.col("conv_id") % 50).join(p.toDF("b", "y"), F.col("b") == (F.col("conv_id") * 7 + F.col("turn")) % 50)
+    t = t.select(F.struct("conv_id", "turn").alias("at"), F.concat("text", F.lit(" "), "x", F.lit("; "), "y").alias("text"))
+    matrix = keywords.mention_scan(t, "at", "text", p, "p_name").withColumnRenamed("p_name", "name")
+    out = mentions.others_mentioned(matrix, "at", "name")
+    return out.select("at.conv_id", "at.turn", "name", F.array_join("others", "|").alias("others"))

@@ -126,7 +126,10 @@ def paged(spark: SparkSession, fetch: Callable[[int, int], list[dict]], total: i
 
 
 def complete_or(new: DataFrame, total: int, old: DataFrame) -> DataFrame:
-    """The new rows if all that the service announced came, else the old table."""
+    """The new rows if all that the service announced came, else the old table. They are fetched once: what is counted is what is returned."""
+    from .scratch import written
+
+    new = written(new, "fetched")
     return new if new.count() >= total else old
 
 
