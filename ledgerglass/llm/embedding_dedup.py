@@ -4,7 +4,8 @@ Vectors with equal components are one node. Every node keeps a list of its best
 neighbours so far. A round joins each list with its nodes' reverse neighbours
 and compares the members of what results with each other: neighbours of
 neighbours become neighbours. The lists start from random hyperplane buckets.
-Rounds end when they find hardly any new edge above the threshold.
+Rounds end when hardly any list changes any more, whatever the number of edges
+above the threshold, as a node that has one finds it through the others.
 
 Lists lose edges above the threshold when better ones fill them, so what such
 edges connect is kept beside the lists: all of them from the buckets, and a tree
@@ -20,6 +21,7 @@ All edges that count are verified in double precision.
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 
 import numpy as np
@@ -30,7 +32,11 @@ from pyspark.sql import functions as F
 from .common import components, join_by_size, written
 from .ngram_join import _forest, _groups_in_order
 
+_log = logging.getLogger(__name__)
+
 LIST = 8
+#: Rounds end when a smaller share of all list entries is new, or after so many.
+SETTLED, MAX_ROUNDS = 0.005, 12
 BUCKET_BITS, TABLES = 10, 10
 BLOCK_VECTORS = 1024
 AUDIT = 128
@@ -111,8 +117,9 @@ def _similarity(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _best(edges: DataFrame, length: int) -> DataFrame:
-    """The `length` best distinct neighbours of every node, and all edges with `kept`, of edges (u, v, sim, kept) said in any direction: u, v, sim, kept, rank."""
-    both = edges.select("u", "v", "sim", "kept").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "kept")).groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("kept").alias("kept"))
+    """The `length` best distinct neighbours of every node, and all edges with `kept`, of edges (u, v, sim, kept, old) said in any direction: u, v, sim, kept, old, rank."""
+    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "kept", "old")
+    both = edges.select("u", "v", "sim", "kept", "old").union(back).groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("kept").alias("kept"), F.max("old").alias("old"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
     return both.withColumn("rank", rank).where((F.col("rank") <= length) | F.col("kept"))
 
@@ -147,28 +154,24 @@ def _local_join(graph: DataFrame, nodes: DataFrame, threshold: float, length: in
     return dealt.mapInArrow(scan, f"{EDGE}, kept boolean")
 
 
-def _strong(graph: DataFrame, threshold: float) -> int:
-    return graph.where(F.col("sim") >= threshold - SLACK).count()
-
-
-def neighbour_graph(nodes: DataFrame, threshold: float, length: int, tables: int, seed: int, known: DataFrame | None = None, max_rounds: int = 6) -> tuple[DataFrame, DataFrame]:
-    """The graph (u, v, sim) after rounds that end when the last one added less than 0.2 % of the edges above the threshold, and edges (u, v) that connect all that was ever found above it."""
+def neighbour_graph(nodes: DataFrame, threshold: float, length: int, tables: int, seed: int, known: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """The graph (u, v, sim) after rounds that end when the last one changed less than SETTLED of all list entries, and edges (u, v) that connect all that was ever found above the threshold."""
     edges = _similarity(_buckets(nodes, tables, seed), nodes)
     edges = edges if known is None else edges.union(known)
-    best = written(_best(edges.withColumn("kept", F.col("sim") >= threshold - SLACK), length), "graph")
-    count = None
+    best = written(_best(edges.withColumns({"kept": F.col("sim") >= threshold - SLACK, "old": F.lit(True)}), length), "graph")
     near = best.where("kept and u < v").select("u", "v")
-    for _ in range(max_rounds):
-        graph = best.where(F.col("rank") <= length).select("u", "v", "sim")
-        if count is None:
-            count = _strong(graph, threshold)
-        best = written(_best(graph.withColumn("kept", F.lit(False)).union(_local_join(graph, nodes, threshold, length)), length), "graph")
+    graph = best.where(F.col("rank") <= length).select("u", "v", "sim")
+    for round_ in range(max_rounds):
+        again = graph.withColumns({"kept": F.lit(False), "old": F.lit(True)}).union(_local_join(graph, nodes, threshold, length).withColumn("old", F.lit(False)))
+        best = written(_best(again, length), "graph")
         near = near.union(best.where("kept and u < v").select("u", "v"))
         graph = best.where(F.col("rank") <= length).select("u", "v", "sim")
-        now = _strong(graph, threshold)
-        if now - count <= 0.002 * now:
+        entries, fresh = best.where(F.col("rank") <= length).agg(F.count(F.lit(1)), F.count_if(~F.col("old"))).first()
+        _log.info("neighbour lists, round %d: %d of %d entries are new", round_ + 1, fresh, entries)
+        if fresh <= SETTLED * entries:
             break
-        count = now
+    else:
+        _log.warning("neighbour lists have not settled in %d rounds; the audit decides", max_rounds)
     return graph, near.distinct()
 
 
@@ -198,9 +201,19 @@ def _exact(groups: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(scan, "a binary, b binary, n long")
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of its links that was found for a node of a bounded sample, on average: links (node, n) against a comparison with all nodes. The least of all nodes with links and of those with 2^k to 2^(k+1) - 1, if there are enough."""
-    chosen = nodes.orderBy(F.xxhash64(F.lit("audit"), "node")).limit(sample).select("node", "unit").collect()
+def audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int = AUDIT, graph: DataFrame | None = None) -> float:
+    """Share of its links that was found for a node of a bounded sample, on average: links (node, n) against a comparison with all nodes. The least of all nodes with links and of those with 2^k to 2^(k+1) - 1, if there are enough.
+
+    Where links are rare a sample of all nodes would hold none: a third of it is of nodes
+    with links, and a third of those whose best neighbour so far is nearest below the threshold.
+    """
+    order = F.xxhash64(F.lit("audit"), "node")
+    names = nodes.select("node").orderBy(order).limit(sample // 3 if graph is not None else sample)
+    if graph is not None:
+        below = graph.groupBy(F.col("u").alias("node")).agg(F.max("sim").alias("best")).where(F.col("best") < threshold)
+        names = names.union(links.select("node").orderBy(order).limit(sample // 3)).union(below.orderBy(F.desc("best"), "node").limit(sample // 3).select("node")).distinct()
+    # at most `sample` vectors
+    chosen = nodes.join(names, "node", "left_semi").select("node", "unit").collect()
     if not chosen:
         return 1.0
     shared = nodes.sparkSession.sparkContext.broadcast([(bytes(r.node), bytes(r.unit)) for r in chosen])
@@ -256,7 +269,8 @@ def link(vectors: DataFrame, threshold: float = 0.9, target: float = 0.95, lengt
         groups = written(components(near), "groups")
         checked = written(_exact(groups, nodes, threshold), "checked")
         links = written(checked.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), "links")
-        found = audit(nodes, links, threshold)
+        found = audit(nodes, links, threshold, graph=graph)
+        _log.info("audit: %.4f of the links of sampled nodes were found", found)
         if found >= target:
             break
         length, tables = 2 * length, 2 * tables

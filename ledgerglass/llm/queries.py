@@ -53,6 +53,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+#: Every vector, and for each one to three more that are turned away from it step by step, over the angle at which links end.
+_TURNED = """SELECT vec_id, {whole} AS embedding FROM {embeddings} UNION ALL SELECT vec_id + 1000000 * k, {turned} FROM (SELECT vec_id, embedding, k, CAST(0.05 AS DOUBLE) * (1 + vec_id % 12) * k AS a FROM {embeddings} {ks}) WHERE k <= 1 + vec_id % 3"""
+
+
+def turned_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate search over the table's vectors together with others made of them, so that there are links: the table itself has none."""
+    sql = _TURNED.format(whole="transform(embedding, x -> CAST(x AS DOUBLE))", turned="zip_with(embedding, reverse(embedding), (x, y) -> CAST(x AS DOUBLE) + a * CAST(y AS DOUBLE))", embeddings="{vectors}", ks="LATERAL VIEW explode(array(1, 2, 3)) t AS k")
+    return embedding_dedup.digest(spark.sql(sql, vectors=table(spark, sf_dir, "embeddings")))
+
+
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_token_counts": op11_token_counts,
     "op12_ranked_search": op12_ranked_search,
     "op13_filter_audit": op13_filter_audit,
+    "turned_vectors": turned_vectors,
 }
 
 ORACLES: dict[str, str] = {
@@ -93,4 +104,8 @@ ORACLES: dict[str, str] = {
     "op8_benchmark_decontamination": decontaminate.ORACLE,
     "op12_ranked_search": ranked_search.ORACLE,
     "op13_filter_audit": filter_audit.ORACLE,
+    "turned_vectors": "WITH RECURSIVE t AS ("
+    + _TURNED.format(whole="[CAST(x AS DOUBLE) FOR x IN embedding]", turned="[CAST(z[1] AS DOUBLE) + a * CAST(z[2] AS DOUBLE) FOR z IN list_zip(embedding, list_reverse(embedding))]", embeddings="embeddings", ks=", (SELECT unnest([1, 2, 3]) AS k)")
+    + "), "
+    + oracles.EMBEDDING_DEDUP.strip().removeprefix("WITH RECURSIVE ").replace("FROM embeddings", "FROM t"),
 }
