@@ -37,7 +37,7 @@ _log = logging.getLogger(__name__)
 LIST = 8
 #: Rounds end when a smaller share of all list entries is new, or after so many.
 SETTLED, MAX_ROUNDS = 0.005, 12
-BUCKET_BITS, TABLES = 10, 10
+BUCKET_BITS, TABLES = 10, 32
 BLOCK_VECTORS = 1024
 AUDIT = 128
 EDGE = "u binary, v binary, sim float"
