@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytescan import SpanHash, U, blocks, mix, signed, window_min
-from .common import BROADCAST_BYTES, children, delete, discard, fresh_path, join_by_size, semi_join, small_batches, written
+from .common import children, delete, discard, fresh_path, join_by_size, semi_join, small_batches, written
 
 GRAM = 32
 #: Bytes of a repeated passage of over 50 words: 99 % of the 51-word strings of the tables' four languages have at least 248.
@@ -172,18 +172,19 @@ class SuffixIndex:
         known = runs if old is None else runs.union(old)
         shared = known.groupBy(*self.KEY).agg((F.min("k1") != F.max("k1")).alias("differ")).where("differ")
         close = semi_join(known, shared, self.KEY, SMALL_KEYS)
-        repeated = fresh.where("times > 1").select(*self.RUN, "times")
+        # a run with both half windows is said once
+        once = F.col("left") | ~F.col("has_left")
+        repeated = fresh.where("times > 1").where(once).select(*self.RUN)
         again_old = None
         if old is not None:
             close = close.dropDuplicates(self.RUN)
-            same = written(old.join(fresh.select(*self.RUN).hint("merge"), self.RUN, "left_semi"), "same")
-            repeated = repeated.union(same.select(*self.RUN, F.lit(2).cast("long").alias("times"))).groupBy(*self.RUN).agg(F.max("times").alias("times"))
+            same = written(old.where(once).join(fresh.where(once).select(*self.RUN).hint("merge"), self.RUN, "left_semi"), "same")
+            repeated = repeated.union(same.select(*self.RUN)).distinct()
             again_old = same.where("times = 1")
-        again = _occurrences(halves, repeated, self.RUN)
+        again = _occurrences(halves.where(once), repeated, self.RUN)
         if again_old is not None:
             again = again.select(*self.PLACE, "left").union(again_old.select(*self.PLACE, "left"))
-        # a run with both half windows is said once
-        again = again.where("left or not has_left").select("t1", "t2", "place", "left", F.lit(True).alias("again"), F.lit(False).alias("close"))
+        again = again.select("t1", "t2", "place", "left", F.lit(True).alias("again"), F.lit(False).alias("close"))
         out = written(again.union(close.select("t1", "t2", "place", "left", F.lit(False).alias("again"), F.lit(True).alias("close"))), "scan")
         if old is not None:
             discard(old, same)
@@ -196,26 +197,12 @@ class SuffixIndex:
         delete(self.spark, self.folder)
 
 
-#: Keys of the arrays go by broadcast up to this size only: the many rows on the other side are narrow, so a shuffle of them costs little.
-SMALL_KEYS = 2 << 20
-#: Occurrences of a run in a batch from which its rows are picked by broadcast, so that they need not meet in one task.
-FREQUENT = 1000
-
+#: Keys of the arrays go by broadcast up to this size only: the many rows on the other side are narrow, so a shuffle of them costs little, and the same at every size.
+SMALL_KEYS = 1 << 18
 
 def _occurrences(halves: DataFrame, repeated: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of `halves` whose run is in `repeated` (with `times`).
-
-    Runs with `FREQUENT` occurrences or more go by a broadcast if their measured
-    size allows it, so their rows stay where they are; beyond that Spark splits them.
-    """
-    repeated = written(repeated, "repeated")
-    hot = repeated.where(F.col("times") >= FREQUENT).select(*on)
-    n = hot.count()
-    if not n or 48 * n > BROADCAST_BYTES:
-        return semi_join(halves, repeated, on, SMALL_KEYS)
-    marked = halves.join(F.broadcast(hot.withColumn("hot", F.lit(True))), on, "left")
-    rest = marked.where("hot is null").drop("hot")
-    return marked.where("hot").drop("hot").unionByName(semi_join(rest, repeated.where(F.col("times") < FREQUENT), on, SMALL_KEYS))
+    """Rows of `halves` whose run is in `repeated`; a run of any frequency is a key that Spark may split, as no side is aggregated between its shuffle and the join."""
+    return semi_join(halves, written(repeated.select(*on), "repeated"), on, SMALL_KEYS)
 
 
 def half_windows(entries: DataFrame) -> DataFrame:
@@ -282,7 +269,7 @@ def _compare(texts: DataFrame, close: DataFrame, length: int) -> list[DataFrame]
         fulls = whole.groupBy("c", "f").agg(F.count(F.lit(1)).alias("times"), *(F.first(x).alias(x) for x in columns))
         fulls = written(fulls, "full-ranges")
         several = fulls.select("c").union(partial.select("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        again = _occurrences(whole, fulls.where("times > 1").select("c", "f", "times"), ["c", "f"])
+        again = _occurrences(whole, fulls.where("times > 1"), ["c", "f"])
         out.append(written(again.select("t1", "t2", (F.col("anchor") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).alias("windows")), "windows"))
         close = semi_join(fulls.select("c", *columns).union(partial.select("c", *columns)), several, ["c"], SMALL_KEYS).select(*columns)
         used = [rows, fulls]
