@@ -5,6 +5,8 @@ both, become the same string when one character is left out. So each name is pos
 under itself and under all it becomes by leaving one character out, terms are
 posted in the same way, and an equi-join on the postings meets all candidates; one
 exact check of each decides. Two neighbouring characters changed over are two edits.
+
+Joins are by shuffle: postings are many times the file that their size is guessed from, and no side may go through the driver.
 """
 
 from __future__ import annotations
@@ -48,14 +50,14 @@ def near_values(index: DataFrame, terms: DataFrame, term: str, ahead: bool = Fal
     """
     t = terms.select(F.col(term).alias("given"), norm(F.col(term)).alias("term")).where(F.length("term") >= LEAST_TERM).distinct()
     posted = t.select("term", F.explode(deletions(F.col("term"))).alias("posting")).distinct()
-    met = index.join(posted, "posting").where(F.abs(F.length("value") - F.length("term")) <= 1).where(within_one_edit(F.col("value"), F.col("term"))).select("term", "value")
+    met = index.join(posted.hint("merge"), "posting").where(F.abs(F.length("value") - F.length("term")) <= 1).where(within_one_edit(F.col("value"), F.col("term"))).select("term", "value")
     if ahead:
         # value without its last character is the term with one character more: the term is among its deletions
         cut = index.select("value").distinct().select("value", F.substring(F.col("value"), F.lit(1), F.length("value") - 1).alias("cut"))
         cut = cut.select("value", "cut", F.explode(deletions(F.col("cut"))).alias("posting"))
         whole = t.select("term", F.xxhash64("term").alias("posting")).distinct()
-        met = met.union(cut.join(whole, "posting").where((F.length("value") == F.length("term") + 2) & within_one_edit(F.col("cut"), F.col("term"))).select("term", "value"))
-    return t.join(met.distinct(), "term").select(F.col("given").alias(term), "value")
+        met = met.union(cut.join(whole.hint("merge"), "posting").where((F.length("value") == F.length("term") + 2) & within_one_edit(F.col("cut"), F.col("term"))).select("term", "value"))
+    return t.join(met.distinct().hint("merge"), "term").select(F.col("given").alias(term), "value")
 
 
 def near_names(names: DataFrame, key: str, name: str, terms: DataFrame, term: str, ahead: bool = False) -> DataFrame:
@@ -67,4 +69,4 @@ def near_names(names: DataFrame, key: str, name: str, terms: DataFrame, term: st
     """
     found = near_values(index_names(names, name), terms, term, ahead).withColumnRenamed("value", "__value")
     rows = names.select(F.col(key), F.col(name), norm(F.col(name)).alias("__value"))
-    return found.join(rows, "__value").select(term, key, name, F.lit(FUZZY_SCORE).alias("score"))
+    return found.join(rows.hint("merge"), "__value").select(term, key, name, F.lit(FUZZY_SCORE).alias("score"))
