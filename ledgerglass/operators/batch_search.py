@@ -100,18 +100,21 @@ def _matches(met: DataFrame, fields: Sequence[Field]) -> DataFrame:
     return out.where("score > 0").select("term", "family", "form", "score")
 
 
-def _entries_hit(hits: DataFrame, values: DataFrame, key: str, bonus: str | None) -> DataFrame:
-    """term, key, score, family, matched: of each entry's matches the best, the earlier field and value among equals."""
-    rows = hits.join(values, ["family", "form"])
-    best = rows.groupBy("term", key).agg(F.max(F.struct("score", (-F.col("family")).alias("f"), (-F.col("place")).alias("p"), F.col("value").alias("matched"))).alias("b"))
-    return best.select("term", key, "b.score", (-F.col("b.f")).alias("family"), "b.matched")
+def _leaders(values: DataFrame, names: DataFrame, key: str, k: int) -> DataFrame:
+    """family, form, key, place, value, name, primary: of every form of a family the k first entries that have it, primary ones before others, then by name and key.
 
+    No other entry can be among a term's k best by this form: the k before it score as much at least.
+    """
+    rows = values.join(names.hint("merge"), key)
+    w = Window.partitionBy("family", "form").orderBy(F.desc("primary"), F.col("name").asc_nulls_first(), F.col(key).asc_nulls_first())
+    return rows.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= k).drop("r")
 
-def _top(hits: DataFrame, names: DataFrame, key: str, k: int) -> DataFrame:
-    """The k best of each term, equal scores by name and key in code-point order."""
-    ranked = hits.join(names, key)
-    w = Window.partitionBy("term").orderBy(F.desc("score"), F.col("name").asc_nulls_first(), F.col(key).asc_nulls_first())
-    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+def _entries_hit(hits: DataFrame, leaders: DataFrame, key: str) -> DataFrame:
+    """term, key, name, score, family, matched: of each entry's matches the best, the earlier field and value among equals; where an entry is primary, one more."""
+    rows = hits.join(leaders.hint("merge"), ["family", "form"]).withColumn("score", F.col("score") + F.col("primary").cast("int"))
+    best = rows.groupBy("term", key, "name").agg(F.max(F.struct("score", (-F.col("family")).alias("f"), (-F.col("place")).alias("p"), F.col("value").alias("matched"))).alias("b"))
+    return best.select("term", key, "name", "b.score", (-F.col("b.f")).alias("family"), "b.matched")
 
 
 def batch_search(entries: DataFrame, key: str, name: str, fields: Sequence[Field], terms: DataFrame, term: str, k: int = 10, primary: str | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -120,8 +123,10 @@ def batch_search(entries: DataFrame, key: str, name: str, fields: Sequence[Field
     Terms and values are compared in NFKC, lower case and single spaces. An entry
     scores by its best field; where `primary` holds, one more. Terms that are null or
     blank have no hits. Equal scores are ranked by name and key; keys are one per entry.
-    Pairs of a term and all entries are never made: candidates come from the postings, and
-    of a term's rows no task keeps more than k once they are ranked.
+    Pairs of a term and all entries are never made: candidates come from the postings, each
+    form brings its k first entries only, and of a term's rows no task keeps more than k once
+    they are ranked. Joins are by shuffle: what is written is packed, and what is exploded from
+    it many times larger, so that a side's size as Spark guesses it says little.
     """
     values, postings = index or build_index(entries, key, fields)
     names = entries.select(key, F.col(name).alias("name"), (F.coalesce(F.col(primary), F.lit(False)) if primary else F.lit(False)).alias("primary"))
@@ -132,33 +137,33 @@ def batch_search(entries: DataFrame, key: str, name: str, fields: Sequence[Field
     exact = asked.select("term", F.explode(F.array_distinct(F.array("term", _end_dots(F.col("term"))))).alias("gram"))
     begin = asked.select("term", F.substring(F.col("term"), 1, BEGIN).alias("gram"))
     outer = exact.withColumn("kind", F.lit("exact")).union(begin.withColumn("kind", F.lit("begin")))
-    met = postings.join(outer, ["kind", "gram"]).select("term", "family", "form").distinct()
-    first = _entries_hit(_matches(met, fields), values, key, primary)
-    first = written(first.join(names, key).withColumn("score", F.col("score") + F.col("primary").cast("int")).drop("name", "primary"), "search-first")
+    met = postings.join(outer.hint("merge"), ["kind", "gram"]).select("term", "family", "form").distinct()
+    leaders = written(_leaders(values, names, key, k), "search-leaders")
+    first = written(_entries_hit(_matches(met, fields), leaders, key), "search-first")
 
     # the rarest n-gram of each term, and which fields hold it at all
     size = F.least(F.length("term"), F.lit(GRAM))
     own = asked.select("term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("term") - size + 1), lambda i: F.substring(F.col("term"), i, size)))).alias("gram"))
     inside = postings.where("kind = 'inside'").drop("kind")
     counts = inside.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max(_by_family(fields, lambda f: f.inside)).alias("bound"))
-    known = own.join(counts, "gram", "left")
+    known = own.join(counts.hint("merge"), "gram", "left")
     probe = known.groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("p"), F.min(F.coalesce("bound", F.lit(0))).alias("bound"))
     probe = probe.where("p.n > 0").select("term", F.col("p.gram").alias("gram"), (F.col("bound") + (1 if primary else 0)).alias("bound"))
 
     # of a term that has k hits already, only fields that can beat the last of them are looked at; an equal score may still win by its name
     place = Window.partitionBy("term").orderBy(F.desc("score"))
     last = first.select("term", "score", F.row_number().over(place).alias("r")).where(F.col("r") <= k).groupBy("term").agg(F.max("r").alias("n"), F.min("score").alias("floor"))
-    open_ = probe.join(last, "term", "left").where(F.coalesce("n", F.lit(0)) < k).union(probe.join(last, "term").where((F.col("n") >= k) & (F.col("bound") >= F.col("floor"))))
+    open_ = probe.join(last.hint("merge"), "term", "left").where((F.coalesce("n", F.lit(0)) < k) | (F.col("bound") >= F.col("floor")))
     open_ = open_.select("term", "gram", F.when(F.col("n") >= k, F.col("floor")).otherwise(0).alias("floor"))
-    more = inside.join(open_, "gram").where(_by_family(fields, lambda f: f.inside) + (1 if primary else 0) >= F.col("floor")).select("term", "family", "form").distinct()
-    second = _entries_hit(_matches(more, fields), values, key, primary)
-    second = second.join(names, key).withColumn("score", F.col("score") + F.col("primary").cast("int")).drop("name", "primary")
+    more = inside.join(open_.hint("merge"), "gram").where(_by_family(fields, lambda f: f.inside) + (1 if primary else 0) >= F.col("floor")).select("term", "family", "form").distinct()
+    second = _entries_hit(_matches(more, fields), leaders, key)
 
-    both = first.union(second).groupBy("term", key).agg(F.max(F.struct("score", (-F.col("family")).alias("f"), "matched")).alias("b"))
-    both = both.select("term", key, "b.score", F.element_at(F.array(*(F.lit(f.label) for f in fields)), 1 - F.col("b.f")).alias("field"), "b.matched")
-    best = _top(both, names, key, k)
+    both = first.union(second).groupBy("term", key, "name").agg(F.max(F.struct("score", (-F.col("family")).alias("f"), "matched")).alias("b"))
+    both = both.select("term", key, "name", "b.score", F.element_at(F.array(*(F.lit(f.label) for f in fields)), 1 - F.col("b.f")).alias("field"), "b.matched")
+    w = Window.partitionBy("term").orderBy(F.desc("score"), F.col("name").asc_nulls_first(), F.col(key).asc_nulls_first())
+    best = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     shown = F.when(F.col("field") == "note", F.substring("matched", 1, SHOWN)).otherwise(F.col("matched")).alias("matched")
-    return given.join(best, "term").select(F.col("given").alias(term), "rank", key, "name", "score", "field", shown)
+    return given.join(best.hint("merge"), "term").select(F.col("given").alias(term), "rank", key, "name", "score", "field", shown)
 
 
 def near_where_none(hits: DataFrame, entries: DataFrame, key: str, name: str, spelt: Sequence[Field], terms: DataFrame, term: str, k: int = 10) -> DataFrame:
@@ -166,14 +171,14 @@ def near_where_none(hits: DataFrame, entries: DataFrame, key: str, name: str, sp
 
     Near misses score FUZZY_SCORE, their field is that of the first value that is near. Terms of fewer than five characters have none.
     """
-    left = terms.select(F.col(term).alias("given")).distinct().join(hits.select(F.col(term).alias("given")), "given", "left_anti")
+    left = terms.select(F.col(term).alias("given")).distinct().join(hits.select(F.col(term).alias("given")).distinct().hint("merge"), "given", "left_anti")
     left = left.select("given", strip(nfkc("given")).alias("asked"))
     values = values_of(entries, key, spelt).select(key, "family", "place", "value", "form")
     near = near_names.near_values(near_names.index_names(values, "form"), left.select("asked"), "asked").withColumnRenamed("value", "form")
-    met = left.join(near, "asked").join(values, "form")
-    best = met.groupBy("given", key).agg(F.min(F.struct("family", "place", "value")).alias("b"))
+    leaders = _leaders(values, entries.select(key, F.col(name).alias("name"), F.lit(False).alias("primary")), key, k)
+    met = left.join(near.hint("merge"), "asked").join(leaders.hint("merge"), "form")
+    rows = met.groupBy("given", key, "name").agg(F.min(F.struct("family", "place", "value")).alias("b"))
     label = F.element_at(F.array(*(F.lit(f.label) for f in spelt)), F.col("b.family") + 1)
-    rows = best.join(entries.select(key, F.col(name).alias("name")), key)
     w = Window.partitionBy("given").orderBy(F.col("name").asc_nulls_first(), F.col(key).asc_nulls_first())
     rows = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return hits.unionByName(rows.select(F.col("given").alias(term), "rank", key, "name", F.lit(FUZZY_SCORE).alias("score"), label.alias("field"), F.col("b.value").alias("matched")))

@@ -1,6 +1,9 @@
 """What decides whether a query gets by with large tables: what goes through the driver, what one task holds, how often a row is worked on."""
 
-from ledgerglass.operators import near_names
+from pyspark.sql import functions as F
+
+from ledgerglass.operators import batch_search, near_names
+from ledgerglass.operators.search import Field
 
 
 def final_plan(df):
@@ -14,3 +17,21 @@ def test_near_names_send_nothing_through_the_driver(spark):
         found = near_names.near_names(names, "key", "name", names.selectExpr("upper(name) AS term"), "term", ahead=ahead)
         assert "Broadcast" not in final_plan(found)
 
+
+def test_ranked_search_sends_nothing_through_the_driver(spark):
+    entries = spark.range(300).selectExpr("id AS key", "concat('name ', id % 7) AS name")
+    fields, terms = [Field("name", "name", 100, 95, 50)], spark.createDataFrame([("name",), ("ame 3",), ("nme 4",)], "term string")
+    hits = batch_search.batch_search(entries, "key", "name", fields, terms, "term")
+    assert "Broadcast" not in final_plan(hits)
+    assert "Broadcast" not in final_plan(batch_search.near_where_none(hits, entries, "key", "name", fields, terms, "term"))
+
+
+def test_a_form_brings_only_its_first_entries(spark):
+    """A form that all entries have is not joined with all of them; primary entries come first, null names before others."""
+    entries = spark.range(400).selectExpr("id AS key", "CASE WHEN id % 100 = 99 THEN NULL ELSE concat('e', lpad(400 - id, 3, '0')) END AS name", "array('common', 'common') AS many", "id % 150 = 0 AS first")
+    fields = [Field("many", "many", 50, 40, 30, True)]
+    values, _ = index = batch_search.build_index(entries, "key", fields)
+    names = entries.select("key", "name", F.col("first").alias("primary"))
+    assert batch_search._leaders(values, names, "key", 5).select("key").distinct().count() == 5
+    got = batch_search.batch_search(entries, "key", "name", fields, spark.createDataFrame([("common",)], "term string"), "term", 5, "first", index).orderBy("rank").collect()
+    assert [(r.key, r.score) for r in got] == [(300, 51), (150, 51), (0, 51), (99, 50), (199, 50)]
