@@ -80,7 +80,7 @@ def insert_flag(spark, sf_dir):
 @query("SELECT p_partkey, '衛署藥製字' AS series, CAST(p_partkey AS VARCHAR) AS serial, CAST(NULL AS VARCHAR) AS bad FROM part")
 def licence_key(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    url = F.concat(F.lit("https://example.org/q?licId=01"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit("&x=1"))
+    url = F.concat(F.lit("https://example.org/q?licId=01"), F.lpad(F.col("p_partkey").cast("string"), F.greatest(F.length(F.col("p_partkey").cast("string")), F.lit(6)), "0"), F.lit("&x=1"))
     key = licence.id_to_key(licence.id_from_url(url))
     return p.select("p_partkey", key["series"].alias("series"), key["serial"].alias("serial"), licence.id_to_key(F.lit("99abc"))["serial"].alias("bad"))
 
