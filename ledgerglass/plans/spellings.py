@@ -19,8 +19,10 @@ def _part(spark, sf_dir):
 
 _PREFIXES = [*licence.PREFIXES, "00", "9x"]
 _SERIES = [*licence.PREFIXES.values(), None, None]
-_URL = f"concat('https://example.org/a?licId=0&b=1&licId=', {_case([repr(p) for p in _PREFIXES])}, lpad(CAST(p_partkey AS STRING), 6, '0'), CASE WHEN p_size % 2 = 0 THEN '&x=licence' ELSE '' END)"
-_NO = f"concat({_case([repr(s) if s else repr('衛署') for s in _SERIES])}, '第', lpad(CAST(p_partkey AS STRING), 6, '0'), CASE WHEN p_size % 7 = 0 THEN '' ELSE '號' END)"
+#: At least six digits; padding alone would cut longer numbers.
+_DIGITS = "lpad(CAST(p_partkey AS STRING), greatest(6, length(CAST(p_partkey AS STRING))), '0')"
+_URL = f"concat('https://example.org/a?licId=0&b=1&licId=', {_case([repr(p) for p in _PREFIXES])}, {_DIGITS}, CASE WHEN p_size % 2 = 0 THEN '&x=licence' ELSE '' END)"
+_NO = f"concat({_case([repr(s) if s else repr('衛署') for s in _SERIES])}, '第', {_DIGITS}, CASE WHEN p_size % 7 = 0 THEN '' ELSE '號' END)"
 
 
 @query(
