@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .textnorm import nfkc, strip
 
 
@@ -68,12 +69,20 @@ def canonicalize(raw, vocabulary: Vocabulary, atc=None) -> Column:
     s = strip_strength(F.upper(F.coalesce(_c(raw), F.lit(""))))
     s = F.trim(F.regexp_replace(s, r"^[\s.,\d]+", ""))
     cut = F.regexp_replace(s, r"^([^㐀-鿿]+)[㐀-鿿].*$", "$1")
-    s = F.regexp_replace(cut, r"^[ ,;.\-]+|[ ,;.\-]+$", "")
+    return let(F.regexp_replace(cut, r"^[ ,;.\-]+|[ ,;.\-]+$", ""), lambda s: _key(s, v, atc))
+
+
+def _key(s: Column, v: Vocabulary, atc) -> Column:
+    """What `canonicalize` makes of a name in upper case without strengths."""
     named = F.transform(F.regexp_extract_all(s, F.lit(r"\(([^)]*)\)"), 1), lambda p: F.trim(p))
     alias = lambda t: F.coalesce(_lookup(v.ester_alias, t), t)
     base = strip_strength(F.regexp_replace(s, r"\([^)]*\)", " "))
     base = F.regexp_replace(F.regexp_replace(base, r"\s+", " "), r"^[ ,;.\-]+|[ ,;.\-]+$", "")
-    words = F.split(base, " ")
+    return let(F.split(base, " "), lambda words: let(_peeled(words, v, alias), lambda peeled: _spelt(F.array_join(peeled["base"], " "), peeled["esters"], named, v, alias, atc)))
+
+
+def _peeled(words: Column, v: Vocabulary, alias) -> Column:
+    """struct(base, esters, …): salts and esters taken from the end of the words."""
     none = F.array().cast("array<string>")
 
     def peel(state, word):
@@ -90,15 +99,17 @@ def canonicalize(raw, vocabulary: Vocabulary, atc=None) -> Column:
         )
 
     start = F.struct(F.lit(False).alias("done"), none.alias("base"), none.alias("esters"), F.lit(0).alias("gone"))
-    peeled = F.aggregate(F.reverse(words), start, peel)
-    base = F.array_join(peeled["base"], " ")
-    kept = F.array_distinct(F.concat(F.filter(F.transform(named, alias), lambda t: _among(v.esters, t)), peeled["esters"]))
+    return F.aggregate(F.reverse(words), start, peel)
+
+
+def _spelt(base: Column, esters: Column, named: Column, v: Vocabulary, alias, atc) -> Column:
+    """The key of a base with the esters that were at its end and those named in brackets."""
+    kept = F.array_distinct(F.concat(F.filter(F.transform(named, alias), lambda t: _among(v.esters, t)), esters))
     code = F.upper(F.trim(F.coalesce(_c(atc) if atc is not None else F.lit(None).cast("string"), F.lit(""))))
     tries = [_lookup(v.atc_ester, code)] + [F.when(F.length(code) >= n, _lookup(v.base_atc_ester, F.concat(base, F.lit("|"), F.substring(code, 1, n)))) for n in (7, 6, 5, 4)]
-    fill = F.coalesce(*tries)
-    kept = F.when((F.size(kept) == 0) & fill.isNotNull(), F.array(fill)).otherwise(kept)
-    key = F.when(_among(v.preserve, base) & (F.size(kept) > 0), F.concat(base, F.lit(" ("), F.array_join(kept, "/"), F.lit(")"))).otherwise(base)
-    return F.when(base == "", "").otherwise(F.trim(F.coalesce(_lookup(v.aliases, key), _lookup(v.aliases, base), key)))
+    filled = lambda kept: let(F.coalesce(*tries), lambda fill: F.when((F.size(kept) == 0) & fill.isNotNull(), F.array(fill)).otherwise(kept))
+    key = let(let(kept, filled), lambda k: F.when(_among(v.preserve, base) & (F.size(k) > 0), F.concat(base, F.lit(" ("), F.array_join(k, "/"), F.lit(")"))).otherwise(base))
+    return F.when(base == "", "").otherwise(let(key, lambda key: F.trim(F.coalesce(_lookup(v.aliases, key), _lookup(v.aliases, base), key))))
 
 
 def split_components(x) -> Column:
@@ -119,8 +130,16 @@ def normalize(group_name, ingredient, mixture, vocabulary: Vocabulary, atc=None)
     """struct(keys, combo_key, is_combo, source, warnings) of a product."""
     first = strip(F.element_at(F.split(F.coalesce(_c(group_name), F.lit("")), "[,，、]"), 1))
     other = strip(F.coalesce(_c(ingredient), F.lit("")))
-    text = F.when(first != "", first).otherwise(other)
-    keys = F.filter(F.transform(split_components(text), lambda c: canonicalize(c, vocabulary, atc)), lambda k: k != "")
+    texts = let(first, lambda first: F.struct(first.alias("first"), F.when(first != "", first).otherwise(other).alias("text")))
+
+    def found(t):
+        keys = F.filter(F.transform(split_components(t["text"]), lambda c: canonicalize(c, vocabulary, atc)), lambda k: k != "")
+        return let(keys, lambda keys: _product(t["first"], t["text"], keys, mixture))
+
+    return let(texts, found)
+
+
+def _product(first: Column, text: Column, keys: Column, mixture) -> Column:
     many = F.size(keys) > 1
     source = F.when(F.size(keys) == 0, "unknown").when(first != "", "group").otherwise("ingredient")
     declared = strip(F.coalesce(_c(mixture), F.lit(""))) == "複方"

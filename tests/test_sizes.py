@@ -1,9 +1,18 @@
 """What decides whether a query gets by with large tables: what goes through the driver, what one task holds, how often a row is worked on."""
 
+import unicodedata
+from datetime import datetime
+
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from ledgerglass.operators import batch_search, near_names
+from ledgerglass.functions import names as product_names
+from ledgerglass.functions import textnorm
+from ledgerglass.operators import batch_search, near_names, search, tables
 from ledgerglass.operators.search import Field
+from ledgerglass.plans import catalogue, releases
+from ledgerglass.sources import readers
+from ledgerglass.streaming import watch
 
 
 def final_plan(df):
@@ -35,3 +44,17 @@ def test_a_form_brings_only_its_first_entries(spark):
     assert batch_search._leaders(values, names, "key", 5).select("key").distinct().count() == 5
     got = batch_search.batch_search(entries, "key", "name", fields, spark.createDataFrame([("common",)], "term string"), "term", 5, "first", index).orderBy("rank").collect()
     assert [(r.key, r.score) for r in got] == [(300, 51), (150, 51), (0, 51), (99, 50), (199, 50)]
+
+
+def worked_out(df, what):
+    """How often an expression stands in the plan, and so is worked out for a row."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+
+def test_names_are_worked_out_once(spark):
+    rows = spark.createDataFrame([("aspirin sodium 5 mg", "", "")], "a string, b string, c string")
+    vocabulary = product_names.Vocabulary(salts=frozenset({"SODIUM"}), preserve=frozenset({"X"}), esters=frozenset({"Y"}), aliases={"A": "B"})
+    assert worked_out(rows.select(product_names.canonicalize("a", vocabulary).alias("k")), "regexp_replace(") <= 12
+    n = rows.select(product_names.normalize("a", "b", "c", vocabulary).alias("n")).select("n.keys", "n.combo_key", "n.source", "n.warnings")
+    assert worked_out(n, "regexp_replace(") <= 24
+    assert [tuple(r) for r in n.collect()] == [(["ASPIRIN"], None, "group", [])]
