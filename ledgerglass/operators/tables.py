@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import re
 import unicodedata
 
 import numpy as np
@@ -92,11 +91,16 @@ def visual_lines(pieces: DataFrame, tolerance: float = 1.5, most: int = 12) -> D
 
 
 def rejoin_lines(text: str, known: set[str], most: int = 12) -> str:
-    """Greedy: from every line on, the longest run of up to `most` lines whose text without white space is a known line becomes one line."""
+    """Greedy: from every line on, the longest run of up to `most` lines whose text without white space is a known line becomes one line.
+
+    White space is taken out once; a run whose length no known line has is not looked up.
+    """
     lines, out, i = (text or "").split("\n"), [], 0
+    bare = ["".join(line.split()) for line in lines]
+    joined, ends, lengths = "".join(bare), [0, *itertools.accumulate(map(len, bare))], {len(k) for k in known}
     while i < len(lines):
         for j in range(min(len(lines), i + most), i + 1, -1):
-            if re.sub(r"\s+", "", "".join(lines[i:j])) in known:
+            if ends[j] - ends[i] in lengths and joined[ends[i] : ends[j]] in known:
                 out.append(" ".join(s.strip() for s in lines[i:j]))
                 i = j
                 break
@@ -109,7 +113,7 @@ def rejoin_lines(text: str, known: set[str], most: int = 12) -> str:
 @F.pandas_udf(T.StringType())
 def rejoin(text: pd.Series, lines: pd.Series) -> pd.Series:
     """`lines`: a document's visual lines."""
-    key = lambda s: re.sub(r"\s+", "", s)
+    key = lambda s: "".join(s.split())
     return pd.Series([rejoin_lines(t, {key(x) for x in (ls if ls is not None else ())}) for t, ls in zip(text, lines, strict=True)], dtype=object)
 
 

@@ -58,3 +58,17 @@ def test_names_are_worked_out_once(spark):
     n = rows.select(product_names.normalize("a", "b", "c", vocabulary).alias("n")).select("n.keys", "n.combo_key", "n.source", "n.warnings")
     assert worked_out(n, "regexp_replace(") <= 24
     assert [tuple(r) for r in n.collect()] == [(["ASPIRIN"], None, "group", [])]
+
+
+def test_lines_are_looked_up_only_where_a_known_line_is_as_long():
+    class Counted(set):
+        asked = 0
+
+        def __contains__(self, x):
+            self.asked += 1
+            return super().__contains__(x)
+
+    known = Counted({"abcdef", "xy" * 500})
+    text = "ab\n c d\nef\n" + "\n".join("z" for _ in range(1000))
+    assert tables.rejoin_lines(text, known).split("\n")[:2] == ["ab c d ef", "z"]
+    assert known.asked < 1100  # 11 for each line, when every run was
