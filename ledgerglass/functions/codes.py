@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -64,8 +66,7 @@ FILE_NAME = r"^([\d.]+?)_(\d{8})(?:_(\d{3}))?\.pdf$"
 def parse_file_name(name) -> Column:
     """struct(code, effective as ISO date, seq), null if the name is none of a section file."""
     n = _c(name)
-    day = F.regexp_extract(n, FILE_NAME, 2)
-    iso = F.concat_ws("-", F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2))
+    iso = let(F.regexp_extract(n, FILE_NAME, 2), lambda day: F.concat_ws("-", F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2)))
     seq = F.nullif(F.regexp_extract(n, FILE_NAME, 3), F.lit(""))
     return F.when(n.rlike(FILE_NAME), F.struct(normalize_code(F.regexp_extract(n, FILE_NAME, 1)).alias("code"), iso.alias("effective"), seq.try_cast("int").alias("seq")))
 

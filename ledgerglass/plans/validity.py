@@ -137,7 +137,7 @@ def url_latest_seq(spark, sf_dir):
     name = F.concat(F.lit("9."), F.col("l_linenumber"), F.lit("._"), F.date_format("l_shipdate", "yyyyMMdd"), F.lit("_001.pdf"))
     older = F.concat(F.lit("9."), F.col("l_linenumber"), F.lit("._19000101.pdf,broken_name.pdf"))
     rows = l.select("l_orderkey", "l_linenumber", F.concat_ws(",", name, older).alias("files"))
-    best = rows.select("l_orderkey", F.explode(F.split("files", ",")).alias("file")).groupBy("l_orderkey").agg(F.array_join(F.collect_set("file"), ",").alias("files"))
+    best = rows.groupBy("l_orderkey").agg(F.array_join(F.collect_set("files"), ",").alias("files"))
     return best.select("l_orderkey", F.explode(readers.newest_of("files")).alias("x")).select("l_orderkey", F.col("x.code").alias("section"), "x.effective")
 
 

@@ -144,10 +144,11 @@ def latest_files(rows: DataFrame, key: str, files: str) -> DataFrame:
 
 def newest_of(files: str):
     """Of comma-separated file names, per section the struct(code, effective, seq) with the latest date, then the largest number."""
+    from ..functions.binding import let
     from ..functions.codes import parse_file_name
 
-    parsed = F.filter(F.transform(F.split(F.coalesce(F.col(files), F.lit("")), ","), lambda f: parse_file_name(F.trim(f))), lambda f: f.isNotNull())
-    names = F.array_distinct(F.transform(parsed, lambda f: f["code"]))
+    found = F.filter(F.transform(F.split(F.coalesce(F.col(files), F.lit("")), ","), lambda f: parse_file_name(F.trim(f))), lambda f: f.isNotNull())
     order = lambda f: F.struct(f["effective"].alias("effective"), F.coalesce(f["seq"], F.lit(-1)).alias("seq"))
-    best = lambda code: F.array_max(F.transform(F.filter(parsed, lambda f: f["code"] == code), order))
-    return F.transform(names, lambda c: F.struct(c.alias("code"), best(c)["effective"].alias("effective"), best(c)["seq"].alias("seq")))
+    best = lambda parsed, code: F.array_max(F.transform(F.filter(parsed, lambda f: f["code"] == code), order))
+    row = lambda parsed: lambda c: let(best(parsed, c), lambda b: F.struct(c.alias("code"), b["effective"].alias("effective"), b["seq"].alias("seq")))
+    return let(found, lambda parsed: F.transform(F.array_distinct(F.transform(parsed, lambda f: f["code"])), row(parsed)))

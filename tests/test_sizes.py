@@ -72,3 +72,10 @@ def test_lines_are_looked_up_only_where_a_known_line_is_as_long():
     text = "ab\n c d\nef\n" + "\n".join("z" for _ in range(1000))
     assert tables.rejoin_lines(text, known).split("\n")[:2] == ["ab c d ef", "z"]
     assert known.asked < 1100  # 11 for each line, when every run was
+
+
+def test_file_names_are_worked_out_once(spark):
+    rows = spark.createDataFrame([("9.1._20200101_002.pdf,9.1._20200101_001.pdf, 9.2._20190101.pdf,x",)], "files string")
+    found = rows.select(readers.newest_of("files").alias("f"))
+    assert worked_out(found, "RLIKE") + worked_out(found, "rlike(") == 1
+    assert [tuple(x) for x in found.first().f] == [("9.1.", "2020-01-01", 2), ("9.2.", "2019-01-01", -1)]
