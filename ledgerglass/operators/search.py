@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.textnorm import query_term
 
 
@@ -17,8 +18,7 @@ def norm(x: Column) -> Column:
 
 def match_level(field: Column, q: str) -> Column:
     """3 exact, 2 prefix, 1 inside, 0 none."""
-    h = norm(field)
-    return F.when(h == "", 0).when(h == q, 3).when(F.startswith(h, F.lit(q)), 2).when(F.contains(h, F.lit(q)), 1).otherwise(0)
+    return let(norm(field), lambda h: F.when(h == "", 0).when(h == q, 3).when(F.startswith(h, F.lit(q)), 2).when(F.contains(h, F.lit(q)), 1).otherwise(0))
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def _hit(value: Column, f: Field, q: str) -> Column:
         level = F.when(F.rtrim(F.translate(norm(value), ".", " ")) == F.rtrim(F.lit(q.replace(".", " "))), 3).otherwise(level)
     if f.label == "code" and len(q) < 3:
         level = F.when(level == 3, 3).otherwise(0)
-    return F.when(level == 3, f.exact).when(level == 2, f.prefix).when(level == 1, f.inside).otherwise(0)
+    return let(level, lambda n: F.when(n == 3, f.exact).when(n == 2, f.prefix).when(n == 1, f.inside).otherwise(0))
 
 
 def _entry(order: int, f: Field, q: str):
@@ -75,16 +75,20 @@ def best_match(fields: list[Field], q: str, bonus: Column | None = None) -> Colu
         make = _entry(order, f, q)
         values = F.coalesce(F.col(f.column), F.array().cast("array<string>")) if f.many else F.array(F.col(f.column))
         tried.append(F.transform(values, make))
-    best = F.array_max(F.concat(*tried))
-    score = F.coalesce(best["score"], F.lit(0))
-    if bonus is not None:
-        score = F.when(score > 0, score + bonus).otherwise(score)
-    return F.struct(score.alias("score"), F.when(score > 0, best["field"]).alias("field"), F.when(score > 0, best["matched"]).alias("matched"))
+
+    def shown(best):
+        score = F.coalesce(best["score"], F.lit(0))
+        if bonus is not None:
+            score = F.when(score > 0, score + bonus).otherwise(score)
+        return F.struct(score.alias("score"), F.when(score > 0, best["field"]).alias("field"), F.when(score > 0, best["matched"]).alias("matched"))
+
+    return let(F.array_max(F.concat(*tried)), shown)
 
 
 def search(index: DataFrame, q: str, fields: list[Field], name: str = "name", limit: int | None = 10, bonus: Column | None = None) -> DataFrame:
     """Rows with a hit, best first, then by name in code-point order; the top-k is Spark's, no full sort."""
-    hits = index.withColumn("hit", best_match(fields, query_term(q), bonus)).where("hit.score > 0").select("*", "hit.*").drop("hit")
+    # exploded, as a filter on the match would work it out once more
+    hits = index.select("*", F.explode(F.filter(F.array(best_match(fields, query_term(q), bonus)), lambda h: h["score"] > 0)).alias("hit")).select("*", "hit.*").drop("hit")
     return hits if limit is None else hits.orderBy(F.desc("score"), F.asc(name)).limit(limit)
 
 

@@ -79,3 +79,10 @@ def test_file_names_are_worked_out_once(spark):
     found = rows.select(readers.newest_of("files").alias("f"))
     assert worked_out(found, "RLIKE") + worked_out(found, "rlike(") == 1
     assert [tuple(x) for x in found.first().f] == [("9.1.", "2020-01-01", 2), ("9.2.", "2019-01-01", -1)]
+
+
+def test_fields_are_worked_out_once(spark):
+    rows = spark.createDataFrame([("b", ["x", "br y"]), ("c", None)], "name string, kinds array<string>")
+    found = search.search(rows, "br", [Field("name", "name", 100, 95, 50), Field("kinds", "kind", 78, 70, 38, True)], limit=None)
+    assert worked_out(found, "regexp_replace(") == 2
+    assert [(r["name"], r.score, r.field, r.matched) for r in found.collect()] == [("b", 70, "kind", "br y")]
