@@ -125,14 +125,18 @@ def manifest_watch(spark, sf_dir):
     return spark.read.schema(watch.OUT).parquet(out).groupBy("code", "kind", "file").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Rows of a master file; a file whose fields have line breaks is read by one task.
+_MASTER_ROWS = 20_000
 _MASTER = """SELECT concat('P', CAST(p_partkey AS STRING)) AS a, CAST(p_size AS STRING) AS b, '1150601' AS c, '' AS d, concat('"', p_name, '", ', p_type) AS e, concat('處置', CAST(p_size AS STRING), chr(10), p_brand) AS f, CASE WHEN p_partkey % 3 = 0 THEN concat(repeat(p_name, 500), '。') END AS g FROM part"""
 
 
 @query(f"SELECT a AS code, CAST(b AS INTEGER) AS points, '2026-06-01' AS valid_from, CAST(NULL AS VARCHAR) AS valid_to, e AS name_en, f AS name, md5(coalesce(g, '')) AS note FROM ({_MASTER})")
 def master_csv(spark, sf_dir):
-    """Parts written as a master file and read back by its contract: quotes, commas and line breaks in fields, and notes of thousands of characters."""
+    """Parts written as master files of bounded size and read back by their contract: quotes, commas and line breaks in fields, and notes of thousands of characters."""
     path = _folder(spark, "master")
-    spark.sql(_MASTER.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part")).toDF(*readers.PROCEDURE_COLUMNS).write.csv(path, header=True, escape='"', quoteAll=True, nullValue="")
+    part = table(spark, sf_dir, "part")
+    part = part.repartition(1 + part.count() // _MASTER_ROWS, "p_partkey")  # equal shares, written side by side
+    spark.sql(_MASTER.replace("FROM part", "FROM {part}"), part=part).toDF(*readers.PROCEDURE_COLUMNS).write.csv(path, header=True, escape='"', quoteAll=True, nullValue="")
     code, points, begin, end, name_en, name, note = (F.col(c) for c in readers.PROCEDURE_COLUMNS)
     rows = readers.csv_master(spark, path, readers.PROCEDURE_COLUMNS)
     return rows.select(code.alias("code"), points.cast("int").alias("points"), dates.roc_to_iso(begin).alias("valid_from"), dates.roc_to_iso(end).alias("valid_to"), name_en.alias("name_en"), name.alias("name"), F.md5(F.coalesce(note, F.lit("")).cast("binary")).alias("note"))

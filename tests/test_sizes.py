@@ -86,3 +86,9 @@ def test_fields_are_worked_out_once(spark):
     found = search.search(rows, "br", [Field("name", "name", 100, 95, 50), Field("kinds", "kind", 78, 70, 38, True)], limit=None)
     assert worked_out(found, "regexp_replace(") == 2
     assert [(r["name"], r.score, r.field, r.matched) for r in found.collect()] == [("b", 70, "kind", "br y")]
+
+
+def test_master_files_have_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(releases, "_MASTER_ROWS", 50)
+    rows = catalogue.QUERIES["master_csv"](spark, "/root/testdata/sf0.001")
+    assert len(rows.inputFiles()) >= 4 and rows.count() == 200
