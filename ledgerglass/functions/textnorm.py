@@ -23,6 +23,12 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+@F.pandas_udf(T.BooleanType())
+def is_nfc(s: pd.Series) -> pd.Series:
+    """Whether a text is as `nfc` would make it; the text itself does not come back."""
+    return pd.Series([None if x is None else unicodedata.is_normalized("NFC", x) for x in s], dtype="boolean")
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")

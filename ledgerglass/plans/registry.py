@@ -22,5 +22,12 @@ def query(sql: str | None = None):
     return add
 
 
+#: Tables of whole texts, and how many rows of them a Python worker holds at once.
+TEXTS, BATCH_ROWS = frozenset({"documents", "pages", "conversations"}), 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if name in TEXTS and not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

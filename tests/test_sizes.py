@@ -92,3 +92,13 @@ def test_master_files_have_a_bounded_number_of_rows(spark, monkeypatch):
     monkeypatch.setattr(releases, "_MASTER_ROWS", 50)
     rows = catalogue.QUERIES["master_csv"](spark, "/root/testdata/sf0.001")
     assert len(rows.inputFiles()) >= 4 and rows.count() == 200
+
+
+def test_few_texts_are_in_python_at_once(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, 10000)
+    catalogue.QUERIES["mojibake"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(key)) <= 1000
+    texts = ["a", "é", "e\u0301", "\u212b", "", None, "한글", unicodedata.normalize("NFD", "한글")]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(textnorm.is_nfc("t").alias("a"), (textnorm.nfc("t") == F.col("t")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
