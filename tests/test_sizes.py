@@ -102,3 +102,21 @@ def test_few_texts_are_in_python_at_once(spark):
     texts = ["a", "é", "e\u0301", "\u212b", "", None, "한글", unicodedata.normalize("NFD", "한글")]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(textnorm.is_nfc("t").alias("a"), (textnorm.nfc("t") == F.col("t")).alias("b")).collect()
     assert [r.a for r in rows] == [r.b for r in rows]
+
+
+def test_a_code_costs_a_few_calls_on_the_state():
+    """Twenty fetches of a code: its row is read once and written once, its history gets one list."""
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *x: calls.append(name)
+
+        getValueState = getListState = lambda self, *x: self
+
+    p = watch.ManifestWatch(30)
+    p.init(State())
+    fetches = [Row(code="a", file=f"f{i}", effective=f"2024-01-{i + 1:02}", sha="s", seen="x", ordinal=0, failed=False, at=datetime(2024, 1, i + 1), at_ms=i * watch.DAY_MS) for i in reversed(range(20))]
+    out = list(p.handleInputRows(("a",), iter(fetches), None))
+    assert [(r.kind, r.file) for r in out] == [("new", "f0"), *(("revised", f"f{i}") for i in range(1, 20))]
+    assert sorted(calls) == ["appendList", "get", "registerTimer", "update"]
