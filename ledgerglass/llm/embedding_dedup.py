@@ -15,6 +15,10 @@ no edge that was ever found connects its groups. An audit compares a bounded
 sample with all vectors; while its recall, for a node and for nodes with about
 as many links, is below the target, rounds with longer lists and new buckets
 follow, and when they end below it, an error is raised.
+
+The audit allows for a few pairs of vectors that are near no others and so are
+neighbours of no neighbour. Where none may be missed, `exact` lets a comparison of
+all nodes follow, block by block, that looks for edges between the groups.
 All edges that count are verified in double precision.
 """
 
@@ -39,6 +43,8 @@ LIST = 8
 SETTLED, MAX_ROUNDS = 0.005, 12
 BUCKET_BITS, TABLES = 10, 32
 BLOCK_VECTORS = 1024
+#: Of the comparison of all nodes: the vectors of a block, the blocks that there are at least, and the rows and columns that are compared at once.
+WIDE_BLOCK, LEAST_BLOCKS, TILE = 1 << 16, 4, (512, 4096)
 AUDIT = 128
 EDGE = "u binary, v binary, sim float"
 #: Edges found in single precision count from this much below the threshold.
@@ -201,6 +207,67 @@ def _exact(groups: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(scan, "a binary, b binary, n long")
 
 
+def _checked(groups: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """What `_exact` gives, and the links (node, n) in it."""
+    checked = written(_exact(groups, nodes, threshold), "checked")
+    return checked, written(checked.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), "links")
+
+
+def _between(groups: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """groups (node, component) -> edges (a, b) above the threshold between nodes of different groups, or of none, that connect all groups with such edges.
+
+    Every pair of nodes is compared, so the work grows with their square; a task holds
+    two blocks in single precision, and gives no more edges than it has groups.
+    """
+    blocks = max(LEAST_BLOCKS, math.ceil(nodes.count() / WIDE_BLOCK))
+
+    def single(batches):
+        for batch in batches:
+            unit = [np.frombuffer(u).astype(np.float32).tobytes() for u in batch.column("unit").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("group"), pa.array(unit, pa.binary())], names=["node", "group", "unit"])
+
+    rows = nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("group"), "unit")
+    rows = rows.mapInArrow(single, "node binary, group binary, unit binary").withColumns({"width": F.octet_length("unit"), "block": F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")})
+    pairs = F.expr(f"explode(transform(sequence(0, {blocks - 1}), x -> struct(least(x, block) as first, greatest(x, block) as second)))")
+    rows = rows.withColumn("p", pairs).select("width", "p.first", "p.second", "block", "node", "group", "unit")
+    # a task for each pair of blocks, however few bytes they have
+    dealt = rows.repartition(blocks * (blocks + 1) // 2, "width", "first", "second").sortWithinPartitions("width", "first", "second")
+
+    def scan(batches):
+        for (_, first, second), g in _groups_in_order(batches, ["block", "node", "group", "unit"], ["width", "first", "second"]):
+            number: dict[bytes, int] = {}
+            group = np.array([number.setdefault(x, len(number)) for x in g["group"]])
+            root = list(range(len(number)))
+
+            def top(i, root=root):
+                while root[i] != i:
+                    root[i] = i = root[root[i]]
+                return i
+
+            x = np.frombuffer(b"".join(g["unit"]), dtype=np.float32).reshape(len(group), -1)
+            block = np.array(g["block"])
+            down, across = np.flatnonzero(block == first), np.flatnonzero(block == second)
+            a, b = [], []
+            for r in range(0, len(down), TILE[0]):
+                i = down[r : r + TILE[0]]
+                for c in range(0, len(across), TILE[1]):
+                    j = across[c : c + TILE[1]]
+                    if first == second and c + TILE[1] <= r:
+                        continue
+                    hit = np.flatnonzero((x[i] @ x[j].T >= threshold - SLACK).ravel())
+                    u, v = i[hit // len(j)], j[hit % len(j)]
+                    apart = group[u] != group[v]
+                    for k, m in zip(u[apart].tolist(), v[apart].tolist(), strict=True):
+                        s, t = top(group[k]), top(group[m])
+                        if s != t:
+                            root[s] = t
+                            a.append(g["node"][k])
+                            b.append(g["node"][m])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return dealt.mapInArrow(scan, "a binary, b binary")
+
+
 def audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int = AUDIT, graph: DataFrame | None = None) -> float:
     """Share of its links that was found for a node of a bounded sample, on average: links (node, n) against a comparison with all nodes. The least of all nodes with links and of those with 2^k to 2^(k+1) - 1, if there are enough.
 
@@ -249,13 +316,14 @@ def recall(counts: list[tuple[int, int]]) -> float:
     return min((float(np.mean(s)) for s in [shares, *(s for s in strata.values() if len(s) >= STRATUM)] if s), default=1.0)
 
 
-def link(vectors: DataFrame, threshold: float = 0.9, target: float = 0.95, length: int = LIST, tables: int = TABLES, max_audits: int = 3, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def link(vectors: DataFrame, threshold: float = 0.9, target: float = 0.95, length: int = LIST, tables: int = TABLES, max_audits: int = 3, vec_id: str = "vec_id", embedding: str = "embedding", exact: bool = False) -> DataFrame:
     """One row per row of `vectors`: vec_id, n_links, component_id.
 
     Vectors of different lengths, and such that are null, zero or have null or
     non-finite components, link with nothing (of different lengths: not with each
     other). Equal vectors link. Rows with the same id are vectors of their own; a
-    null id is a component's name only if all its ids are null.
+    null id is a component's name only if all its ids are null. With `exact` no link
+    is missed, at the cost of a comparison of all nodes.
     """
     rows = written(_nodes(vectors.select(F.col(vec_id).alias("id"), F.col(embedding).alias("embedding"))), "vectors")
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("unit").alias("unit"), F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
@@ -267,8 +335,7 @@ def link(vectors: DataFrame, threshold: float = 0.9, target: float = 0.95, lengt
         if groups is not None:
             near = near.union(groups)
         groups = written(components(near), "groups")
-        checked = written(_exact(groups, nodes, threshold), "checked")
-        links = written(checked.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), "links")
+        checked, links = _checked(groups, nodes, threshold)
         found = audit(nodes, links, threshold, graph=graph)
         _log.info("audit: %.4f of the links of sampled nodes were found", found)
         if found >= target:
@@ -276,6 +343,10 @@ def link(vectors: DataFrame, threshold: float = 0.9, target: float = 0.95, lengt
         length, tables = 2 * length, 2 * tables
     else:
         raise RuntimeError(f"the audit found {found:.3f} of the links, not {target}, after {max_audits} rounds")
+    missed = written(_between(groups, nodes, threshold), "missed") if exact else None
+    if missed is not None and not missed.isEmpty():
+        groups = written(components(groups.toDF("a", "b").union(missed)), "groups")
+        checked, links = _checked(groups, nodes, threshold)
     reach = components(checked.where("n is null").select("a", "b"))
     named = reach.join(nodes.select("node", "low"), "node")
     named = named.join(named.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("node", "component_id")
@@ -285,6 +356,6 @@ def link(vectors: DataFrame, threshold: float = 0.9, target: float = 0.95, lengt
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def digest(vectors: DataFrame) -> DataFrame:
+def digest(vectors: DataFrame, exact: bool = False) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    return link(vectors).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return link(vectors, exact=exact).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -73,3 +73,20 @@ def test_audit_counts_nodes_not_links():
 
 def test_empty(spark):
     assert ed.digest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("tile", [ed.TILE, (8, 16)])
+def test_exact_finds_what_the_rounds_miss(spark, monkeypatch, tile):
+    """Pairs just above the threshold with no other neighbour; the rounds start with one table and stop at once."""
+    monkeypatch.setattr(ed, "TILE", tile)
+    r = np.random.default_rng(11)
+    x = r.normal(size=(150, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.normal(size=x.shape)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    rows = list(enumerate([*x.tolist(), *(0.902 * x + np.sqrt(1 - 0.902**2) * y).tolist(), *r.normal(size=(10, 8)).tolist()]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    marked = lambda **how: {v.vec_id: (v.n_links, v.component_id) for v in ed.link(df, target=0.0, tables=1, length=2, **how).collect()}
+    assert marked(exact=True) == brute(rows)
+    assert marked() != brute(rows)
