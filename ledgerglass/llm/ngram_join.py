@@ -212,26 +212,35 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """rows (set_key, path, group) on paths that sets of different groups share, with n, content and low of the path.
+
+    Nearly all paths have one set. One shuffle serves the count and the rows, and only
+    what is left is written.
+    """
+    dealt = rows.select("path", "set_key", "group").repartition("path")
+    size = dealt.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("set_key").cast("decimal(38,0)")).alias("content"), F.min("set_key").alias("low"), (F.min("group") != F.max("group")).alias("mixed"))
+    return dealt.join(size.where("n > 1 and mixed").drop("mixed").hint("merge"), "path")
+
+
 def _candidates(classes: DataFrame, threshold: float, runs: range) -> DataFrame:
     """classes (set_key, sig, group) -> links (a, b) that these runs find between sets of different groups."""
     rows = _paths(classes, threshold, runs)
     links = []
     for depth in range(FIRST_DEPTH, DEPTH + 1):
-        rows = written(rows, "paths")
-        size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("set_key").cast("decimal(38,0)")).alias("content"), F.min("set_key").alias("low"), (F.min("group") != F.max("group")).alias("mixed"))
-        size = written(size.where("n > 1 and mixed").drop("mixed"), "buckets")
+        held = written(_shared(rows), "buckets")
+        small, large = held.where(F.col("n") <= LEAF), held.where(F.col("n") > LEAF)
         # buckets with the same sets need one look
-        leaves = size.where(F.col("n") <= LEAF).groupBy("n", "content").agg(F.min("path").alias("path")).select("path")
-        leaves = rows.join(leaves, "path").join(classes.select("set_key", "sig"), "set_key")
+        leaves = small.join(small.groupBy("n", "content").agg(F.min("path").alias("path")).select("path"), "path")
+        leaves = leaves.select("path", "set_key").join(classes.select("set_key", "sig"), "set_key")
         links.append(written(_brute_force(leaves.select("path", "set_key", "sig"), threshold), "links"))
-        large = size.where(F.col("n") > LEAF).groupBy("n", "content").agg(F.min(F.struct("path", "low")).alias("x")).select("x.*") if depth == DEPTH else size.where(F.col("n") > LEAF).select("path", "low")
-        large = written(large, "large")
         if large.isEmpty():
             break
         if depth == DEPTH:
-            links.append(rows.join(large, "path").select(F.col("set_key").alias("a"), F.col("low").alias("b")))
+            chosen = large.groupBy("n", "content").agg(F.min("path").alias("path")).select("path")
+            links.append(large.join(chosen, "path").select(F.col("set_key").alias("a"), F.col("low").alias("b")))
         else:
-            rows = _paths(rows.join(large.select("path"), "path").join(classes.select("set_key", "sig"), "set_key").select("set_key", "sig", "path", "group"), threshold)
+            rows = _paths(large.select("path", "set_key", "group").join(classes.select("set_key", "sig"), "set_key").select("set_key", "sig", "path", "group"), threshold)
     edges = links[0]
     for x in links[1:]:
         edges = edges.union(x)

@@ -96,3 +96,12 @@ def test_pieces():
     for i, j in ((0, 1), (1, 2), (3, 4), (0, 2)):
         linked[i, j] = linked[j, i] = True
     assert len(nj._forest(linked)) == 3
+
+
+def test_paths_are_shuffled_once(spark):
+    """Only paths that sets of different groups share are left, and the count and the rows read one shuffle."""
+    rows = [(bytes([i]), path, group) for i, path, group in ((1, 5, 1), (2, 5, 2), (3, 6, 3), (1, 7, 1), (4, 7, 1), (2, 8, 2), (3, 8, 3), (4, 8, 1))]
+    df = nj._shared(spark.createDataFrame(rows, "set_key binary, path long, group long").repartition(3))
+    got = sorted((r.path, bytes(r.set_key), r.group, r.n, bytes(r.low)) for r in df.collect())
+    assert got == [(5, b"\1", 1, 2, b"\1"), (5, b"\2", 2, 2, b"\1"), (8, b"\2", 2, 3, b"\2"), (8, b"\3", 3, 3, b"\2"), (8, b"\4", 1, 3, b"\2")]
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") == 1
