@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept; its result is written as Parquet and read again. All but the last return
-the columns of `documents`.
+the columns of `documents`. What the stage before has left in the driver is
+removed first.
 """
 
 from __future__ import annotations
@@ -10,16 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerglass.llm import decontaminate, langid, mixing, ngram_join, suffix_dedup
-from ledgerglass.llm.common import written
+from ledgerglass.llm.common import tidy, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or with no language that is likely."""
+    tidy(spark)
     return langid.keep_identified(docs)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest doc_id."""
+    tidy(spark)
     return ngram_join.keep_one(docs)
 
 
@@ -28,16 +31,19 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Passages of over 50 words have to go, and 99 of 100 strings of 51 words have 248 bytes or more.
     """
+    tidy(spark)
     return suffix_dedup.remove_repeats(docs, suffix_dedup.PASSAGE)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    tidy(spark)
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target weight asks for; `mix_copy` numbers its copies."""
+    tidy(spark)
     return mixing.emit(docs)
 
 

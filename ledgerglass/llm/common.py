@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -64,6 +65,12 @@ def discard(*tables: DataFrame) -> None:
             delete(t.sparkSession, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: Spark removes shuffles and broadcasts only when nothing there refers to them, and the heap shrinks to what is in use."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows of texts that a task holds at once on their way to Python and back.
 BATCH_ROWS = 1000
 

@@ -55,3 +55,15 @@ def test_stages(spark, sf):
         rate = want[r[3]] / words[r[3]]
         assert int(rate) <= copies.get(r[0], 0) <= int(rate) + (rate % 1 > 0)
     assert set(mixed) <= set(clean)
+
+
+def test_stages_tidy_the_driver_first(spark, sf, monkeypatch):
+    import corpus_pipeline as cp
+
+    calls = []
+    monkeypatch.setattr(cp, "tidy", lambda _: calls.append("tidy"))
+    for module, name in ((cp.langid, "keep_identified"), (cp.ngram_join, "keep_one"), (cp.suffix_dedup, "remove_repeats"), (cp.decontaminate, "remove_contaminated"), (cp.mixing, "emit")):
+        monkeypatch.setattr(module, name, lambda *_: calls.append("work"))
+    for _, stage in cp.STAGES:
+        stage(spark, None, sf)
+    assert calls == ["tidy", "work"] * len(cp.STAGES)
