@@ -134,7 +134,7 @@ def _step(path: np.ndarray, owner: np.ndarray, sig: np.ndarray, threshold: float
 
 
 def _paths(rows: DataFrame, threshold: float, runs: range | None = None) -> DataFrame:
-    """rows (set_key, sig, group[, path]) -> set_key, path, group, one level further down; with `runs`, FIRST_DEPTH levels from their roots."""
+    """rows (number, sig, group[, path]) -> number, path, group, one level further down; with `runs`, FIRST_DEPTH levels from their roots."""
 
     def scan(batches):
         for batch in batches:
@@ -147,9 +147,9 @@ def _paths(rows: DataFrame, threshold: float, runs: range | None = None) -> Data
             for _ in range(1 if runs is None else FIRST_DEPTH):
                 path, owner = _step(path, owner, sig, threshold)
             taken = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([batch.column("set_key").take(taken), pa.array(signed(path)), batch.column("group").take(taken)], names=["set_key", "path", "group"])
+            yield pa.RecordBatch.from_arrays([batch.column("number").take(taken), pa.array(signed(path)), batch.column("group").take(taken)], names=["number", "path", "group"])
 
-    return rows.mapInArrow(scan, "set_key binary, path long, group long")
+    return rows.mapInArrow(scan, "number long, path long, group long")
 
 
 def _groups_in_order(batches, columns: list[str], keys: list[str]):
@@ -216,35 +216,49 @@ def _shared(rows: DataFrame) -> DataFrame:
     """rows (set_key, path, group) on paths that sets of different groups share, with n, content and low of the path.
 
     Nearly all paths have one set. One shuffle serves the count and the rows, and only
-    what is left is written.
+    what is left is written. `set_key` may be whatever stands for a set.
     """
     dealt = rows.select("path", "set_key", "group").repartition("path")
     size = dealt.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("set_key").cast("decimal(38,0)")).alias("content"), F.min("set_key").alias("low"), (F.min("group") != F.max("group")).alias("mixed"))
     return dealt.join(size.where("n > 1 and mixed").drop("mixed").hint("merge"), "path")
 
 
-def _candidates(classes: DataFrame, threshold: float, runs: range) -> DataFrame:
-    """classes (set_key, sig, group) -> links (a, b) that these runs find between sets of different groups."""
-    rows = _paths(classes, threshold, runs)
-    links = []
+def _candidates(classes: DataFrame, threshold: float, runs: range) -> tuple[DataFrame, list[DataFrame]]:
+    """classes (set_key, sig, group) -> links (a, b) that these runs find between sets of different groups, and the tables to discard when the links are read.
+
+    On the paths a set goes by a number of 64 bits; sets that have one number are
+    looked at together. Only the sets on paths that are shared at the first depth are
+    looked up again, so those are taken out of all classes once.
+    """
+    numbered = classes.withColumn("number", F.xxhash64("set_key"))
+    rows = _paths(numbered.select("number", "sig", "group"), threshold, runs)
+    known, links, used = None, [], []
     for depth in range(FIRST_DEPTH, DEPTH + 1):
-        held = written(_shared(rows), "buckets")
+        buckets = written(_shared(rows.withColumnRenamed("number", "set_key")), "buckets")
+        used.append(buckets)
+        held = buckets.withColumnRenamed("set_key", "number")
+        if known is None:
+            known = written(numbered.select("number", "set_key", "sig").join(held.select("number").distinct().hint("merge"), "number", "left_semi"), "sharing")
+            used.append(known)
         small, large = held.where(F.col("n") <= LEAF), held.where(F.col("n") > LEAF)
         # buckets with the same sets need one look
         leaves = small.join(small.groupBy("n", "content").agg(F.min("path").alias("path")).select("path"), "path")
-        leaves = leaves.select("path", "set_key").join(classes.select("set_key", "sig"), "set_key")
+        leaves = leaves.select("path", "number").join(known, "number")
         links.append(written(_brute_force(leaves.select("path", "set_key", "sig"), threshold), "links"))
         if large.isEmpty():
             break
         if depth == DEPTH:
             chosen = large.groupBy("n", "content").agg(F.min("path").alias("path")).select("path")
-            links.append(large.join(chosen, "path").select(F.col("set_key").alias("a"), F.col("low").alias("b")))
+            ends = large.join(chosen, "path").select("number", "low")
+            for number, end in (("number", "a"), ("low", "b")):
+                ends = ends.join(known.select(F.col("number").alias(number), F.col("set_key").alias(end)), number)
+            links.append(ends.select("a", "b"))
         else:
-            rows = _paths(large.select("path", "set_key", "group").join(classes.select("set_key", "sig"), "set_key").select("set_key", "sig", "path", "group"), threshold)
+            rows = _paths(large.select("path", "number", "group").join(known.select("number", "sig"), "number").select("number", "sig", "path", "group"), threshold)
     edges = links[0]
     for x in links[1:]:
         edges = edges.union(x)
-    return edges
+    return edges, used + links
 
 
 def _grouped(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -300,11 +314,11 @@ def candidate_groups(classes: DataFrame, threshold: float, recall: float) -> Dat
     groups, first, grouped = None, 0, _grouped(classes, None)
     for last in [min(FIRST_RUNS, need), *(need * k for k in range(1, REPEATS + 1))]:
         if last > first:
-            edges = _candidates(grouped, threshold, range(first, last))
+            edges, used = _candidates(grouped, threshold, range(first, last))
             if groups is not None:
                 edges = edges.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
             groups = components(edges.where("a != b"))
-            discard(grouped)
+            discard(grouped, *used)
             first, grouped = last, _grouped(classes, groups)
         if last >= need:
             found, nodes = audit(grouped, threshold)

@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from ledgerglass.llm import ngram_join as nj
+from ledgerglass.llm.common import written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -105,3 +106,20 @@ def test_paths_are_shuffled_once(spark):
     got = sorted((r.path, bytes(r.set_key), r.group, r.n, bytes(r.low)) for r in df.collect())
     assert got == [(5, b"\1", 1, 2, b"\1"), (5, b"\2", 2, 2, b"\1"), (8, b"\2", 2, 3, b"\2"), (8, b"\3", 3, 3, b"\2"), (8, b"\4", 1, 3, b"\2")]
     assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") == 1
+
+
+def test_sketches_are_dealt_once_a_call(spark, monkeypatch):
+    """Only sets on shared paths are looked up at the levels; links come out of the leaves and of what is large at the last depth."""
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.concatenate([base[i:], r.integers(0, 2**63, i).astype(np.uint64)]) for i in range(12)] + [r.integers(0, 2**63, 300).astype(np.uint64) for _ in range(400)]
+    key = lambda i: i.to_bytes(16, "big")
+    rows = [(key(i), nj.embed(s).tobytes(), i) for i, s in enumerate(sets)]
+    classes = written(spark.createDataFrame(rows, "set_key binary, sig binary, group long").repartition(3), "classes")
+    for leaf in (128, 2):  # 2: large down to the last depth
+        monkeypatch.setattr(nj, "LEAF", leaf)
+        edges, used = nj._candidates(classes, 0.8, range(12))
+        known = next(t for t in used if "sig" in t.columns)
+        assert 12 <= known.count() < 100
+        got = {x for e in edges.collect() for x in (bytes(e.a), bytes(e.b))}
+        assert got == {key(i) for i in range(12)}
