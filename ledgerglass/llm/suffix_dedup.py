@@ -331,6 +331,25 @@ def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 2, text: s
     return parts.union(whole)
 
 
+def _united(parts: pa.ListArray, length: int) -> pa.ListArray:
+    """Lists of (start, windows) -> lists of (start, end) in order, those that overlap or touch made one."""
+    flat = parts.flatten()
+    start, windows = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+    owner = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy(zero_copy_only=False))
+    end = start + windows - 1 + length
+    # a text's spans lie before those of the next, with room between
+    shift = owner * (int(end.max(initial=0)) + 2)
+    order = np.argsort(start + shift, kind="stable")
+    start, far = (start + shift)[order], np.maximum.accumulate((end + shift)[order])
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = start[1:] > far[:-1]
+    first = np.flatnonzero(new)
+    shift = shift[order][first]
+    sides = [pa.array((x - shift).astype(np.int32)) for x in (start[first], far[np.append(first[1:], len(start)) - 1] if len(first) else far)]
+    ends = np.cumsum(np.bincount(owner[order][first], minlength=len(parts)))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.StructArray.from_arrays(sides, names=["start", "end"]))
+
+
 def _spans(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
     start, before, count = F.shiftright("place", 2 * _BITS).cast("int"), F.shiftright("place", _BITS).bitwiseAND((1 << _BITS) - 1).cast("int"), F.col("place").bitwiseAND((1 << _BITS) - 1).cast("int")
     whole = found.where("again").select("t1", "t2", start.alias("start"), count.alias("windows"))
@@ -342,18 +361,8 @@ def _spans(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
     spans = whole.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "windows")).alias("parts"))
 
     def unite(batches):
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            out = []
-            for parts in batch.column("parts").to_pylist():
-                spans: list[dict[str, int]] = []
-                for s, e in sorted((r["start"], r["start"] + r["windows"] - 1 + length) for r in parts):
-                    if spans and s <= spans[-1]["end"]:
-                        spans[-1]["end"] = max(spans[-1]["end"], e)
-                    else:
-                        spans.append({"start": s, "end": e})
-                out.append(spans)
-            yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), pa.array(out, kind)], names=["t1", "t2", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), _united(batch.column("parts"), length)], names=["t1", "t2", "spans"])
 
     return written(spans.mapInArrow(unite, "t1 long, t2 long, spans array<struct<start:int,end:int>>"), "spans")
 

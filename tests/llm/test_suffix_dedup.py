@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from ledgerglass.llm import suffix_dedup as sd
@@ -104,3 +105,21 @@ def test_clashing_names_and_a_run_of_any_frequency(spark):
     assert {r.doc_id: len(r.text) for r in out.collect()} == {i: n - gone for i, (n, gone, *_) in enumerate(brute([r[1] for r in rows], 100)) if n > gone}
     with pytest.raises(ValueError):
         sd.mark_repeats(docs)
+
+
+def test_spans_are_united_without_a_loop_over_them():
+    r = random.Random(4)
+    lists = [[{"start": r.randint(0, 900), "windows": r.randint(1, 60)} for _ in range(r.choice([0, 1, 2, 5, 30]))] for _ in range(300)]
+    want = []
+    for parts in lists:
+        spans = []
+        for s, e in sorted((p["start"], p["start"] + p["windows"] - 1 + 64) for p in parts):
+            if spans and s <= spans[-1]["end"]:
+                spans[-1]["end"] = max(spans[-1]["end"], e)
+            else:
+                spans.append({"start": s, "end": e})
+        want.append(spans)
+    arrow = pa.array(lists, pa.list_(pa.struct([("start", pa.int32()), ("windows", pa.int32())])))
+    assert sd._united(arrow, 64).to_pylist() == want
+    assert sd._united(arrow.slice(7, 90), 64).to_pylist() == want[7:97]
+    assert sd._united(arrow.slice(0, 0), 64).to_pylist() == []
