@@ -113,29 +113,30 @@ def components(edges: DataFrame, nodes: Sequence[str] = ("a", "b"), max_rounds:
     """Connected components of an undirected edge list: (node, component), the component being its smallest node.
 
     Alternates large-star and small-star steps on the edge table until no edge
-    changes. A round keeps at most one edge per node and neighbour, a node with
-    very many neighbours is reduced by a partial minimum, and nothing is collected.
-    Nodes without an edge do not appear.
+    changes. A round makes at most one edge of each edge and one more for each
+    node, writes those that differ, reduces a node with very many neighbours by a
+    partial minimum, and collects nothing. Nodes without an edge do not appear.
     """
     a, b = nodes
     cur = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges"
     )
     seen = None
+    state = (F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    now = cur.agg(*state).first()
     for _ in range(max_rounds):
+        size = 96 * now[0]  # two nodes an edge at most
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        large = join_by_size(both.where("v > u"), low, "u", "inner", size).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
+        small = join_by_size(large, low, "u", "inner", size).select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")
         )
         cur = written(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen, now = now, cur.agg(*state).first()
         if now == seen:
             break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -14,9 +14,10 @@ one *class* throughout. The steps:
    independent runs that meet the target recall at the threshold itself, for
    pairs whose buckets are split down to `DEPTH`; all others are found more often.
 3. Leaves are brute-forced on the embedded sets, with a margin of four standard
-   errors below the threshold; that gives candidate groups. The first
-   `FIRST_RUNS` runs find nearly all of them; later runs leave out buckets whose
-   sets all lie in one group already, as they have nothing to add.
+   errors below the threshold; that gives candidate groups. At each level a set
+   is looked up once with all its buckets, however many there are. If runs have
+   to be repeated, buckets whose sets all lie in one group already are left out,
+   as they have nothing to add.
 4. Candidate groups are verified exactly on the whole shingle sets, in blocks:
    a large group is cut into blocks of `BLOCK_SETS` sets, and each pair of
    blocks is a task's work of bounded size. Only counts and one tree of links
@@ -46,7 +47,6 @@ from .common import components, discard, join_by_size, small_batches, written
 SIZE = 64
 LEAF = 128
 FIRST_DEPTH, DEPTH = 3, 5
-FIRST_RUNS = 4
 #: A block of the exact comparison holds about so many sets, and about so many elements, whichever is reached first.
 BLOCK_SETS, BLOCK_ELEMENTS = 384, 1 << 20
 #: The audit's sample, the recall it asks for, and how many times the runs may be repeated to get there.
@@ -134,7 +134,7 @@ def _step(path: np.ndarray, owner: np.ndarray, sig: np.ndarray, threshold: float
 
 
 def _paths(rows: DataFrame, threshold: float, runs: range | None = None) -> DataFrame:
-    """rows (number, sig, group[, path]) -> number, path, group, one level further down; with `runs`, FIRST_DEPTH levels from their roots."""
+    """rows (number, sig, group[, large]) -> number, path, group, one level further down from each path in `large`; with `runs`, FIRST_DEPTH levels from their roots."""
 
     def scan(batches):
         for batch in batches:
@@ -143,7 +143,8 @@ def _paths(rows: DataFrame, threshold: float, runs: range | None = None) -> Data
                 owner = np.repeat(np.arange(len(sig)), len(runs))
                 path = np.tile(mix(np.array(runs, dtype=U) + U(0x1234567)), len(sig))
             else:
-                owner, path = np.arange(len(sig)), batch.column("path").to_numpy().view(U)
+                large = batch.column("large")
+                owner, path = large.value_parent_indices().to_numpy(), large.flatten().to_numpy().view(U)
             for _ in range(1 if runs is None else FIRST_DEPTH):
                 path, owner = _step(path, owner, sig, threshold)
             taken = pa.array(owner)
@@ -218,43 +219,47 @@ def _shared(rows: DataFrame) -> DataFrame:
     Nearly all paths have one set. One shuffle serves the count and the rows, and only
     what is left is written. `set_key` may be whatever stands for a set.
     """
-    dealt = rows.select("path", "set_key", "group").repartition("path")
+    # nothing is null; said here, for both readers of the shuffle, or a later join says it for one of them, and there are two shuffles
+    dealt = rows.select("path", "set_key", "group").where("path is not null and set_key is not null and `group` is not null").repartition("path")
     size = dealt.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("set_key").cast("decimal(38,0)")).alias("content"), F.min("set_key").alias("low"), (F.min("group") != F.max("group")).alias("mixed"))
     return dealt.join(size.where("n > 1 and mixed").drop("mixed").hint("merge"), "path")
 
 
+def _sharing(sets: DataFrame, buckets: DataFrame, last: bool) -> DataFrame:
+    """Those of sets (number, set_key, sig, group) that lie in buckets, as `_shared` has them by number, with `leaves` and `large`.
+
+    `leaves` are small buckets, by a number that buckets with the same sets have in
+    common, as these need one look; `large` are the paths of the others, at the last
+    depth the sets they are linked with. A set comes once, not once a path.
+    """
+    small = F.col("n") <= LEAF
+    places = buckets.groupBy("number", "group").agg(F.collect_set(F.when(small, F.xxhash64("n", "content"))).alias("leaves"), F.collect_set(F.when(~small, F.col("low" if last else "path"))).alias("large"))
+    return sets.join(places, ["number", "group"])
+
+
 def _candidates(classes: DataFrame, threshold: float, runs: range) -> tuple[DataFrame, list[DataFrame]]:
     """classes (set_key, sig, group) -> links (a, b) that these runs find between sets of different groups, and the tables to discard when the links are read.
 
     On the paths a set goes by a number of 64 bits; sets that have one number are
-    looked at together. Only the sets on paths that are shared at the first depth are
-    looked up again, so those are taken out of all classes once.
+    looked at together. Only the sets on paths that are shared at a depth are looked
+    up at the next one.
     """
-    numbered = classes.withColumn("number", F.xxhash64("set_key"))
-    rows = _paths(numbered.select("number", "sig", "group"), threshold, runs)
-    known, links, used = None, [], []
+    known = classes.withColumn("number", F.xxhash64("set_key"))
+    rows = _paths(known.select("number", "sig", "group"), threshold, runs)
+    links, used = [], []
     for depth in range(FIRST_DEPTH, DEPTH + 1):
-        buckets = written(_shared(rows.withColumnRenamed("number", "set_key")), "buckets")
-        used.append(buckets)
-        held = buckets.withColumnRenamed("set_key", "number")
-        if known is None:
-            known = written(numbered.select("number", "set_key", "sig").join(held.select("number").distinct().hint("merge"), "number", "left_semi"), "sharing")
-            used.append(known)
-        small, large = held.where(F.col("n") <= LEAF), held.where(F.col("n") > LEAF)
-        # buckets with the same sets need one look
-        leaves = small.join(small.groupBy("n", "content").agg(F.min("path").alias("path")).select("path"), "path")
-        leaves = leaves.select("path", "number").join(known, "number")
-        links.append(written(_brute_force(leaves.select("path", "set_key", "sig"), threshold), "links"))
+        buckets = _shared(rows.withColumnRenamed("number", "set_key")).withColumnRenamed("set_key", "number")
+        known = written(_sharing(known.select("number", "set_key", "sig", "group"), buckets, depth == DEPTH), "sharing")
+        used.append(known)
+        links.append(written(_brute_force(known.select(F.explode("leaves").alias("path"), "set_key", "sig"), threshold), "links"))
+        large = known.where(F.size("large") > 0)
         if large.isEmpty():
             break
         if depth == DEPTH:
-            chosen = large.groupBy("n", "content").agg(F.min("path").alias("path")).select("path")
-            ends = large.join(chosen, "path").select("number", "low")
-            for number, end in (("number", "a"), ("low", "b")):
-                ends = ends.join(known.select(F.col("number").alias(number), F.col("set_key").alias(end)), number)
-            links.append(ends.select("a", "b"))
+            ends = large.select(F.col("set_key").alias("a"), F.explode("large").alias("low"))
+            links.append(ends.join(known.select(F.col("number").alias("low"), F.col("set_key").alias("b")), "low").select("a", "b"))
         else:
-            rows = _paths(large.select("path", "number", "group").join(known.select("number", "sig"), "number").select("number", "sig", "path", "group"), threshold)
+            rows = _paths(large.select("number", "sig", "group", "large"), threshold)
     edges = links[0]
     for x in links[1:]:
         edges = edges.union(x)
@@ -267,7 +272,7 @@ def _grouped(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
     if groups is None:
         return classes.select("set_key", "sig", own.alias("group"))
     known = groups.select(F.col("node").alias("set_key"), F.xxhash64("component").alias("found"))
-    return written(classes.join(known, "set_key", "left").select("set_key", "sig", F.coalesce("found", own).alias("group")), "grouped")
+    return written(join_by_size(classes, known, "set_key", "left", 48 * known.count()).select("set_key", "sig", F.coalesce("found", own).alias("group")), "grouped")
 
 
 def audit(grouped: DataFrame, threshold: float, sample: int = SAMPLE) -> tuple[float, int]:
@@ -279,7 +284,7 @@ def audit(grouped: DataFrame, threshold: float, sample: int = SAMPLE) -> tuple[f
     """
     several = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("set_key")).where("n > 1")
     order = F.xxhash64(F.lit("audit"), "set_key")
-    linked = grouped.join(several.orderBy(order).limit(sample // 2).select("set_key"), "set_key")
+    linked = grouped.join(F.broadcast(several.orderBy(order).limit(sample // 2).select("set_key")), "set_key")
     # at most `sample` rows of some 300 bytes each
     rows = linked.union(grouped.orderBy(order).limit(sample - sample // 2)).collect()
     if not rows:
@@ -311,21 +316,19 @@ def candidate_groups(classes: DataFrame, threshold: float, recall: float) -> Dat
     Runs go on beyond the number that the target recall asks for until the audit agrees.
     """
     need = runs_for(recall, DEPTH, threshold)
-    groups, first, grouped = None, 0, _grouped(classes, None)
-    for last in [min(FIRST_RUNS, need), *(need * k for k in range(1, REPEATS + 1))]:
-        if last > first:
-            edges, used = _candidates(grouped, threshold, range(first, last))
-            if groups is not None:
-                edges = edges.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            groups = components(edges.where("a != b"))
-            discard(grouped, *used)
-            first, grouped = last, _grouped(classes, groups)
-        if last >= need:
-            found, nodes = audit(grouped, threshold)
-            _log.info("chosen paths: %d runs, recall %.4f by %d sampled sets", last, found, nodes)
-            if found >= AUDITED:
-                discard(grouped)
-                return groups
+    groups, grouped = None, _grouped(classes, None)
+    for last in range(need, need * REPEATS + 1, need):
+        edges, used = _candidates(grouped, threshold, range(last - need, last))
+        if groups is not None:
+            edges = edges.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        groups = written(components(edges.where("a != b")), "groups")
+        discard(grouped, *used)
+        grouped = _grouped(classes, groups)
+        found, nodes = audit(grouped, threshold)
+        _log.info("chosen paths: %d runs, recall %.4f by %d sampled sets", last, found, nodes)
+        if found >= AUDITED:
+            discard(grouped)
+            return groups
     raise RuntimeError(f"recall is {found:.3f} after {last} runs, below {AUDITED}")
 
 
@@ -388,13 +391,15 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     rows = written(_embedded(docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("t1"), F.col(text).alias("text")), n), "embedded")
     classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("low"), F.min(F.struct(F.col("id").isNull(), "id", "t1")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("size").alias("size"))
     classes = written(classes, "classes")
-    groups = written(candidate_groups(classes.select("set_key", "sig"), threshold, recall), "groups")
+    groups = candidate_groups(classes.select("set_key", "sig"), threshold, recall)
+    near = 48 * groups.count()  # what one row for each class in a group takes
+    found = join_by_size(classes.withColumnRenamed("set_key", "node"), groups, "node", "inner", near)
+    found = written(found.select("node", "component", "low", "at", "copies", "size"), "found")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("size") / BLOCK_ELEMENTS))
-    sizes = groups.join(classes.select(F.col("set_key").alias("node"), "size"), "node").groupBy("component").agg(parts.cast("int").alias("parts"))
-    sizes = written(sizes, "group-sizes")
+    cut = written(found.groupBy("component").agg(parts.cast("int").alias("parts")).where("parts > 1"), "cut")
     # one document of each class brings the elements
-    chosen = groups.join(sizes, "component").join(classes.select(F.col("set_key").alias("node"), "at", "copies"), "node")
-    chosen = written(chosen.select("node", "component", "parts", F.col("at.id").alias("at_id"), F.col("at.t1").alias("at_t1"), "copies", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block")), "chosen")
+    chosen = join_by_size(found, cut, "component", "left", 32 * cut.count()).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    chosen = chosen.select("node", "component", "parts", F.col("at.id").alias("at_id"), F.col("at.t1").alias("at_t1"), "copies", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block"))
     members = _elements(docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("t1"), F.col(text).alias("text")), chosen, n)
     pairs = F.expr("explode(transform(sequence(0, parts - 1), x -> struct(least(x, block) as first, greatest(x, block) as second)))")
     members = members.select("component", "block", "node", "copies", "elements", pairs.alias("p"))
@@ -403,11 +408,12 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     checked = written(_verify(dealt, threshold), "checked")
     linked = checked.where("n is not null").groupBy(F.col("a").alias("set_key")).agg(F.sum("n").alias("n"))
     reach = components(checked.where("n is null").select("a", "b"))
-    named = reach.join(classes.select(F.col("set_key").alias("node"), "low"), "node")
-    named = named.join(named.groupBy("component").agg(F.min("low").alias("class_id")), "component").select(F.col("node").alias("set_key"), "class_id")
-    info = classes.select("set_key", "low", "copies").join(linked, "set_key", "left").join(named, "set_key", "left")
+    lows = join_by_size(reach, found.select("node", "low"), "node", "inner", near).groupBy("component").agg(F.min("low").alias("class_id"))
+    named = join_by_size(reach, lows, "component", "inner", near).select(F.col("node").alias("set_key"), "class_id")
+    named = join_by_size(named, linked, "set_key", "inner", near)  # who has a link is in a tree
+    info = join_by_size(classes.select("set_key", "low", "copies"), named, "set_key", "left", near)
     info = written(info.select("set_key", F.coalesce("class_id", "low").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes-linked")
-    discard(groups, sizes, chosen, checked)
+    discard(groups, found, cut, checked)
     out = join_by_size(rows.select("id", "set_key"), info, "set_key", "left", 48 * info.count())
     return out.select(F.col("id").alias("doc_id"), "set_key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

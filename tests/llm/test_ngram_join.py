@@ -123,3 +123,32 @@ def test_sketches_are_dealt_once_a_call(spark, monkeypatch):
         assert 12 <= known.count() < 100
         got = {x for e in edges.collect() for x in (bytes(e.a), bytes(e.b))}
         assert got == {key(i) for i in range(12)}
+
+
+def test_a_set_is_looked_up_once_a_level(spark, monkeypatch):
+    """However many paths near copies share, joins have a row for each set and not for each path."""
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.concatenate([base[i:], r.integers(0, 2**63, i).astype(np.uint64)]) for i in range(60)]
+    rows = [(i.to_bytes(16, "big"), nj.embed(s).tobytes(), i) for i, s in enumerate(sets)]
+    classes = written(spark.createDataFrame(rows, "set_key binary, sig binary, group long").repartition(3), "classes")
+    monkeypatch.setattr(nj, "LEAF", 4)
+    inputs, paths = [], nj._paths
+    monkeypatch.setattr(nj, "_paths", lambda rows, *a: (inputs.append(rows), paths(rows, *a))[1])
+    edges, _ = nj._candidates(classes, 0.8, range(12))
+    assert len(inputs) == 3 and all(30 < x.count() <= 60 for x in inputs)
+    group = np.arange(60)
+    for e in edges.collect():
+        a, b = group[int.from_bytes(e.a, "big")], group[int.from_bytes(e.b, "big")]
+        group[group == max(a, b)] = min(a, b)
+    assert (group[:40] == 0).all()
+
+
+def test_lookup_shuffles_paths_once(spark):
+    rows = [(1, 5, 1), (2, 5, 2), (1, 7, 1), (2, 7, 2), (3, 6, 3), (1, 8, 1), (2, 8, 2), (3, 8, 3)]
+    buckets = nj._shared(spark.createDataFrame(rows, "set_key long, path long, group long").repartition(3)).withColumnRenamed("set_key", "number")
+    sets = spark.createDataFrame([(i, bytes([i]), b"", i) for i in range(5)], "number long, set_key binary, sig binary, group long")
+    df = nj._sharing(sets, buckets, False)
+    got = {r.number: (len(r.leaves), r.large) for r in df.collect()}
+    assert got == {1: (2, []), 2: (2, []), 3: (1, [])}  # paths 5 and 7 hold the same sets: one look
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") == 1
