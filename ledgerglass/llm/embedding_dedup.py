@@ -17,9 +17,10 @@ as many links, is below the target, rounds with longer lists and new buckets
 follow, and when they end below it, an error is raised.
 
 The audit allows for a few pairs of vectors that are near no others and so are
-neighbours of no neighbour. Where none may be missed, `exact` lets a comparison of
-all nodes follow, block by block, that looks for edges between the groups.
-All edges that count are verified in double precision.
+neighbours of no neighbour. Where none may be missed, `exact` compares all nodes
+instead, block by block: that makes lists, groups and audit needless.
+All edges that count are verified in double precision, or above the threshold by
+more than single precision can be wrong.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ from __future__ import annotations
 import hashlib
 import logging
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, join_by_size, written
+from .common import components, join_by_size, tidy, written
 from .ngram_join import _forest, _groups_in_order
 
 _log = logging.getLogger(__name__)
@@ -43,8 +45,8 @@ LIST = 8
 SETTLED, MAX_ROUNDS = 0.005, 12
 BUCKET_BITS, TABLES = 10, 32
 BLOCK_VECTORS = 1024
-#: Of the comparison of all nodes: the vectors of a block, the blocks that there are at least, and the rows and columns that are compared at once.
-WIDE_BLOCK, LEAST_BLOCKS, TILE = 1 << 16, 4, (512, 4096)
+#: Of the comparison of all nodes: the bytes of a block, the blocks that there are at least, the distances of blocks in one shuffle, and the rows and columns that are compared at once.
+BLOCK_BYTES, LEAST_BLOCKS, DISTANCES, TILE = 32 << 20, 9, 2, (512, 4096)
 AUDIT = 128
 EDGE = "u binary, v binary, sim float"
 #: Edges found in single precision count from this much below the threshold.
@@ -207,65 +209,104 @@ def _exact(groups: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(scan, "a binary, b binary, n long")
 
 
-def _checked(groups: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """What `_exact` gives, and the links (node, n) in it."""
-    checked = written(_exact(groups, nodes, threshold), "checked")
-    return checked, written(checked.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), "links")
-
-
-def _between(groups: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """groups (node, component) -> edges (a, b) above the threshold between nodes of different groups, or of none, that connect all groups with such edges.
-
-    Every pair of nodes is compared, so the work grows with their square; a task holds
-    two blocks in single precision, and gives no more edges than it has groups.
+def _links(checked: DataFrame) -> DataFrame:
+    """The links (node, n) in what `_exact` or `_all_pairs` gives."""
+    return written(checked.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), "links")
+
+
+def _tree(u: np.ndarray, v: np.ndarray, label: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Places of edges (u, v) that connect what all of them connect, and the labels after: nodes with the same label are connected already."""
+    place = np.flatnonzero(label[u] != label[v])
+    if not len(place):
+        return [], label
+    known, ends = np.unique(np.concatenate([label[u[place]], label[v[place]]]), return_inverse=True)
+    a, b = ends[: len(place)], ends[len(place) :]
+    top = np.arange(len(known))
+    chosen: list[int] = []
+    while True:
+        # of the edges that still connect two trees one for each tree that meets a smaller one
+        low, high = np.minimum(top[a], top[b]), np.maximum(top[a], top[b])
+        apart = np.flatnonzero(low != high)
+        if not len(apart):
+            break
+        one = np.full(len(known), -1)
+        one[high[apart]] = apart
+        one = one[one >= 0]
+        top[high[one]] = low[one]
+        chosen += place[one].tolist()
+        while (top[top] != top).any():
+            top = top[top]
+    renamed = np.arange(len(label))
+    renamed[known] = known[top]
+    return chosen, renamed[label]
+
+
+def _pairs(block: np.ndarray, copies: np.ndarray, x: np.ndarray, owner: int, same: bool, threshold: float) -> tuple[np.ndarray, list[int], list[int]]:
+    """Linked copies of each node, and edges (u, v) that connect what the links connect: of the owner's block with the other one, or with itself (`same`).
+
+    Products are of single precision, those near the threshold are worked out again in double.
     """
-    blocks = max(LEAST_BLOCKS, math.ceil(nodes.count() / WIDE_BLOCK))
-
-    def single(batches):
-        for batch in batches:
-            unit = [np.frombuffer(u).astype(np.float32).tobytes() for u in batch.column("unit").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("group"), pa.array(unit, pa.binary())], names=["node", "group", "unit"])
-
-    rows = nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("group"), "unit")
-    rows = rows.mapInArrow(single, "node binary, group binary, unit binary").withColumns({"width": F.octet_length("unit"), "block": F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")})
-    pairs = F.expr(f"explode(transform(sequence(0, {blocks - 1}), x -> struct(least(x, block) as first, greatest(x, block) as second)))")
-    rows = rows.withColumn("p", pairs).select("width", "p.first", "p.second", "block", "node", "group", "unit")
-    # a task for each pair of blocks, however few bytes they have
-    dealt = rows.repartition(blocks * (blocks + 1) // 2, "width", "first", "second").sortWithinPartitions("width", "first", "second")
+    n, label, wide = np.zeros(len(block), dtype=np.int64), np.arange(len(block)), x.astype(np.float32)
+    down = np.flatnonzero(block == owner)
+    across = down if same else np.flatnonzero(block != owner)
+    first, second = wide[down], wide[across]
+    a: list[int] = []
+    b: list[int] = []
+    for r in range(0, len(down), TILE[0]):
+        for c in range(r // TILE[1] * TILE[1] if same else 0, len(across), TILE[1]):
+            sim = first[r : r + TILE[0]] @ second[c : c + TILE[1]].T
+            hit = np.flatnonzero(sim.ravel() >= threshold - SLACK)
+            if not len(hit):
+                continue
+            u, v = np.divmod(hit, sim.shape[1])
+            sure = sim.ravel()[hit] >= threshold + SLACK
+            u, v = down[r + u], across[c + v]
+            if same:
+                once = u < v
+                u, v, sure = u[once], v[once], sure[once]
+            for i in range(0, len(unsure := np.flatnonzero(~sure)), TILE[1]):
+                k = unsure[i : i + TILE[1]]
+                sure[k] = np.einsum("ij,ij->i", x[u[k]], x[v[k]]) >= threshold
+            u, v = u[sure], v[sure]
+            np.add.at(n, u, copies[v])
+            np.add.at(n, v, copies[u])
+            chosen, label = _tree(u, v, label)
+            a += u[chosen].tolist()
+            b += v[chosen].tolist()
+    return n, a, b
+
+
+def _all_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+    """nodes -> a, b, n as `_exact` gives them, of all pairs of nodes, written.
+
+    The work grows with the square of the nodes. A task holds two blocks, and gives no
+    more rows than twice their nodes. There is an odd number of blocks, so that each pair of them has
+    one owner, from which the other is at most half of them away; the pairs go by their
+    distance, at most DISTANCES of them at once, so that only so many copies of
+    the table are shuffled at a time, however many blocks there are.
+    """
+    size = nodes.agg(F.sum(F.octet_length("unit"))).first()[0] or 0
+    blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES)) | 1
+    rows = nodes.select("node", "copies", "unit", F.octet_length("unit").alias("width"), F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"))
 
     def scan(batches):
-        for (_, first, second), g in _groups_in_order(batches, ["block", "node", "group", "unit"], ["width", "first", "second"]):
-            number: dict[bytes, int] = {}
-            group = np.array([number.setdefault(x, len(number)) for x in g["group"]])
-            root = list(range(len(number)))
-
-            def top(i, root=root):
-                while root[i] != i:
-                    root[i] = i = root[root[i]]
-                return i
-
-            x = np.frombuffer(b"".join(g["unit"]), dtype=np.float32).reshape(len(group), -1)
-            block = np.array(g["block"])
-            down, across = np.flatnonzero(block == first), np.flatnonzero(block == second)
-            a, b = [], []
-            for r in range(0, len(down), TILE[0]):
-                i = down[r : r + TILE[0]]
-                for c in range(0, len(across), TILE[1]):
-                    j = across[c : c + TILE[1]]
-                    if first == second and c + TILE[1] <= r:
-                        continue
-                    hit = np.flatnonzero((x[i] @ x[j].T >= threshold - SLACK).ravel())
-                    u, v = i[hit // len(j)], j[hit % len(j)]
-                    apart = group[u] != group[v]
-                    for k, m in zip(u[apart].tolist(), v[apart].tolist(), strict=True):
-                        s, t = top(group[k]), top(group[m])
-                        if s != t:
-                            root[s] = t
-                            a.append(g["node"][k])
-                            b.append(g["node"][m])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    return dealt.mapInArrow(scan, "a binary, b binary")
+        for (_, far, owner), g in _groups_in_order(batches, ["block", "node", "copies", "unit"], ["width", "far", "owner"]):
+            block, copies = np.array(g["block"]), np.array(g["copies"], dtype=np.int64)
+            x = np.frombuffer(b"".join(g.pop("unit"))).reshape(len(block), -1)
+            n, a, b = _pairs(block, copies, x, owner, far == 0, threshold)
+            for part in ([(i, None, n[i]) for i in np.flatnonzero(n)], [(i, j, None) for i, j in zip(a, b, strict=True)]):
+                yield pa.RecordBatch.from_arrays([pa.array([g["node"][i] for i, _, _ in part], pa.binary()), pa.array([None if j is None else g["node"][j] for _, j, _ in part], pa.binary()), pa.array([None if k is None else int(k) for _, _, k in part], pa.int64())], names=["a", "b", "n"])
+
+    parts = []
+    for first in range(0, blocks // 2 + 1, DISTANCES):
+        last = min(first + DISTANCES - 1, blocks // 2)
+        owners = F.expr(f"explode(flatten(transform(sequence({first}, {last}), d -> array_distinct(array(struct(d AS far, block AS owner), struct(d AS far, pmod(block - d, {blocks}) AS owner))))))")
+        dealt = rows.withColumn("o", owners).select("width", "o.far", "o.owner", "block", "node", "copies", "unit")
+        # a task for each pair of blocks, however few bytes they have
+        dealt = dealt.repartitionById((last - first + 1) * blocks, F.col("owner") + blocks * (F.col("far") - first)).sortWithinPartitions("width", "far", "owner")
+        parts.append(written(dealt.mapInArrow(scan, "a binary, b binary, n long"), "pairs"))
+        tidy(nodes.sparkSession)  # else the shuffles stay until the driver happens to collect its garbage
+    return reduce(DataFrame.union, parts)
 
 
 def audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int = AUDIT, graph: DataFrame | None = None) -> float:
@@ -316,18 +357,8 @@ def recall(counts: list[tuple[int, int]]) -> float:
     return min((float(np.mean(s)) for s in [shares, *(s for s in strata.values() if len(s) >= STRATUM)] if s), default=1.0)
 
 
-def link(vectors: DataFrame, threshold: float = 0.9, target: float = 0.95, length: int = LIST, tables: int = TABLES, max_audits: int = 3, vec_id: str = "vec_id", embedding: str = "embedding", exact: bool = False) -> DataFrame:
-    """One row per row of `vectors`: vec_id, n_links, component_id.
-
-    Vectors of different lengths, and such that are null, zero or have null or
-    non-finite components, link with nothing (of different lengths: not with each
-    other). Equal vectors link. Rows with the same id are vectors of their own; a
-    null id is a component's name only if all its ids are null. With `exact` no link
-    is missed, at the cost of a comparison of all nodes.
-    """
-    rows = written(_nodes(vectors.select(F.col(vec_id).alias("id"), F.col(embedding).alias("embedding"))), "vectors")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("unit").alias("unit"), F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
-    nodes = written(nodes, "nodes")
+def _searched(nodes: DataFrame, threshold: float, target: float, length: int, tables: int, max_audits: int) -> tuple[DataFrame, DataFrame]:
+    """a, b, n as `_exact` gives them, of the groups that the search finds, and the links (node, n) in it."""
     graph = groups = None
     for round_ in range(max_audits):
         graph, near = neighbour_graph(nodes, threshold, length, tables, round_, graph)
@@ -335,18 +366,33 @@ def link(vectors: DataFrame, threshold: float = 0.9, target: float = 0.95, lengt
         if groups is not None:
             near = near.union(groups)
         groups = written(components(near), "groups")
-        checked, links = _checked(groups, nodes, threshold)
+        checked = written(_exact(groups, nodes, threshold), "checked")
+        links = _links(checked)
         found = audit(nodes, links, threshold, graph=graph)
         _log.info("audit: %.4f of the links of sampled nodes were found", found)
         if found >= target:
-            break
+            return checked, links
         length, tables = 2 * length, 2 * tables
+    raise RuntimeError(f"the audit found {found:.3f} of the links, not {target}, after {max_audits} rounds")
+
+
+def link(vectors: DataFrame, threshold: float = 0.9, target: float = 0.95, length: int = LIST, tables: int = TABLES, max_audits: int = 3, vec_id: str = "vec_id", embedding: str = "embedding", exact: bool = False) -> DataFrame:
+    """One row per row of `vectors`: vec_id, n_links, component_id.
+
+    Vectors of different lengths, and such that are null, zero or have null or
+    non-finite components, link with nothing (of different lengths: not with each
+    other). Equal vectors link. Rows with the same id are vectors of their own; a
+    null id is a component's name only if all its ids are null. With `exact` all nodes
+    are compared, so that no link is missed; nothing else but the threshold counts then.
+    """
+    rows = written(_nodes(vectors.select(F.col(vec_id).alias("id"), F.col(embedding).alias("embedding"))), "vectors")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.first("unit").alias("unit"), F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    nodes = written(nodes, "nodes")
+    if exact:
+        checked = _all_pairs(nodes, threshold)
+        links = _links(checked)
     else:
-        raise RuntimeError(f"the audit found {found:.3f} of the links, not {target}, after {max_audits} rounds")
-    missed = written(_between(groups, nodes, threshold), "missed") if exact else None
-    if missed is not None and not missed.isEmpty():
-        groups = written(components(groups.toDF("a", "b").union(missed)), "groups")
-        checked, links = _checked(groups, nodes, threshold)
+        checked, links = _searched(nodes, threshold, target, length, tables, max_audits)
     reach = components(checked.where("n is null").select("a", "b"))
     named = reach.join(nodes.select("node", "low"), "node")
     named = named.join(named.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("node", "component_id")

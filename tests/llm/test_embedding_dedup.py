@@ -90,3 +90,22 @@ def test_exact_finds_what_the_rounds_miss(spark, monkeypatch, tile):
     marked = lambda **how: {v.vec_id: (v.n_links, v.component_id) for v in ed.link(df, target=0.0, tables=1, length=2, **how).collect()}
     assert marked(exact=True) == brute(rows)
     assert marked() != brute(rows)
+
+
+def test_exact_compares_blocks_and_searches_nothing(spark, monkeypatch):
+    """The search shuffles each vector about a hundred times; a comparison of all nodes has no use for what it finds."""
+    monkeypatch.setattr(ed, "neighbour_graph", lambda *x: pytest.fail("it searches"))
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    for size in (ed.BLOCK_BYTES, 6000):
+        monkeypatch.setattr(ed, "BLOCK_BYTES", size)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in ed.digest(df, exact=True).collect()}
+        assert got == brute(rows)
+
+
+def test_exact_where_most_blocks_are_empty(spark):
+    """A block without a partner is not compared with itself once more; pairs at the threshold's edge are decided in double precision."""
+    near = lambda d: [0.9 + d, float(np.sqrt(1 - (0.9 + d) ** 2)), 0.0]
+    rows = list(enumerate([[1.0, 0.0, 0.0], near(1e-9), near(-1e-9), [0.0, 0.0, 1.0], [0.0, 0.001, 1.0], [1.0, 0.0], [1.0, 0.1]]))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ed.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), exact=True).collect()}
+    assert got == brute(rows)
