@@ -23,34 +23,42 @@ from ..sources.scratch import written
 from . import near_names
 from .search import DRUG_FIELDS, FUZZY_SCORE, PROCEDURE_FIELDS, Field, norm
 
-#: Characters of the longest n-grams; shorter terms are looked up by n-grams of their own length.
-GRAM = 3
+#: Characters of the n-grams that are posted; a term is looked up by the longest that it has. Of numbers that count upwards, short ones are in more values the more there are.
+GRAMS = (1, 2, 3, 6, 12)
 #: Characters of the longest beginnings that are posted; longer terms are checked on the value.
-BEGIN = 8
+BEGIN = 24
 #: A code counts from this many characters of its beginning on.
 LEAST_CODE = 3
 #: Characters of a note that are shown.
 SHOWN = 40
 
 
-def values_of(entries: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
-    """key, family (place of the field), place (of the value in it), value as stored, form as it is compared; null and empty values are left out."""
+def _stored(entries: DataFrame, fields: Sequence[Field], *columns: Column | str) -> DataFrame:
+    """columns of the entry, family (place of the field), place (of the value in it), value as stored."""
     parts = []
     for i, f in enumerate(fields):
         values = F.coalesce(F.col(f.column), F.array().cast("array<string>")) if f.many else F.array(F.col(f.column).cast("string"))
-        parts.append(entries.select(F.col(key), F.lit(i).alias("family"), F.posexplode(values).alias("place", "value")))
-    rows = reduce(DataFrame.union, parts)
+        parts.append(entries.select(*columns, F.lit(i).alias("family"), F.posexplode(values).alias("place", "value")))
+    return reduce(DataFrame.union, parts)
+
+
+def _with_form(rows: DataFrame) -> DataFrame:
     return rows.withColumn("form", norm(nfkc("value"))).where("form <> ''")
 
 
+def values_of(entries: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
+    """key, family (place of the field), place (of the value in it), value as stored, form as it is compared; null and empty values are left out."""
+    return _with_form(_stored(entries, fields, F.col(key)))
+
+
 def _end_dots(x: Column) -> Column:
     return F.regexp_replace(x, r"\.+$", "")
 
 
 def _grams(form: Column) -> Column:
-    """All n-grams of one to GRAM characters, each once."""
+    """All n-grams of GRAMS characters, each once."""
     # places from which a whole n-gram fits; a filter, as a sequence that counts down would begin before the string
-    of = [F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(form) - n + 1, F.lit(1))), lambda i: i <= F.length(form) - n + 1), lambda i: F.substring(form, i, F.lit(n))) for n in range(1, GRAM + 1)]  # noqa: B023
+    of = [F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(form) - n + 1, F.lit(1))), lambda i: i <= F.length(form) - n + 1), lambda i: F.substring(form, i, F.lit(n))) for n in GRAMS]  # noqa: B023
     return F.array_distinct(F.concat(*of))
 
 
@@ -65,7 +73,13 @@ def build_index(entries: DataFrame, key: str, fields: Sequence[Field]) -> tuple[
     Both tables depend on the entries alone and are written, to be searched again and again.
     """
     values = written(values_of(entries, key, fields), "search-values")
-    forms = values.select("family", "form").distinct()
+    return values, _postings(values, fields)
+
+
+def _postings(values: DataFrame, fields: Sequence[Field]) -> DataFrame:
+    """values (family, form) -> the postings of `build_index`."""
+    # forms are small and what is made of them is not, so they are dealt to as many tasks as a shuffle has, which adaptive execution would join into few
+    forms = values.select("family", "form").distinct().repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "form")
     sections = [i for i, f in enumerate(fields) if f.label == "section"]
     exact = F.when(F.col("family").isin(sections), _end_dots(F.col("form"))).otherwise(F.col("form")) if sections else F.col("form")
     begins = F.transform(F.sequence(F.lit(1), F.least(F.length("form"), F.lit(BEGIN))), lambda n: F.substring(F.col("form"), F.lit(1), n))
@@ -75,7 +89,7 @@ def build_index(entries: DataFrame, key: str, fields: Sequence[Field]) -> tuple[
         forms.where(F.col("family").isin([i for i, f in enumerate(fields) if f.prefix])).select(F.lit("begin").alias("kind"), F.explode(begins).alias("gram"), "family", "form"),
         forms.where(F.col("family").isin(inner)).select(F.lit("inside").alias("kind"), F.explode(_grams(F.col("form"))).alias("gram"), "family", "form"),
     ]
-    return values, written(reduce(DataFrame.union, kinds), "search-postings")
+    return written(reduce(DataFrame.union, kinds), "search-postings")
 
 
 def _by_family(fields: Sequence[Field], of) -> Column:
@@ -105,11 +119,26 @@ def _leaders(values: DataFrame, names: DataFrame, key: str, k: int) -> DataFrame
 
     No other entry can be among a term's k best by this form: the k before it score as much at least.
     """
-    rows = values.join(names.hint("merge"), key)
-    w = Window.partitionBy("family", "form").orderBy(F.desc("primary"), F.col("name").asc_nulls_first(), F.col(key).asc_nulls_first())
+    return _first_entries(values.join(names.hint("merge"), key), "form", key, k)
+
+
+def _first_entries(rows: DataFrame, of: str, key: str, k: int) -> DataFrame:
+    """Of every family and `of` the rows of its k first entries."""
+    w = Window.partitionBy("family", of).orderBy(F.desc("primary"), F.col("name").asc_nulls_first(), F.col(key).asc_nulls_first())
     return rows.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= k).drop("r")
 
 
+def _leading(entries: DataFrame, key: str, name: Column, primary: Column, fields: Sequence[Field], k: int) -> DataFrame:
+    """What `_leaders` gives of the entries, written, with no join and no row for all that is in them.
+
+    The k first entries of a form are among the k first of each value as stored that has it, so only those need a form.
+    """
+    rows = _stored(entries, fields, F.col(key), name.alias("name"), primary.alias("primary")).where("value is not null")
+    # written, or Spark would look for empty forms before, in all rows
+    rows = written(_first_entries(rows, "value", key, k), "search-first-values")
+    return written(_first_entries(_with_form(rows), "form", key, k), "search-leaders")
+
+
 def _entries_hit(hits: DataFrame, leaders: DataFrame, key: str) -> DataFrame:
     """term, key, name, score, family, matched: of each entry's matches the best, the earlier field and value among equals; where an entry is primary, one more."""
     rows = hits.join(leaders.hint("merge"), ["family", "form"]).withColumn("score", F.col("score") + F.col("primary").cast("int"))
@@ -128,21 +157,26 @@ def batch_search(entries: DataFrame, key: str, name: str, fields: Sequence[Field
     they are ranked. Joins are by shuffle: what is written is packed, and what is exploded from
     it many times larger, so that a side's size as Spark guesses it says little.
     """
-    values, postings = index or build_index(entries, key, fields)
-    names = entries.select(key, F.col(name).alias("name"), (F.coalesce(F.col(primary), F.lit(False)) if primary else F.lit(False)).alias("primary"))
-    given = terms.select(F.col(term).alias("given"), norm(strip(nfkc(F.col(term)))).alias("term")).where("term <> ''").distinct()
-    given = written(given, "search-terms")
+    first_of = F.coalesce(F.col(primary), F.lit(False)) if primary else F.lit(False)
+    if index is None:
+        leaders = _leading(entries, key, F.col(name), first_of, fields, k)
+        postings = _postings(leaders, fields)
+    else:
+        values, postings = index
+        leaders = written(_leaders(values, entries.select(key, F.col(name).alias("name"), first_of.alias("primary")), key, k), "search-leaders")
+    # written, or Spark would look for blank terms before, and every repeated one would go to Python
+    given = written(terms.select(F.col(term).alias("given")).distinct(), "search-given")
+    given = written(given.withColumn("term", norm(strip(nfkc("given")))).where("term <> ''"), "search-terms")
     asked = given.select("term").distinct()
 
     exact = asked.select("term", F.explode(F.array_distinct(F.array("term", _end_dots(F.col("term"))))).alias("gram"))
     begin = asked.select("term", F.substring(F.col("term"), 1, BEGIN).alias("gram"))
     outer = exact.withColumn("kind", F.lit("exact")).union(begin.withColumn("kind", F.lit("begin")))
-    met = postings.join(outer.hint("merge"), ["kind", "gram"]).select("term", "family", "form").distinct()
-    leaders = written(_leaders(values, names, key, k), "search-leaders")
-    first = written(_entries_hit(_matches(met, fields), leaders, key), "search-first")
+    met = postings.join(outer.hint("merge"), ["kind", "gram"]).select("term", "family", "form")
+    first = written(_entries_hit(_matches(met, fields).distinct(), leaders, key), "search-first")
 
     # the rarest n-gram of each term, and which fields hold it at all
-    size = F.least(F.length("term"), F.lit(GRAM))
+    size = F.greatest(*(F.when(F.length("term") >= n, n) for n in GRAMS))
     own = asked.select("term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("term") - size + 1), lambda i: F.substring(F.col("term"), i, size)))).alias("gram"))
     inside = postings.where("kind = 'inside'").drop("kind")
     counts = inside.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max(_by_family(fields, lambda f: f.inside)).alias("bound"))
@@ -155,7 +189,7 @@ def batch_search(entries: DataFrame, key: str, name: str, fields: Sequence[Field
     last = first.select("term", "score", F.row_number().over(place).alias("r")).where(F.col("r") <= k).groupBy("term").agg(F.max("r").alias("n"), F.min("score").alias("floor"))
     open_ = probe.join(last.hint("merge"), "term", "left").where((F.coalesce("n", F.lit(0)) < k) | (F.col("bound") >= F.col("floor")))
     open_ = open_.select("term", "gram", F.when(F.col("n") >= k, F.col("floor")).otherwise(0).alias("floor"))
-    more = inside.join(open_.hint("merge"), "gram").where(_by_family(fields, lambda f: f.inside) + (1 if primary else 0) >= F.col("floor")).select("term", "family", "form").distinct()
+    more = inside.join(open_.hint("merge"), "gram").where(_by_family(fields, lambda f: f.inside) + (1 if primary else 0) >= F.col("floor")).select("term", "family", "form")
     second = _entries_hit(_matches(more, fields), leaders, key)
 
     both = first.union(second).groupBy("term", key, "name").agg(F.max(F.struct("score", (-F.col("family")).alias("f"), "matched")).alias("b"))

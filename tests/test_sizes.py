@@ -120,3 +120,42 @@ def test_a_code_costs_a_few_calls_on_the_state():
     out = list(p.handleInputRows(("a",), iter(fetches), None))
     assert [(r.kind, r.file) for r in out] == [("new", "f0"), *(("revised", f"f{i}") for i in range(1, 20))]
     assert sorted(calls) == ["appendList", "get", "registerTimer", "update"]
+
+
+def test_values_and_terms_that_repeat_are_not_worked_on_again(spark, monkeypatch):
+    """Only the first entries of a value are kept, and only they and different terms go to Python."""
+    tables_, plans = {}, {}
+
+    def noted(df, name, written=batch_search.written):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        out = tables_[name] = written(df, name)
+        return out
+
+    monkeypatch.setattr(batch_search, "written", noted)
+    entries = spark.range(400).selectExpr("id AS key", "concat('e', lpad(400 - id, 3, '0')) AS name", "'Ｃommon' AS kind")
+    hits = batch_search.batch_search(entries, "key", "name", [Field("kind", "kind", 50, 40, 30)], spark.range(400).selectExpr("concat('common', id % 2 - 1) AS term").selectExpr("substr(term, 1, 6) AS term"), "term", 5)
+    assert [(r.rank, r.key, r.matched) for r in hits.orderBy("rank").collect()] == [(i + 1, 399 - i, "Ｃommon") for i in range(5)]
+    assert {name: t.count() for name, t in tables_.items() if name != "search-postings"} == {"search-first-values": 5, "search-leaders": 5, "search-given": 1, "search-terms": 1, "search-first": 5}
+    assert not any("ArrowEvalPython" in plans[name] for name in ("search-first-values", "search-given"))
+
+
+def test_long_terms_meet_few_values_however_many_begin_alike(spark, monkeypatch):
+    """Numbered names have their first half and most short n-grams in common; terms of every length find what a comparison of all finds."""
+    met = []
+
+    def noted(rows, fields, matches=batch_search._matches):
+        met.append(rows.count())
+        return matches(rows, fields)
+
+    monkeypatch.setattr(batch_search, "_matches", noted)
+    entries = spark.range(1000).selectExpr("id AS key", "concat('supplier#', lpad(id * 7919, 9, '0'), ' and what it says') AS name")
+    names = [(r.key, r.name) for r in entries.collect()]
+    fields = [Field("name", "name", 100, 95, 50)]
+    whole = [name[i:j] for _, name in names for i, j in ((0, 18), (11, 18), (0, 35))]
+    batch_search.batch_search(entries, "key", "name", fields, spark.createDataFrame([(t,) for t in whole], "term string"), "term", 3)
+    assert sum(met) < 10 * len(whole)
+    terms = sorted({names[41][1][i : i + n] for n in range(1, 36) for i in (0, 7, 35 - n)} - {" "})
+    got = batch_search.batch_search(entries, "key", "name", fields, spark.createDataFrame([(t,) for t in terms], "term string"), "term", 3)
+    score = lambda t, name: 100 if t == name else 95 if name.startswith(t) else 50 if t in name else 0
+    first = lambda t: sorted((-score(t.strip(), name), name, key) for key, name in names if t.strip() in name)[:3]
+    assert sorted((r.term, r["rank"], r.key, r.score) for r in got.collect()) == sorted((t, i + 1, key, -s) for t in terms for i, (s, _, key) in enumerate(first(t)))
