@@ -46,7 +46,7 @@ SETTLED, MAX_ROUNDS = 0.005, 12
 BUCKET_BITS, TABLES = 10, 32
 BLOCK_VECTORS = 1024
 #: Of the comparison of all nodes: the bytes of a block, the blocks that there are at least, the distances of blocks in one shuffle, and the rows and columns that are compared at once.
-BLOCK_BYTES, LEAST_BLOCKS, DISTANCES, TILE = 32 << 20, 9, 2, (512, 4096)
+BLOCK_BYTES, LEAST_BLOCKS, DISTANCES, TILE = 32 << 20, 9, 2, (512, 1024)
 AUDIT = 128
 EDGE = "u binary, v binary, sim float"
 #: Edges found in single precision count from this much below the threshold.
@@ -305,7 +305,9 @@ def _all_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
         # a task for each pair of blocks, however few bytes they have
         dealt = dealt.repartitionById((last - first + 1) * blocks, F.col("owner") + blocks * (F.col("far") - first)).sortWithinPartitions("width", "far", "owner")
         parts.append(written(dealt.mapInArrow(scan, "a binary, b binary, n long"), "pairs"))
-        tidy(nodes.sparkSession)  # else the shuffles stay until the driver happens to collect its garbage
+        # else the shuffle stays until the driver happens to collect its garbage; Spark lets go of it at the second time
+        for _ in range(2):
+            tidy(nodes.sparkSession)
     return reduce(DataFrame.union, parts)
 
 
